@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, suffix
+from . import langid, mixing, packing, simhash, suffix
 
 QUERIES = {
     "op3_suffix_dedup": suffix.op3_suffix_dedup,
+    "op5_mixing": mixing.op5_mixing,
     "op7_language_id": langid.op7_language_id,
+    "op9_packing": packing.op9_packing,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.OP5_SQL}
