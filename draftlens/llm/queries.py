@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, simhash, suffix
+from . import html_text, langid, mixing, neighbours, packing, quality, simhash, suffix, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_dedup": suffix.op3_suffix_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_language_id": langid.op7_language_id,
+    "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.OP5_SQL}
+ORACLES: dict[str, str] = {"op4_quality": quality.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op6_neighbours": neighbours.OP6_SQL}

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
 A text is a bag of character 4-grams of its words (lower-cased, the word's ends marked),
-reduced to the terms whose presence goes with the label (chi-square over ``CHI``). Examples
+reduced to the terms whose presence goes with the label (chi-square over ``CHI``, and
+at least ``SHARE`` of the term's examples toxic). Examples
 and texts are TF-IDF vectors over these terms. The index is inverted: for each term the
 examples that have it, cut into blocks of ``BLOCK`` examples with each term's largest weight
 in the block. A query visits blocks by falling upper bound and stops when the bound is below the
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 
-MAX_EXAMPLES = 8_000
+MAX_EXAMPLES = 6_000
 MAX_CHARS = 30_000_000
 GRAM = 4
 CHI = 20.0
+#: Least share of toxic ones among a term's examples.
+SHARE = 0.5
 MAX_TERMS = 4_000
 NEAREST = 15
 BLOCK = 64
@@ -94,7 +97,7 @@ class Nearest:
             rest = self.n - c
             if c >= 3 and rest and 0 < ones < self.n:
                 chi = self.n * (a * (self.n - ones - c + a) - (ones - a) * (c - a)) ** 2 / (ones * (self.n - ones) * c * rest)
-                if chi >= CHI:
+                if chi >= CHI and a >= SHARE * c:
                     scored.append((-chi, g))
         names = [g for _, g in sorted(scored)[:MAX_TERMS]]
         self.names = names
