@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, mixing, neighbours, packing, quality, simhash, suffix, toxicity
+from . import html_text, langid, mixing, neighbours, ngram, packing, quality, simhash, suffix, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": ngram.op1_lm_scoring,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_dedup": suffix.op3_suffix_dedup,
     "op4_quality": quality.op4_quality,
