@@ -13,13 +13,16 @@ from ..operators import compare, evaluate, geometry, reconcile, report, rules, s
 from .documents import TODAY, documents, table
 
 CFG = rules.Config()
-_today = F.lit(TODAY).cast("date")
+
+
+def _today():
+    return F.lit(TODAY).cast("date")
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with fields, rules and verdict."""
     raw = documents(spark, sf_dir)
-    return rules.validated(normalised(raw, unicode=False), _today, CFG)
+    return rules.validated(normalised(raw, unicode=False), _today(), CFG)
 
 
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +86,11 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def date_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("k", field(parse_date(F.col("date_raw"), "DMY", False)).alias("d"))
-    return d.select("k", rules.date_rule(F.col("d"), _today, CFG)["status"].alias("status"))
+    return d.select("k", rules.date_rule(F.col("d"), _today(), CFG)["status"].alias("status"))
 
 
 def age_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter(F.col("day") <= _today).select("k", months_between(_today, F.col("day")).alias("months"))
+    return documents(spark, sf_dir).filter(F.col("day") <= _today()).select("k", months_between(_today(), F.col("day")).alias("months"))
 
 
 def signature_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +226,8 @@ def _with_id(df: DataFrame) -> DataFrame:
 def verdict_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a rule set that rejects post-dated documents to one that accepts them."""
     d = _with_id(normalised(documents(spark, sf_dir), unicode=False))
-    old = rules.validated(d, _today, rules.Config(reject_postdated=True))
-    return store.verdict_transitions(old, rules.validated(d, _today, CFG))
+    old = rules.validated(d, _today(), rules.Config(reject_postdated=True))
+    return store.verdict_transitions(old, rules.validated(d, _today(), CFG))
 
 
 def override_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
