@@ -20,11 +20,15 @@ def _int(c: Column) -> Column:
 
 def date_of(year: Column, month: Column, day: Column) -> Column:
     """The date, years below 70 in 2000s and below 100 in 1900s; null if there is no such day."""
-    y = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    good = y.between(1, 9999) & month.between(1, 12) & (day >= 1) & (day <= days)
-    return F.when(good, F.make_date(y, month, day))
+
+    def made(y: Column, m: Column, d: Column) -> Column:
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.when(y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= days), F.make_date(y, m, d))
+
+    # the parts are regular expressions mostly: each is evaluated once
+    pivot = lambda x: F.when(x["y"] < 70, x["y"] + 2000).when(x["y"] < 100, x["y"] + 1900).otherwise(x["y"])
+    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), lambda x: let(pivot(x), lambda y: made(y, x["m"], x["d"])))
 
 
 def _result(value: Column, status: Column, note: Column) -> Column:
@@ -81,8 +85,8 @@ def parse_date(raw: Column, prefer: str = "DMY", unicode: bool = True) -> Column
 
     def parts(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
         y, m, d = (F.regexp_extract(text, pattern, i) for i in order)
-        month = F.coalesce(_int(m), lookup(V.MONTHS, F.lower(m)))
-        return date_of(_int(y), month, _int(d))
+        month = let(m, lambda m: F.coalesce(_int(m), lookup(V.MONTHS, F.lower(m))))
+        return F.when(text.rlike(pattern), date_of(_int(y), month, _int(d)))
 
     def digits(text: Column) -> Column:
         d = F.regexp_replace(F.regexp_replace(text, r"(?i)\b[DMY]{1,4}\b", " "), r"\D", "")
