@@ -63,6 +63,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back; workers are used again by later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have none
+        pass
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> bool:
     """Whether df, measured now, is within the session's broadcast threshold."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

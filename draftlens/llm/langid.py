@@ -33,12 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 ORDER = 5
 TRAIN_CHARS = 1_500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 #: Words that a worker remembers.
-MEMO = 200_000
+MEMO = 150_000
 
 
 def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -174,7 +176,7 @@ class Identifier:
         words = {k: v for k, v in words.items() if v}
         self.models = Models(words, order)
         self.langs = self.models.langs
-        self.memo: dict[str, tuple[np.ndarray, int]] = {}
+        self.forget()
         self.a, self.b, self.limit = 4.0, 0.0, float("inf")
         if self.langs and held:
             best, margin, entropy, letters = self.measure([x for _, x in held])
@@ -184,7 +186,12 @@ class Identifier:
             if use.any():
                 # far outside of all that known languages show
                 self.limit = float(max(entropy[use].max() * 1.5, np.median(entropy[use]) * 2.0))
-        self.memo = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered words: a word's row in the table of code lengths, whose last column is its characters."""
+        self.memo: dict[str, int] = {}
+        self.table = np.empty((0, len(self.langs) + 1), np.float32)
 
     def _fit(self, margin: np.ndarray, good: np.ndarray) -> None:
         """Logistic regression of being right on the margin, with a prior count of one for each outcome."""
@@ -207,12 +214,15 @@ class Identifier:
     def _learned(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.memo]
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+            self.forget()
             new = list(words)
+        rows = [self.table]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             bits, n = self.models.bits(part)
-            self.memo.update(zip(part, zip(bits, n.tolist(), strict=True), strict=True))
+            rows.append(np.column_stack([bits, n.astype(np.float32)]))
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        self.table = np.concatenate(rows)
 
     def measure(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Best language, margin and cross-entropy in bits per character, and whether there is a letter."""
@@ -228,10 +238,9 @@ class Identifier:
                 to += 1
             self._learned(seen)
             for i in range(at, to):
-                if split_texts[i]:
-                    got = [self.memo[w] for w in split_texts[i]]
-                    total[i] = np.array([x for x, _ in got]).sum(axis=0)
-                    chars[i] = sum(n for _, n in got)
+                if words := split_texts[i]:
+                    got = self.table[np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+                    total[i], chars[i] = got[:-1], got[-1]
             at = to
         entropy = total / np.maximum(chars, 1)[:, None]
         order = np.argsort(entropy, axis=1, kind="stable")
@@ -294,10 +303,12 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text", prefix: str
         m = shared.value
         for texts in batches:
             cols: tuple[list, ...] = ([], [], [], [])
-            for i in range(0, len(texts), 500):
-                for c, x in zip(cols, m.identify([t if isinstance(t, str) else None for t in texts.iloc[i : i + 500]]), strict=True):
+            for i in range(0, len(texts), 250):
+                for c, x in zip(cols, m.identify([t if isinstance(t, str) else None for t in texts.iloc[i : i + 250]]), strict=True):
                     c.extend(x)
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "entropy", "rejected"), cols, strict=True)))
+        m.forget()
+        trim()
 
     got = docs.withColumn("_lid", run(F.col(text).cast("string")))
     return got.select(*docs.columns, *[F.col(f"_lid.{x}").alias(n) for x, n in zip(("lang_pred", "score", "entropy", "rejected"), names, strict=True)])

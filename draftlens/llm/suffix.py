@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashSet, checkpointed, input_bytes, power_of_two, release, removed, scratch, small, stored, write_array
+from .common import HashSet, checkpointed, input_bytes, power_of_two, release, removed, scratch, small, stored, trim, write_array
 
 SEED = 32
 #: Different spans of one key that a task sorts together; larger groups are split.
@@ -98,7 +98,7 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x.as_py() or b"" for x in column.cast(pa.binary())]
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Parts of a batch with about so many bytes of text: the first row's number, and the texts."""
     held, size, at = [], 0, 0
     for i in range(batch.num_rows):
@@ -134,9 +134,10 @@ def repeated_seeds(docs: DataFrame, text: str, length: int) -> HashSet:
         for batch in batches:
             for _, texts in _slices(batch, 0):
                 held.append(Spans(texts, length).key)
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 1_500_000:
                     yield from flush()
         yield from flush()
+        trim()
 
     base = scratch(spark, "seeds")
 
@@ -287,6 +288,7 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
                     [pa.array(s.key[keep].view(np.int64) if len(keep) else [], pa.int64()), content, pa.array(s.seed[keep], pa.int32()), pa.array(ids[at + s.doc[keep]], pa.int64()), pa.array(s.start[keep], pa.int64())],
                     names=["key", "content", "seed", "doc", "start"],
                 )
+        trim()
 
     def firsts(df: DataFrame) -> DataFrame:
         place = F.min(F.struct("doc", "start")).alias("first")
@@ -309,7 +311,7 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
 
         for batch in batches:
             for key, content, doc, start in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size > 8 << 20 and key != keys[-1]:
+                if size > 4 << 20 and key != keys[-1]:
                     yield flush(len(keys))
                     for x in (contents, keys, ids, starts):
                         x.clear()
@@ -321,6 +323,7 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
                 size += len(content)
         if keys:
             yield flush(len(keys))
+        trim()
 
     found: list[DataFrame] = []
     level = firsts(src.mapInArrow(spans, "key long, content binary, seed int, doc long, start long"))
