@@ -267,12 +267,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates, **options) -> DataFrame:
     """The rows of docs less all but one of each near-duplicate group: the smallest id stays.
 
-    Rows without id stay. Of rows that share an id one stays.
+    ``groups`` gives each row's doc_id and component_id. Rows without id stay. Of rows that share an id one stays.
     """
-    found = checkpointed(near_duplicates(docs, id_col, text_col, **options))
+    found = checkpointed(groups(docs, id_col, text_col, **options))
     rows, ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     n = gone.count()

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from draftlens.llm import html_text, langid, mixing, neighbours, ngram, packing, quality, simhash, suffix, toxicity
+from draftlens.llm import html_text, jaccard, langid, mixing, neighbours, ngram, packing, quality, simhash, suffix, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key int"
 WORDS = ["alpha", "beta,", "the", "of", "and", "gamma", "delta.", "épsilon", "zeta", "eta", "theta", "iota"]
@@ -98,6 +98,51 @@ def test_simhash_keeps_one(docs, empty, rows):
     assert simhash.deduplicated(empty).count() == 0
 
 
+# --- near duplicates of the pipeline ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [32, 2])
+def test_near_duplicates_are_exact(spark, docs, empty, rows, most):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) for n in (40, 80, 80, 200)]
+    extra = []
+    for i in range(160):
+        w = base[i % 4].split()
+        for _ in range(rng.randint(0, len(w) // 40 + 1)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        extra.append((1000 - i, " ".join(w[: len(w) - rng.randint(0, len(w) // 12)])))
+    all_rows = [(r[0], r[1]) for r in rows] + extra
+    sets = {}
+    for i, text in all_rows:
+        if i is not None:
+            w = words_of(text)
+            sets[i] = {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for a in ids:
+        for b in ids:
+            if a < b and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+                pairs += sets[a] != sets[b]
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    assert pairs > 100
+    table = docs.unionByName(spark.createDataFrame([(i, x, None, None, 0, "", 1) for i, x in extra], SCHEMA))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(table, most=most).collect()}
+    assert got == {i: find(i) for i in ids} | {None: None}
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(got.values()) - {None}) and None in kept
+    assert jaccard.near_duplicates(empty).count() == 0
+
+
 # --- op3 ----------------------------------------------------------------------------------------
 
 
