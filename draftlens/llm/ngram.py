@@ -19,8 +19,9 @@ with discounts D, E for counts of 1, 2, 3 and more, from counts of counts, and o
 all unknown words. The order is two: pairs keep all counts of all documents within the
 shuffle's budget.
 
-Every file has a size bounded by its part; the number of parts follows the input's size. A
-frequent word is summed in each task first, so it is one entry for each task.
+The number of parts, and of files that hold them, follows the input's size; a part's array is bounded. Workers map
+few files at a time, and visit each once for a batch of documents (``common.Mapped``). A frequent word is
+summed in each task first, so it is one entry for each task.
 
 Rows: null text counts as empty: one end token. Repeated rows count and score each. A null id is
 trained on and not held out. Without training documents every probability is 1. Texts may be of
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import input_bytes, map_array, power_of_two, release, removed, scratch, stored, write_array
+from .common import Mapped, Writer, by_part, input_bytes, partitions, power_of_two, release, removed, scratch, stored
 from .langid import held_out
 
 #: Tokens that a task gathers before it sends packed arrays.
@@ -102,27 +103,14 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, chars: int = 6 << 20)
 
 
 class Files:
-    """Where the model's arrays are, and its numbers; arrays are mapped when first used."""
+    """The model's arrays in mapped files, and its numbers."""
 
-    def __init__(self, base: str, bits: int) -> None:
-        self.base, self.bits = base, bits
-        self.maps: dict[str, np.ndarray] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"maps": {}}
-
-    def path(self, name: str, part: int) -> str:
-        return f"{self.base}/{name}-{part:06d}"
-
-    def array(self, name: str, part: int, dtype) -> np.ndarray:
-        key = f"{name}{part}"
-        if key not in self.maps:
-            self.maps[key] = map_array(self.path(name, part), dtype)
-        return self.maps[key]
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
 
     # --- words
-    def number_words(self, sizes: dict[int, int]) -> None:
-        self.sizes = np.array([sizes.get(i, 0) for i in range(1 << self.bits)], np.int64)
+    def number_words(self) -> None:
+        self.sizes = self.keys.size // 8
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.n_words = int(self.sizes.sum())
         self.end, self.start = self.n_words, self.n_words + 1
@@ -133,13 +121,13 @@ class Files:
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted distinct hashes."""
         number, count = np.full(len(hashes), _UNKNOWN), np.zeros(len(hashes), np.int64)
-        for part, a, b in _runs((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
+        for part, a, b in self.keys.runs((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
             if self.sizes[part]:
-                keys = self.array("words", part, np.uint64)
+                keys = self.keys.array(part, np.uint64)
                 at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == hashes[a:b])
                 number[a + hit] = self.offsets[part] + at[hit]
-                count[a + hit] = self.array("counts", part, np.uint64)[at[hit]]
+                count[a + hit] = self.counts.array(part, np.uint64)[at[hit]]
         return number, count
 
     # --- pairs
@@ -153,24 +141,24 @@ class Files:
         out = np.zeros(len(pairs), np.int64)
         part = self.part_of(pairs)
         order = np.argsort(part, kind="stable")
-        for p, a, b in _runs(part[order]):
-            if self.pair_sizes.get(p):
-                keys, want = self.array("pairs", p, np.uint64), pairs[order[a:b]]
+        for p, a, b in self.pairs.runs(part[order]):
+            if self.pairs.size[p]:
+                keys, want = self.pairs.array(p, np.uint64), pairs[order[a:b]]
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == want)
-                got = self.array("bytes", p, np.uint8)[at[hit]].astype(np.int64)
+                got = self.bytes.array(p, np.uint8)[at[hit]].astype(np.int64)
                 if (big := got == BYTE).any():
-                    many = self.array("many", p, np.uint64).reshape(2, -1)
+                    many = self.many.array(p, np.uint64).reshape(2, -1)
                     got[big] = many[1][np.searchsorted(many[0], want[hit][big])]
                 out[order[a + hit]] = got
         return out
 
-    def by_number(self, name: str, width: int, numbers: np.ndarray) -> np.ndarray:
+    def by_number(self, table: Mapped, width: int, numbers: np.ndarray) -> np.ndarray:
         """Rows of a table of ``width`` columns by sorted numbers; zeros where it has none."""
         out = np.zeros((len(numbers), width), np.int64)
-        for r, a, b in _runs(numbers >> self.shift):
-            if (name, r) in self.ranges:
-                out[a:b] = self.array(name, r, np.uint64).reshape(-1, width)[numbers[a:b] - (r << self.shift)]
+        for r, a, b in table.runs(numbers >> self.shift):
+            if table.size[r]:
+                out[a:b] = table.array(r, np.uint64).reshape(-1, width)[numbers[a:b] - (r << self.shift)]
         return out
 
 
@@ -199,8 +187,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Files:
     """Count the model of docs; its files stay in the shared folder for as long as it is used."""
     spark = docs.sparkSession
     text = docs.select(F.col(text_col).cast("string").alias("text"))
-    bits = max(6, power_of_two(input_bytes(text, "text") / 10e6).bit_length() - 1)
-    model = Files(scratch(spark, "ngrams"), bits)
+    size = input_bytes(text, "text")
+    bits = max(6, power_of_two(size / 16e6).bit_length() - 1)
+    flush = max(FLUSH, 8 << bits)  # a packed array for each part should hold some keys
+    files = min(1 << bits, partitions(docs, size))
+    model = Files(bits)
 
     def send(keys: list[np.ndarray], part_of) -> Iterator[pa.RecordBatch]:
         k, n = np.unique(np.concatenate(keys), return_counts=True)
@@ -214,26 +205,36 @@ def train(docs: DataFrame, text_col: str = "text") -> Files:
         leading = lambda k: (k >> np.uint64(64 - bits)).astype(np.int64)
         for _, texts in _texts(batches, 0):
             held.append(word_hashes(texts)[0])
-            if sum(map(len, held)) >= FLUSH:
+            if sum(map(len, held)) >= flush:
                 yield from send(held, leading)
                 held = []
         if held:
             yield from send(held, leading)
 
-    def merge_words(key, table):
-        part = key[0].as_py()
-        keys, counts = _joined(table)
-        keys, counts = summed(keys, counts)
-        write_array(model.path("words", part), keys)
-        write_array(model.path("counts", part), counts.astype(np.uint64))
-        return pa.table({"part": pa.array([part], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+    def merged(blobs: DataFrame, merge, schema: str) -> DataFrame:
+        return blobs.repartition(files, "part").sortWithinPartitions("part").mapInArrow(merge, schema)
+
+    def mapped(base: str, found, name: str, parts: int = 1 << bits) -> Mapped:
+        return Mapped(base, parts, *(np.array(found[c], np.int64) for c in ("part", f"{name}_file", f"{name}_at", f"{name}_size")))
+
+    word_base, pair_base, number_base = (scratch(spark, x) for x in ("words", "pairs", "numbers"))
+
+    def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = Writer(word_base), []
+        for part, table in by_part(batches):
+            keys, counts = summed(*_joined(table))
+            rows.append((part, int(counts.sum()), *out.put(keys), *out.put(counts.astype(np.uint64))))
+        out.close()
+        yield _rows(rows, ["part", "total", *_place("keys"), *_place("counts")])
 
-    words = text.mapInArrow(count_words, "part int, blob binary").groupBy("part").applyInArrow(merge_words, "part int, size long, total long").collect()
+    # some numbers for each part of 16 MB of text
+    words = merged(text.mapInArrow(count_words, "part int, blob binary"), merge_words, _longs("part", "total", *_place("keys"), *_place("counts"))).toPandas()
+    model.keys, model.counts = mapped(word_base, words, "keys"), mapped(word_base, words, "counts")
     n_docs = text.count()
     release(spark)
-    model.number_words({r.part: r["size"] for r in words})
+    model.number_words()
     model.n_docs = n_docs
-    model.n_tokens = sum(r.total for r in words) + n_docs
+    model.n_tokens = int(words["total"].sum()) + n_docs
     model.n_types = model.n_words + bool(n_docs)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,54 +242,60 @@ def train(docs: DataFrame, text_col: str = "text") -> Files:
         for _, texts in _texts(batches, 0):
             before, after, _ = model_numbers(model, texts)[:3]
             held.append((before.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64))
-            if sum(map(len, held)) >= FLUSH:
+            if sum(map(len, held)) >= flush:
                 yield from send(held, model.part_of)
                 held = []
         if held:
             yield from send(held, model.part_of)
 
-    def merge_pairs(key, table):
-        part = key[0].as_py()
-        keys, counts = summed(*_joined(table))
-        many = counts >= BYTE
-        write_array(model.path("pairs", part), keys)
-        write_array(model.path("bytes", part), np.minimum(counts, BYTE).astype(np.uint8))
-        write_array(model.path("many", part), np.stack([keys[many], counts[many].astype(np.uint64)]))
-        rows = [(0, part, b"", [len(keys), *_counts_of_counts(counts)])]
-        v = (keys >> np.uint64(32)).astype(np.int64)
-        at, back = np.unique(v, return_inverse=True)
-        kind = np.stack([np.bincount(back, counts == 1, len(at)), np.bincount(back, counts == 2, len(at)), np.bincount(back, counts >= 3, len(at)), np.bincount(back, counts, len(at))], axis=1).astype(np.int64)
-        for r, a, b in _runs(at >> model.shift):
-            rows.append((1, r, packed(at[a:b].astype(np.uint32), *(_least(kind[a:b, i]) for i in range(4))), []))
-        at, n = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        for r, a, b in _runs(at >> model.shift):
-            rows.append((2, r, packed(at[a:b].astype(np.uint32), _least(n[a:b])), []))
-        kinds, ranges, blobs, stats = zip(*rows, strict=True)
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "r": pa.array(ranges, pa.int32()), "blob": pa.array(blobs, pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
-
-    pairs = text.mapInArrow(count_pairs, "part int, blob binary").groupBy("part").applyInArrow(merge_pairs, "kind int, r int, blob binary, stats array<long>")
+    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Writer(pair_base)
+        names = ["kind", "part", "blob", "stats"]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        for part, table in by_part(batches):
+            keys, counts = summed(*_joined(table))
+            many = counts >= BYTE
+            put = [*out.put(keys), *out.put(np.minimum(counts, BYTE).astype(np.uint8)), *out.put(np.stack([keys[many], counts[many].astype(np.uint64)]))]
+            rows = [(0, part, b"", [len(keys), *_counts_of_counts(counts), *put])]
+            v = (keys >> np.uint64(32)).astype(np.int64)
+            at, back = np.unique(v, return_inverse=True)
+            kind = np.stack([np.bincount(back, counts == 1, len(at)), np.bincount(back, counts == 2, len(at)), np.bincount(back, counts >= 3, len(at)), np.bincount(back, counts, len(at))], axis=1).astype(np.int64)
+            for r, a, b in _runs(at >> model.shift):
+                rows.append((1, r, packed(at[a:b].astype(np.uint32), *(_least(kind[a:b, i]) for i in range(4))), []))
+            at, n = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
+            for r, a, b in _runs(at >> model.shift):
+                rows.append((2, r, packed(at[a:b].astype(np.uint32), _least(n[a:b])), []))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        out.close()
+
+    pairs = merged(text.mapInArrow(count_pairs, "part int, blob binary"), merge_pairs, "kind int, part int, blob binary, stats array<long>")
     pairs = stored(pairs, "pair-sums")
     release(spark)
-    parts = pairs.filter("kind = 0").select("r", "stats").collect()
-    model.pair_sizes = {r.r: r.stats[0] for r in parts}
-    model.n_pairs = sum(model.pair_sizes.values())
-    model.pair_discounts = _discounts([sum(r.stats[i] for r in parts) for i in range(1, 5)])
-
-    def merge_numbers(key, table):
-        kind, r = key[0].as_py(), key[1].as_py()
-        width = 4 if kind == 1 else 1
-        out = np.zeros((1 << model.shift, width), np.uint64)
-        for blob in table.column("blob").to_pylist():
-            at, *columns = unpacked(blob)
-            for i, c in enumerate(columns):
-                out[at.astype(np.int64) - (r << model.shift), i] += c.astype(np.uint64)
-        write_array(model.path("contexts" if kind == 1 else "words-after", r), out)
-        stats = _counts_of_counts(out[:, 0]) + [int((out[:, 0] >= 3).sum())] if kind == 2 else [0] * 5
-        return pa.table({"kind": pa.array([kind], pa.int32()), "r": pa.array([r], pa.int32()), "stats": pa.array([stats], pa.list_(pa.int64()))})
-
-    got = pairs.filter("kind > 0").select("kind", "r", "blob").groupBy("kind", "r").applyInArrow(merge_numbers, "kind int, r int, stats array<long>").collect()
-    model.ranges = {("contexts" if x.kind == 1 else "words-after", x.r) for x in got}
-    t = [sum(x.stats[i] for x in got) for i in range(5)]
+    found = pairs.filter("kind = 0").select("part", "stats").toPandas()
+    stats = np.array(found["stats"].tolist(), np.int64).reshape(-1, 14)
+    model.pairs, model.bytes, model.many = (Mapped(pair_base, 1 << bits, found["part"].to_numpy(), *stats[:, i : i + 3].T) for i in (5, 8, 11))
+    model.n_pairs = int(stats[:, 0].sum())
+    model.pair_discounts = _discounts(stats[:, 1:5].sum(axis=0).tolist())
+
+    def merge_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, rows = Writer(number_base), []
+        for part, table in by_part(batches):
+            kind, r = part % 2 + 1, part // 2
+            out = np.zeros((1 << model.shift, 4 if kind == 1 else 1), np.uint64)
+            for blob in table.column("blob").to_pylist():
+                at, *columns = unpacked(blob)
+                for i, c in enumerate(columns):
+                    out[at.astype(np.int64) - (r << model.shift), i] += c.astype(np.uint64)
+            stats = _counts_of_counts(out[:, 0]) + [int((out[:, 0] >= 3).sum())] if kind == 2 else [0] * 5
+            rows.append((kind, r, *stats, *file.put(out)))
+        file.close()
+        yield _rows(rows, ["kind", "part", "n1", "n2", "n3", "n4", "more", *_place("table")])
+
+    numbers = pairs.filter("kind > 0").select((F.col("part") * 2 + F.col("kind") - 1).alias("part"), "blob")
+    got = merged(numbers, merge_numbers, _longs("kind", "part", "n1", "n2", "n3", "n4", "more", *_place("table"))).toPandas()
+    ranges = (model.n_words + 2 >> model.shift) + 1
+    model.contexts, model.after = (mapped(number_base, got[got["kind"] == kind], "table", ranges) for kind in (1, 2))
+    t = got[["n1", "n2", "n3", "n4", "more"]].sum().astype(int).tolist()
     model.word_discounts = _discounts(t[:4])
     d = model.word_discounts
     model.rest = (d[0] * t[0] + d[1] * t[1] + d[2] * t[4]) / model.n_pairs if model.n_pairs else 1.0
@@ -297,6 +304,18 @@ def train(docs: DataFrame, text_col: str = "text") -> Files:
     return model
 
 
+def _place(name: str) -> list[str]:
+    return [f"{name}_{x}" for x in ("file", "at", "size")]
+
+
+def _longs(*names: str) -> str:
+    return ", ".join(f"{n} long" for n in names)
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
+
+
 def _split(keys: np.ndarray) -> np.ndarray:
     """Differences of the upper halves of sorted keys; they compress well."""
     return np.diff((keys >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))
@@ -332,12 +351,12 @@ def log10_probabilities(model: Files, before: np.ndarray, own: np.ndarray) -> np
     floor = 1.0 / (model.n_types + 1)
     # words without context
     words, w_back = np.unique(own, return_inverse=True)
-    after = model.by_number("words-after", 1, np.maximum(words, 0))[:, 0] * (words >= 0)
+    after = model.by_number(model.after, 1, np.maximum(words, 0))[:, 0] * (words >= 0)
     e = np.array([0.0, *model.word_discounts])
     alone = np.maximum(after - e[np.minimum(after, 3)], 0) / max(1, model.n_pairs) + model.rest * floor
     # contexts
     contexts, c_back = np.unique(before, return_inverse=True)
-    table = model.by_number("contexts", 4, np.maximum(contexts, 0)) * (contexts >= 0)[:, None]
+    table = model.by_number(model.contexts, 4, np.maximum(contexts, 0)) * (contexts >= 0)[:, None]
     d = np.array([0.0, *model.pair_discounts])
     total = table[:, 3]
     weight = np.where(total > 0, table[:, :3] @ d[1:] / np.maximum(total, 1), 1.0)

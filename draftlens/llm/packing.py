@@ -7,15 +7,16 @@ in logarithmic time. Pieces of one length, and sequences with the same room, are
 interchangeable, so the driver packs the histogram of lengths (``room`` rows at most,
 whatever the table's size): a step puts a run of equal pieces into a run of equal sequences.
 The result is what packing all pieces one by one gives. It is a short list of (length, first
-rank, sequences, offset); workers rank the pieces of a length by the MD5 of their
-ids and look their places up. Ranks are running totals over parts of a length
-(``common.running``), so a length that a third of all pieces have is no single task.
+rank, sequences, offset); the pieces of a length are ranked by a given order (their ids, or their training
+positions) and look their places up. Ranks are running totals over ranges
+(``common.running``), so a length that a third of all pieces have is no single task. With an order, sequences
+are numbered by their earliest piece, so a curriculum shows in the sequences.
 
 Tokens: a text is the tokens of its white-space-separated parts in a row (the
 tokenizer never joins across white space), so a worker remembers parts.
 
-Rows: null text counts as empty, which is one piece with the separator alone. Rows that
-repeat an id are packed each. Empty tables give empty tables. Other columns are not read.
+Rows: null text counts as empty, which is one piece with the separator alone. Rows that repeat an id, or
+have none, are packed each. Empty tables give empty tables. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, power_of_two, running, spread_of
+from .common import in_order, numbered, running, small, stored
 
 ROOM = 2048
 SEPARATOR = 0
@@ -85,8 +86,8 @@ def _parts(path: str) -> _Parts:
     return _LOADED[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids binary of 32-bit numbers]) for each piece of each document."""
+def pieces(rows: DataFrame, tokenizer: str, room: int = ROOM, with_ids: bool = False) -> DataFrame:
+    """(doc_id, row, piece, start, length, ids_crc32[, ids binary of 32-bit numbers]) for each piece of each (doc_id, row, text)."""
     end = np.array([SEPARATOR], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,18 +95,17 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 rows: list[tuple] = []
-                ids = batch.column(0)[at : at + 1000].to_pylist()
-                for doc, text in zip(ids, batch.column(1)[at : at + 1000].to_pylist(), strict=True):
+                for doc, row, text in zip(*(batch.column(i)[at : at + 1000].to_pylist() for i in range(3)), strict=True):
                     data = b"".join(map(known.__getitem__, text.split(" ") if _ODD(text) else text.split())) + end if text else end
                     for k, a in enumerate(range(0, len(data), 4 * room)):
                         part = data[a : a + 4 * room]
-                        rows.append((doc, k, k * room, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + with_ids)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+                        rows.append((doc, row, k, k * room, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * (6 + with_ids)
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return rows.select("doc_id", "row", "text").mapInArrow(run, schema)
 
 
 class Capacities:
@@ -190,25 +190,39 @@ def packed(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, int,
     return steps
 
 
-def placed(cut: DataFrame, room: int = ROOM) -> DataFrame:
-    """cut with sequence_id and offset; it has doc_id, piece and length, and is read more than once."""
+def placed(cut: DataFrame, order: list[str], room: int = ROOM) -> DataFrame:
+    """cut with sequence_id and offset; it has length and the columns of ``order``, which tell pieces apart, and is read more than once."""
     spark = cut.sparkSession
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # room rows at most
     steps = packed(counts, room)
     table = spark.createDataFrame(steps or [], "_length long, _first long, _end long, _sequence long, _per long, _offset long")
-    parts = min(1 << 14, max(64, power_of_two(sum(counts.values()) / 500)))
-    ranked = running(cut, ["length"], spread_of("doc_id", "piece"), ["doc_id", "piece"], F.lit(1), parts, "_rank")
+    ranked = running(cut, ["length"], order, {"_rank": F.lit(1)}, sum(counts.values()))
     # the plan's size goes with the room, not with the pieces
     here = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     inside = F.col("_rank") - F.col("_first")
-    return ranked.join(F.broadcast(table), here).select(
+    return ranked.join(F.broadcast(table) if small(table, 48, len(steps)) else table, here).select(
         *cut.columns, (F.col("_sequence") + F.floor(inside / F.col("_per"))).cast("long").alias("sequence_id"), (F.col("_offset") + F.pmod(inside, F.col("_per")) * F.col("length")).alias("offset")
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
-    """The pieces of docs with their sequence and offset."""
-    return placed(checkpointed(pieces(docs, tokenizer, id_col, text_col, room)), room)
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, ordered: bool = False) -> DataFrame:
+    """The pieces of docs with their sequence and offset.
+
+    ordered: the files' order is the training order. Pieces of a length are then dealt in it, sequences are numbered by their
+    earliest piece, and each piece has its row's ``position`` in the order, which tells copies of a document apart.
+    """
+    at = {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(docs.columns)))}
+    rows = in_order(docs) if ordered else numbered(docs)
+    key = F.col("position") if ordered else F.col("row")
+    rows = rows.select(at[id_col].cast("long").alias("doc_id"), key.alias("row"), at[text_col].cast("string").alias("text"))
+    cut = stored(pieces(rows, tokenizer, room), "pieces")
+    if not ordered:
+        return placed(cut, ["doc_id", "piece", "row"], room).drop("row")
+    found = stored(placed(cut, ["row", "piece"], room), "placed")
+    first = found.groupBy("sequence_id").agg(F.min("row").alias("first"))
+    number = running(first, [], ["first", "sequence_id"], {"number": F.lit(1)}, first.count())
+    number = number.select("sequence_id", F.col("number").cast("long").alias("number"))
+    return found.join(number, "sequence_id").drop("sequence_id").withColumnsRenamed({"number": "sequence_id", "row": "position"})
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

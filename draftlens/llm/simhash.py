@@ -13,8 +13,8 @@ bits, so no task gets an unbounded block.
 
 Rows: a null text counts as empty; a text without words has fingerprint zero and
 links like any other; a row without id keeps its fingerprint, links nothing and has
-a null component. Repeated rows get the same result. Empty tables give empty tables.
-Other columns are not read.
+a null component. Repeated rows get the same result; of rows that share an id each has its own text's
+component. Empty tables give empty tables. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, release
+from .common import checkpointed, numbered, release, small
 
 #: Distinct fingerprints that one block may hold before it is dealt again by more bits.
 BLOCK = 1024
@@ -260,30 +260,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, fp, component_id) for each row; component_id is the smallest id reachable over links."""
     docs = checkpointed(fingerprints(df, id_col, text_col, k))
     nodes = checkpointed(docs.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = components(links(nodes, max_bits, block))
-    roots = checkpointed(nodes.join(roots, "node", "left").select(F.col("fp").alias("f"), F.coalesce("root", "node").alias("component_id")))
+    # an id that rows of several fingerprints share is no name of a node: the fingerprint is
+    named = nodes.select(F.col("fp").alias("node"), "fp")
+    roots = components(links(named, max_bits, block)).withColumnRenamed("node", "fp")
+    rooted = checkpointed(nodes.join(roots, "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
+    roots = checkpointed(rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id"))
     out = docs.join(roots, (F.col("fp") == F.col("f")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "fp", "component_id")
     release(df.sparkSession)
     return out
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates, **options) -> DataFrame:
+def grouped(rows: DataFrame, k: int = 3, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
+    """(doc, row, root) of (doc, row, text): rows whose fingerprints are linked have one root."""
+    found = checkpointed(fingerprints(rows, "row", "text", k).withColumnRenamed("doc_id", "row").join(rows.select("doc", "row"), "row"))
+    nodes = found.select(F.col("fp").alias("node"), "fp").distinct()
+    roots = checkpointed(components(links(checkpointed(nodes), max_bits, block)))
+    return found.join(roots, F.col("fp") == F.col("node"), "left").select("doc", "row", F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=grouped, **options) -> DataFrame:
     """The rows of docs less all but one of each near-duplicate group: the smallest id stays.
 
-    ``groups`` gives each row's doc_id and component_id. Rows without id stay. Of rows that share an id one stays.
+    ``groups`` takes (doc, row, text) and gives each row's group as (doc, row, root). Rows without id are rows like others and come
+    last in their group; of rows that share an id each goes or stays for its own group, and of equal rows one stays.
     """
-    found = checkpointed(groups(docs, id_col, text_col, **options))
-    rows, ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    n = gone.count()
-    from .common import small
-
-    gone = F.broadcast(gone) if small(gone, 16, n) else gone
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    if rows != ids:
-        none = kept.filter(F.col(id_col).isNull())
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(none)
-    return kept
+    rows = numbered(docs)
+    at = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
+    keyed = rows.select(F.col(f"c{at[id_col]}").cast("long").alias("doc"), "row", F.col(f"c{at[text_col]}").cast("string").alias("text"))
+    found = checkpointed(groups(keyed, **options))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first"), F.count("*").alias("n"))
+    stays = checkpointed(first.select(F.col("first.doc").alias("_doc"), F.col("first.row").alias("_row")))
+    gone = found.join(stays, (F.col("row") == F.col("_row")) & F.col("doc").eqNullSafe(F.col("_doc")), "left_anti")
+    gone = checkpointed(gone.select(F.col("doc").alias("_doc"), F.col("row").alias("_row")))
+    gone = F.broadcast(gone) if small(gone, 24) else gone
+    kept = rows.join(gone, (F.col("row") == F.col("_row")) & F.col(f"c{at[id_col]}").cast("long").eqNullSafe(F.col("_doc")), "left_anti")
+    return kept.drop("row").toDF(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -18,9 +18,9 @@ or same document and earlier start) is removed.
    key, down to single windows; so no group is unbounded.
 4. A last pass over the documents unites the windows, counts and cuts.
 
-Rows: null text counts as empty. Strings never cross rows. A null id comes after all others.
-Ids are meant to be unique: rows that share one count as one document seen twice at the same
-starts, so neither repeats the other. Other columns are kept aside and clash with nothing.
+Rows: null text counts as empty. Strings never cross rows. A null id comes after all others. Rows that share
+an id, or have none, are documents of their own, in an order that is the same in every run over the same
+files (``common.numbered``): of equal rows one keeps its bytes. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import HashSet, checkpointed, input_bytes, power_of_two, release, removed, scratch, small, stored, trim, write_array
+from .common import PLACE, HashSet, Mapped, Writer, by_part, checkpointed, input_bytes, numbered, partitions, places, power_of_two, release, removed, scratch, small, stored, trim
 
 SEED = 32
 #: Different spans of one key that a task sorts together; larger groups are split.
@@ -116,7 +117,9 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator
 def repeated_seeds(docs: DataFrame, text: str, length: int) -> HashSet:
     """The hashes of minimizers that occur in more than one span."""
     spark = docs.sparkSession
-    bits = max(6, power_of_two(input_bytes(docs, text) / 24e6).bit_length() - 1)
+    size = input_bytes(docs, text)
+    bits = max(6, power_of_two(size / 64e6).bit_length() - 1)
+    most = max(1_500_000, 8 << bits)  # a packed array for each part should hold some keys
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -134,24 +137,29 @@ def repeated_seeds(docs: DataFrame, text: str, length: int) -> HashSet:
         for batch in batches:
             for _, texts in _slices(batch, 0):
                 held.append(Spans(texts, length).key)
-                if sum(map(len, held)) > 1_500_000:
+                if sum(map(len, held)) > most:
                     yield from flush()
         yield from flush()
         trim()
 
     base = scratch(spark, "seeds")
 
-    def merge(key, table):
-        seen = [np.frombuffer(x, np.uint64) for x in table.column("seen").to_pylist()]
-        again = [np.frombuffer(x, np.uint64) for x in table.column("again").to_pylist()]
-        keys, n = np.unique(np.concatenate(seen), return_counts=True)
-        out = np.union1d(keys[n > 1], np.concatenate(again))
-        write_array(HashSet.path(base, part := key[0].as_py()), out)
-        return pa.table([pa.array([part], pa.int32()), pa.array([len(out)], pa.int64())], names=["part", "n"])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, parts, rows = Writer(base), [], []
+        for part, table in by_part(batches):
+            seen = [np.frombuffer(x, np.uint64) for x in table.column("seen").to_pylist()]
+            again = [np.frombuffer(x, np.uint64) for x in table.column("again").to_pylist()]
+            keys, n = np.unique(np.concatenate(seen), return_counts=True)
+            rows.append(out.put(np.union1d(keys[n > 1], np.concatenate(again))))
+            parts.append(part)
+        out.close()
+        yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32())} | places(rows))
+        trim()
 
     blobs = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(gather, "part int, seen binary, again binary")
-    sizes = blobs.groupBy("part").applyInArrow(merge, "part int, n long").collect()  # one small row for each of the 2^bits arrays
-    return HashSet(base, bits, {r.part: r.n for r in sizes})
+    blobs = blobs.repartition(min(1 << bits, partitions(docs, size)), "part").sortWithinPartitions("part")
+    found = blobs.mapInArrow(merge, f"part int, {PLACE}").toPandas()  # four numbers for each part of 64 MB of text
+    return HashSet(bits, Mapped(base, 1 << bits, *(found[c].to_numpy() for c in ("part", "file", "at", "size"))))
 
 
 def two_stage(data: np.ndarray, needed: np.ndarray, depth: int) -> np.ndarray:
@@ -213,8 +221,8 @@ def two_stage(data: np.ndarray, needed: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges (doc, first window, last window) of windows that also start earlier, among these contents."""
+def repeated_windows(contents: list[bytes], docs: np.ndarray, rows: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Ranges (doc, row, first window, last window) of windows that also start earlier, among these contents."""
     sizes = np.array([len(x) for x in contents], np.int64)
     data = np.frombuffer(b"\xff".join(contents) + b"\xff" * 128, np.uint8)
     base = np.cumsum(sizes + 1) - (sizes + 1)
@@ -244,39 +252,37 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, starts: np.ndarray
     member[same] = member[same + 1] = True
     order, cls = order[member], cls[member]
     owner = np.searchsorted(base, order, side="right") - 1
-    doc, at = docs[owner], starts[owner] + order - base[owner]
-    o = np.lexsort((at, doc, cls))
-    doc, at, cls = doc[o], at[o], cls[o]
+    doc, row, at = docs[owner], rows[owner], starts[owner] + order - base[owner]
+    o = np.lexsort((at, row, doc, cls))
+    doc, row, at, cls = doc[o], row[o], at[o], cls[o]
     later = np.r_[False, cls[1:] == cls[:-1]] if len(cls) else np.empty(0, bool)
-    # a window that two rows of one id have at one start is the first for both
-    first = np.maximum.accumulate(np.where(later, 0, np.arange(len(cls)))) if len(cls) else np.empty(0, np.int64)
-    later &= ~((doc == doc[first]) & (at == at[first])) if len(cls) else later
-    doc, at = doc[later], at[later]
-    o = np.lexsort((at, doc))
-    doc, at = doc[o], at[o]
+    doc, row, at = doc[later], row[later], at[later]
+    o = np.lexsort((at, row, doc))
+    doc, row, at = doc[o], row[o], at[o]
     if not len(doc):
-        return doc, at, at
-    cut = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]
+        return doc, row, at, at
+    cut = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)]
     begin = np.flatnonzero(cut)
-    return doc[begin], at[begin], at[np.r_[begin[1:], len(at)] - 1]
+    return doc[begin], row[begin], at[begin], at[np.r_[begin[1:], len(at)] - 1]
 
 
-_RANGE = "doc long, a long, b long"
+_RANGE = "doc long, row long, a long, b long"
 
 
-def _ranges(doc, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc", "a", "b"])
+def _ranges(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "row", "a", "b"])
 
 
-def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, group: int = GROUP) -> tuple[HashSet, DataFrame]:
-    """The repeated minimizers, and per document (doc, firsts: starts of spans that come first, ranges: windows in these that repeat)."""
+def coverage(docs: DataFrame, length: int = 100, group: int = GROUP) -> tuple[HashSet, DataFrame]:
+    """The repeated minimizers of (doc, row, text), and per row (doc, row, firsts: starts of spans that come first, ranges: windows in these that repeat)."""
     spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select("doc", "text", "row")
     seeds = repeated_seeds(src, "text", length)
+    parts = partitions(src, input_bytes(src, "text"), 16 << 20)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for at, texts in _slices(batch, 1):
                 s = Spans(texts, length)
                 keep = np.flatnonzero(seeds.contains(s.key)) if len(s.key) else np.empty(0, np.int64)
@@ -285,19 +291,20 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
                 end = (s.at[keep] + s.windows[keep] + length - 1).tolist()
                 content = pa.array([raw[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.key[keep].view(np.int64) if len(keep) else [], pa.int64()), content, pa.array(s.seed[keep], pa.int32()), pa.array(ids[at + s.doc[keep]], pa.int64()), pa.array(s.start[keep], pa.int64())],
-                    names=["key", "content", "seed", "doc", "start"],
+                    [pa.array(s.key[keep].view(np.int64) if len(keep) else [], pa.int64()), content, pa.array(s.seed[keep], pa.int32()), pa.array(ids[at + s.doc[keep]], pa.int64()), pa.array(rows[at + s.doc[keep]], pa.int64()), pa.array(s.start[keep], pa.int64())],
+                    names=["key", "content", "seed", "doc", "row", "start"],
                 )
         trim()
 
     def firsts(df: DataFrame) -> DataFrame:
-        place = F.min(F.struct("doc", "start")).alias("first")
-        return df.groupBy("key", "content", "seed").agg(place, F.count("*").alias("n")).select("key", "content", "seed", "first.doc", "first.start", "n")
+        place = F.min(F.struct("doc", "row", "start")).alias("first")
+        return df.groupBy("key", "content", "seed").agg(place, F.count("*").alias("n")).select("key", "content", "seed", "first.*", "n")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contents: list[bytes] = []
         keys: list[int] = []
         ids: list[int] = []
+        rows: list[int] = []
         starts: list[int] = []
         size = 0
 
@@ -306,19 +313,20 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
             _, back, count = np.unique(k, return_inverse=True, return_counts=True)
             use = np.flatnonzero(count[back] > 1)
             if not len(use):
-                return _ranges([], [], [])
-            return _ranges(*repeated_windows([contents[i] for i in use], np.array(ids, np.int64)[use], np.array(starts, np.int64)[use], length))
+                return _ranges([], [], [], [])
+            return _ranges(*repeated_windows([contents[i] for i in use], *(np.array(x, np.int64)[use] for x in (ids, rows, starts)), length))
 
         for batch in batches:
-            for key, content, doc, start in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, content, doc, row, start in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if size > 4 << 20 and key != keys[-1]:
                     yield flush(len(keys))
-                    for x in (contents, keys, ids, starts):
+                    for x in (contents, keys, ids, rows, starts):
                         x.clear()
                     size = 0
                 keys.append(key)
                 contents.append(content)
                 ids.append(doc)
+                rows.append(row)
                 starts.append(start)
                 size += len(content)
         if keys:
@@ -326,7 +334,7 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
         trim()
 
     found: list[DataFrame] = []
-    level = firsts(src.mapInArrow(spans, "key long, content binary, seed int, doc long, start long"))
+    level = firsts(src.mapInArrow(spans, "key long, content binary, seed int, doc long, row long, start long"))
     base = level = stored(level, "spans")
     release(spark)
     lo, hi = 0, length - SEED
@@ -339,7 +347,7 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
         if n_hot and small(hot, 8, n_hot):
             hot = F.broadcast(hot)
         fits = level.join(hot, F.col("key") == F.col("hot"), "left_anti") if n_hot else level
-        fits = fits.select("key", "content", "doc", "start").repartition("key").sortWithinPartitions("key")
+        fits = fits.select("key", "content", "doc", "row", "start").repartition(parts, "key").sortWithinPartitions("key")
         found.append(checkpointed(fits.mapInArrow(sort, _RANGE)))
         release(spark)
         if not n_hot:
@@ -348,7 +356,7 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
         def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for content, seed, doc, start, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                for content, seed, doc, row, start, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                     mid = (lo + hi) // 2
                     for x, y in ((lo, mid), (mid + 1, hi)):
                         # windows start at seed - o for an offset o of the minimizer; those in this half and in this span
@@ -356,26 +364,26 @@ def coverage(docs: DataFrame, id_col: str, text_col: str, length: int = 100, gro
                         if s0 <= s1 and x <= y:
                             common = content[seed - x : seed - y + length]
                             key = int.from_bytes(hashlib.blake2b(common + bytes((x, y)), digest_size=8).digest(), "little", signed=True)
-                            rows.append((key, content[s0 : s1 + length], seed - s0, doc, start + s0, x, y))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "content", "seed", "doc", "start", "lo", "hi"])
-
-        rows = level.join(hot, F.col("key") == F.col("hot"), "left_semi").select("content", "seed", "doc", "start", "lo", "hi")
-        rows = stored(rows.mapInArrow(halves, "key long, content binary, seed int, doc long, start long, lo int, hi int"), "halves")
-        first = F.min(F.struct("doc", "start")).alias("first")
-        level = stored(rows.groupBy("key", "content", "seed", "lo", "hi").agg(first, F.count("*").alias("n")).select("key", "content", "seed", "first.doc", "first.start", "lo", "hi", "n"), "level")
-        # a copy of a piece repeats in all its windows
-        twice = checkpointed(level.filter("n > 1").select(F.col("key").alias("k"), F.xxhash64("content").alias("c"), F.col("doc").alias("fd"), F.col("start").alias("fs"), F.length("content").alias("size")))
-        places = rows.select("key", F.xxhash64("content").alias("hash"), "doc", "start")
-        again = places.join(twice, (F.col("key") == F.col("k")) & (F.col("hash") == F.col("c"))).filter("doc <> fd OR start <> fs")
-        found.append(checkpointed(again.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size") - length).alias("b"))))
+                            rows.append((key, content[s0 : s1 + length], seed - s0, doc, row, start + s0, x, y))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+                types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "content", "seed", "doc", "row", "start", "lo", "hi"])
+
+        rows = level.join(hot, F.col("key") == F.col("hot"), "left_semi").select("content", "seed", "doc", "row", "start", "lo", "hi")
+        rows = stored(rows.mapInArrow(halves, "key long, content binary, seed int, doc long, row long, start long, lo int, hi int"), "halves")
+        first = F.min(F.struct("doc", "row", "start")).alias("first")
+        level = stored(rows.groupBy("key", "content", "seed", "lo", "hi").agg(first, F.count("*").alias("n")).select("key", "content", "seed", "first.*", "lo", "hi", "n"), "level")
+        # a copy of a piece repeats in all its windows; pieces are equal if their key and 128 bits of hashes are
+        same = [F.xxhash64("content").alias("c1"), F.xxhash64(F.lit(1), "content").alias("c2")]
+        twice = level.filter("n > 1").select("key", *same, F.struct("doc", "row", "start").alias("first"), F.length("content").alias("size"))
+        again = rows.select("key", *same, "doc", "row", "start").join(checkpointed(twice), ["key", "c1", "c2"]).filter("struct(doc, row, start) <> first")
+        found.append(checkpointed(again.select("doc", "row", F.col("start").alias("a"), (F.col("start") + F.col("size") - length).alias("b"))))
         kept += [rows, level]
     windows = found[0]
     for x in found[1:]:
         windows = windows.unionByName(x)
-    marks = base.select("doc", F.col("start").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(windows)
-    per_doc = marks.groupBy("doc").agg(F.collect_list(F.when(F.col("b").isNull(), F.col("a"))).alias("firsts"), F.collect_list(F.when(F.col("b").isNotNull(), F.struct("a", "b"))).alias("ranges"))
+    marks = base.select("doc", "row", F.col("start").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(windows)
+    per_doc = marks.repartition(parts, "doc", "row").groupBy("doc", "row").agg(F.collect_list(F.when(F.col("b").isNull(), F.col("a"))).alias("firsts"), F.collect_list(F.when(F.col("b").isNotNull(), F.struct("a", "b"))).alias("ranges"))
     per_doc = stored(per_doc, "marks")
     for df in kept:
         removed(spark, df)
@@ -402,9 +410,13 @@ def _cut(texts: list[bytes], marks: list[tuple[list, list]], seeds: HashSet, len
 
 
 def _with_marks(docs: DataFrame, id_col: str, text_col: str, length: int, group: int) -> tuple[HashSet, DataFrame]:
-    seeds, per_doc = coverage(docs, id_col, text_col, length, group)
-    per_doc = per_doc.withColumnRenamed("doc", "_doc").withColumnRenamed("firsts", "_firsts").withColumnRenamed("ranges", "_ranges")
-    return seeds, docs.join(per_doc, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_doc"), "left").drop("_doc")
+    """(doc, text, row, columns of docs as c0, c1, ..., firsts, ranges)."""
+    at = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
+    doc, text = F.col(f"c{at[id_col]}").cast("long"), F.col(f"c{at[text_col]}").cast("string")
+    rows = numbered(docs).select(F.coalesce(doc, F.lit(_LAST)).alias("doc"), text.alias("text"), "row", *[f"c{i}" for i in range(len(docs.columns)) if i != at[text_col]])
+    seeds, per_row = coverage(rows, length, group)
+    parts = partitions(docs, input_bytes(rows, "text"), 16 << 20)
+    return seeds, rows.repartition(parts, "doc", "row").join(per_row.repartition(parts, "doc", "row"), ["doc", "row"], "left")
 
 
 def _marks(firsts: pa.Array, ranges: pa.Array, at: int, n: int) -> list[tuple[set, list]]:
@@ -414,7 +426,7 @@ def _marks(firsts: pa.Array, ranges: pa.Array, at: int, n: int) -> list[tuple[se
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, group: int = GROUP) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    seeds, joined = _with_marks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text", length, group)
+    seeds, joined = _with_marks(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), "doc_id", "text", length, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,7 +440,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + n], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select("doc_id", "text", "_firsts", "_ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select(F.col("c0").alias("doc_id"), "text", "firsts", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, group: int = GROUP) -> DataFrame:
@@ -437,8 +449,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A row whose whole text repeats is dropped; rows that came without text stay.
     """
     seeds, joined = _with_marks(docs, id_col, text_col, length, group)
-    names = docs.columns
-    at_text = names.index(text_col)
+    at_text = docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,7 +472,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols = [pa.array(out, pa.string()) if j == at_text else batch.column(j)[at : at + n] for j in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    columns = [F.col("text").alias(n) if i == at_text else F.col(n) for i, n in enumerate(names)]
+    schema = T.StructType([T.StructField(n, T.StringType() if i == at_text else f.dataType) for i, (n, f) in enumerate(zip(names, docs.schema.fields, strict=True))])
+    return joined.select(*columns, "firsts", "ranges").mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,15 +3,18 @@
 import collections
 import hashlib
 import math
+import os
 import random
+import resource
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from draftlens.llm import html_text, jaccard, langid, mixing, neighbours, ngram, packing, quality, simhash, suffix, toxicity
+from draftlens.llm import common, html_text, jaccard, langid, mixing, neighbours, ngram, packing, quality, simhash, suffix, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key int"
 WORDS = ["alpha", "beta,", "the", "of", "and", "gamma", "delta.", "épsilon", "zeta", "eta", "theta", "iota"]
@@ -47,6 +50,29 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+MESSY = "`doc_id` long, text string, source string, `a.b` int, _doc int, row string, c0 int, score int, _words int, _lines int, lang string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def messy(spark, tmp_path_factory):
+    """Null and repeated ids, equal rows, and columns with awkward names, in files."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    p, many = some(400), " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(70))
+    texts = [(1, p), (None, p + some(50)), (None, some(600)), (None, some(30) + p), (2, p), (8, some(600)), (8, some(100) + p), (8, many), (9, many), (9, many), (9, many), (None, many), (None, many), (3, None), (None, None), (3, ""), (4, "x" * 250), (4, "x" * 250)]
+    texts += [(None, some(250)) for _ in range(6)] + [(20, "a b c d e f"), (20, "g h i")]
+    rows = [(i, t, ["s", None, "t"][k % 3], k, k, "r", k, k, k, k, "en", len(t or "")) for k, (i, t) in enumerate(texts)]
+    path = str(tmp_path_factory.mktemp("messy") / "t")
+    spark.createDataFrame(rows, MESSY).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def in_key_order(df):
+    """Rows (doc_id, text, position in docs) in the order of ids and row keys."""
+    got = common.numbered(df).collect()
+    return sorted(got, key=lambda r: (r.c0 is None, r.c0 or 0, r.row))
+
+
 def words_of(text):
     return (text or "").encode().lower().split()
 
@@ -177,6 +203,99 @@ def test_suffix_dedup_texts(docs, empty, rows):
     assert suffix.dedup_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [512, 2])
+def test_suffix_dedup_of_shared_ids(messy, group):
+    rows = in_key_order(messy)
+    want = removed_bytes([(k, r.c1) for k, r in enumerate(rows)], 100)
+    wanted = collections.Counter()
+    for k, r in enumerate(rows):
+        b, gone = want[k]
+        wanted[(r.c0, len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.dedup_report(messy, group=group).collect())
+    assert got == wanted
+    assert sum(1 for (i, n, gone, _), c in wanted.items() if i is None and n == 600 and not gone) == 1
+    out = suffix.deduplicated(messy, group=group)
+    assert out.columns == messy.columns and out.dtypes == messy.dtypes
+    texts = {k: np.frombuffer(b, np.uint8)[~gone].tobytes().decode() for k, (b, gone) in want.items()}
+    assert collections.Counter(x.text for x in out.collect() if x.text) == collections.Counter(x for x in texts.values() if x)
+
+
+def test_one_of_each_group_stays(spark, messy):
+    for groups in (simhash.grouped, jaccard.grouped):
+        out = simhash.deduplicated(messy, groups=groups)
+        assert out.columns == messy.columns
+        kept = out.collect()
+        rows = in_key_order(messy)
+        first = {}
+        for r in rows:
+            first.setdefault(" ".join(r.c1.split()) if r.c1 else "", r)
+        # texts that differ by a repeated passage may link too; each text of its own stays
+        own = {t for t in first if "w" in t or t in ("a b c d e f", "g h i", "x" * 250, "")}
+        assert collections.Counter(k.text or "" for k in kept if (k.text or "") in own) == collections.Counter(own)
+        assert {k.doc_id for k in kept if k.text and k.text.startswith("w")} == {8}
+
+
+def test_mix_of_shared_ids(spark, messy):
+    rows = spark.createDataFrame([(5, "one two three four five six seven", "u", "q")] * 4 + [(None, f"n{i} m", "u", "q") for i in range(9)], "doc_id long, text string, source string, `_copy.x` string")
+    for table in (rows, messy):
+        got = mixing.mixed(table).collect()
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.source].append(r)
+        for r in by.values():
+            assert abs(sum(x.taken for x in r) - r[0].target) <= 0.5
+        out = mixing.curriculum(table)
+        assert out.columns == table.columns
+        words = collections.Counter()
+        for r in out.collect():
+            words[r.source] += len(words_of(r.text))
+        assert words == collections.Counter({k: sum(x.taken for x in r) for k, r in by.items()})
+
+
+def test_packing_of_shared_ids(spark, messy, tmp_path):
+    path = packing.public_tokenizer()
+    got = packing.pack(messy, path, room=64).collect()
+    docs = [(r.c0, r.c1) for r in in_key_order(messy)]
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and sum(r.piece == 0 for r in got) == len(docs)
+    mixing.curriculum(messy).write.parquet(str(tmp_path / "mix"))
+    mix = spark.read.parquet(str(tmp_path / "mix"))
+    got = packing.pack(mix, path, room=64, ordered=True).collect()
+    assert len({r.position for r in got}) == mix.count() and len({(r.position, r.piece) for r in got}) == len(got)
+    first = {}
+    for r in got:
+        first[r.sequence_id] = min(first.get(r.sequence_id, r.position), r.position)
+    assert sorted(first) == list(range(len(first))) and [first[i] for i in range(len(first))] == sorted(first.values())
+
+
+def test_running_totals_of_one_hot_key(spark):
+    df = common.stored(spark.range(300_000).select(F.lit(1).alias("g"), F.lit(7).alias("same"), F.col("id").alias("row")), "hot")
+    got = common.running(df, ["g"], ["same", "row"], {"n": F.lit(1)}, 300_000)
+    assert got.filter("n <> row").count() == 0 and got.count() == 300_000
+
+
+def test_few_open_files(spark):
+    """Files of sorted arrays are mapped a few at a time."""
+    base = common.scratch(spark, "many")
+
+    def run(batches):
+        for batch in batches:
+            out, parts = common.Writer(base), batch.column(0).to_pylist()
+            rows = [out.put(np.arange(p, p + 3, dtype=np.uint64)) for p in parts]
+            out.close()
+            yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32())} | common.places(rows))
+
+    got = spark.range(0, 600, 1, 300).select(F.col("id").cast("int")).mapInArrow(run, f"part int, {common.PLACE}").toPandas()
+    files = common.Mapped(base, 600, *(got[c].to_numpy() for c in ("part", "file", "at", "size")))
+    limit = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 100, limit[1]))
+    try:
+        for part, _, _ in files.runs(np.arange(600)):
+            assert files.array(part, np.uint64).tolist() == [part, part + 1, part + 2]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limit)
+    assert len(files.maps) <= files.OPEN
+
+
 def test_two_stage_order():
     rng = random.Random(2)
     for alphabet in (b"ab", b"aab", bytes(range(97, 120))):
@@ -224,13 +343,14 @@ def test_mixing(docs, empty, rows):
     assert abs(sum(r[0].target for r in by.values()) - 1.5 * sum(size.values())) < 1
     copies = mixing.curriculum(docs).collect()
     assert sum(len(words_of(r.text)) for r in copies) == sum(r.taken for r in got)
-    assert all(0 <= r._position <= 1 for r in copies)
+    assert all((r.position is None) == (r.taken == 0) and 0 <= (r.position or 0) <= 1 for r in got)
     assert mixing.mixed(empty).count() == 0 and mixing.curriculum(empty).count() == 0
 
 
-def test_targets_share_the_excess():
-    got = mixing.targets([("b", 10), (None, 1000), ("a", 1000)])
-    assert [(s, t) for s, _, _, t in got] == [("a", 1797.0), ("b", 20.0), (None, 1198.0)]
+def test_targets_share_the_excess(spark):
+    sizes = spark.createDataFrame([("b", 10), (None, 1000), ("a", 1000)], "source string, n long").withColumn("none", F.col("source").isNull())
+    assert {r.source: r.target for r in mixing.targets(sizes).collect()} == {"a": 1797.0, "b": 20.0, None: 1198.0}
+    assert {r.target for r in mixing.targets(sizes, budget=9.0).collect()} == {20.0, 2000.0}
 
 
 # --- op9 ----------------------------------------------------------------------------------------
