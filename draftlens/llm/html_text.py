@@ -5,8 +5,8 @@ crossed tags; truncated pages). What is no article by its tag, role or class is
 Every paragraph then has points for its length and commas and passes them to its ancestors: all
 to its parent, half to the next, a third of that share and less further up. An ancestor's points
 are discounted by its link density (characters in links over all). The best container is kept, and
-of its siblings those with enough points or running text. All blocks of the kept
-parts are returned, in page order.
+of its siblings, and of its ancestors' siblings, those with enough points or running text. All blocks of the kept
+parts are returned, in page order. A form that holds more than half of the page's paragraphs is a wrapper, and no form.
 
 Rows: null, empty and text-free pages give ''. Rows do not depend on each other, so ties, repeats
 and skew do not matter. Nothing is cut: pages are read whole. Columns beside the
@@ -44,7 +44,7 @@ _ENDS = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
 }
-_ASIDE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea title iframe svg canvas object embed dialog menu noembed noframes xmp math audio video map".split())
+_ASIDE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea title iframe svg canvas object embed dialog menu noembed noframes xmp audio video map".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation topbar footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond social share sharing related recommended recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager toolbar widget widgets hidden outbrain taboola aside".split())
 _ARTICLE_NAMES = frozenset("article body content entry main page post story text".split())
@@ -160,6 +160,32 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _unwrap(root: Node) -> None:
+    """A form around the page is a container like others."""
+    chars: dict[int, int] = {}
+    forms: dict[int, Node] = {}
+    total = 0
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while todo:
+        node, form, inside = todo.pop()
+        if node.tag == "form" and node.aside and form is None:
+            form = forms[id(node)] = node
+        elif node.aside:
+            continue
+        inside = inside or node.tag in ("p", "pre", "article")
+        for x in node.kids:
+            if type(x) is Node:
+                todo.append((x, form, inside))
+            elif inside:
+                size = len(x.strip())
+                total += size
+                if form is not None:
+                    chars[id(form)] = chars.get(id(form), 0) + size
+    for key, n in chars.items():
+        if 2 * n > total:
+            forms[key].aside = False
+
+
 def _score(nodes: list[Node]) -> None:
     """Characters, commas and link characters of each node's own part of the tree, then the points."""
     for node in reversed(nodes):
@@ -226,6 +252,7 @@ def main_text(html: str | None) -> str:
     if not html or html.isspace():
         return ""
     root = parse(html)
+    _unwrap(root)
     nodes = _walk(root)
     _score(nodes)
     boxes = [x for x in nodes if x.chars and (x.tag in _BOXES or x.tag in ("td", "blockquote") and any(type(y) is Node and y.tag in ("p", "div") for y in x.kids))]
@@ -250,6 +277,14 @@ def main_text(html: str | None) -> str:
                 elif x.tag in ("h1", "h2", "h3") and x.chars and not x.linked:
                     kept.append(x)
         kept = [x for x in best.parent.kids if any(x is y for y in kept)]
+        # parts of the text may stand in other branches
+        up = best.parent
+        while up.parent is not None and up.tag not in ("article", "main"):
+            before = [x for x in up.parent.kids if type(x) is Node]
+            at = next(i for i, x in enumerate(before) if x is up)
+            also = [not x.aside and x.tag in _BLOCK and _final(x) >= max(2.0, 0.2 * _final(best)) and x.linked < 0.25 * x.chars for x in before]
+            kept = [x for i, x in enumerate(before) if i < at and also[i]] + kept + [x for i, x in enumerate(before) if i > at and also[i]]
+            up = up.parent
     out: list[str] = []
     for x in kept:
         _blocks(x, out)

@@ -8,8 +8,8 @@ share one sorted array of 64-bit n-gram hashes; beside each n-gram stand its fin
 probabilities, and beside each context its back-off weights, for every language.
 The language with the lowest cross-entropy per character wins.
 
-Training reads a bounded sample: documents are taken by a hash of id and text at a rate at which a
-language gives about ``train_chars`` characters. The driver fits the models on it
+Training reads a bounded sample: documents of up to ``train_chars`` characters are taken by a hash of the text at a rate at
+which a language gives about ``train_chars`` characters; copies count once, and twice ``train_chars`` is the limit. The driver fits the models on it
 and sends them to the workers; their size is bounded by the sample's, whatever the table's.
 
 The score is a calibrated probability of the choice: a logistic curve over the margin
@@ -19,7 +19,8 @@ rejected by ``rejected`` (see ``identify``); ``op7`` only returns `und` for text
 without a letter.
 
 Rows: a null text, or one without a letter, gives `und` and score 0. Null ids are
-predicted too. Null languages teach nothing. With nothing to learn from, all is `und`.
+predicted too. Null languages teach nothing. With nothing to learn from, all is `und`. A column that has
+the name of an output gives way to it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import trim
@@ -279,6 +280,7 @@ def split(text: str) -> list[str]:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, train_chars: int = TRAIN_CHARS) -> Identifier:
     """Fit on a sample of train with about ``train_chars`` characters for each language."""
     known = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = known.filter(F.length("text") <= train_chars)
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not sizes:
         return Identifier({}, order)
@@ -287,8 +289,11 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", order: int = O
     rate: Column = F.lit(0.0)
     for name, n in sizes.items():
         rate = F.when(F.col("lang") == name, F.lit(min(1.0, train_chars / max(1, n)))).otherwise(rate)
+    # a text that was drawn counts once, whatever its copies; should the distinct texts still be too many, the least hashes stay
+    drawn = known.filter(draw < rate).distinct().withColumn("place", draw)
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, 0))
     sample: dict[str, list[str]] = {name: [] for name in sizes}
-    for r in known.filter(draw < rate).collect():
+    for r in drawn.withColumn("chars", before).filter(F.col("chars") <= 2 * train_chars).collect():
         sample[r.lang].append(r.text)
     return Identifier({k: sorted(v) for k, v in sample.items()}, order)
 
@@ -310,14 +315,18 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text", prefix: str
         m.forget()
         trim()
 
-    got = docs.withColumn("_lid", run(F.col(text).cast("string")))
-    return got.select(*docs.columns, *[F.col(f"_lid.{x}").alias(n) for x, n in zip(("lang_pred", "score", "entropy", "rejected"), names, strict=True)])
+    keep = [i for i, c in enumerate(docs.columns) if c not in names]
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    got = rows.withColumn("found", run(F.col(f"c{docs.columns.index(text)}").cast("string")))
+    return got.select(*(f"c{i}" for i in keep), *(f"found.{x}" for x in ("lang_pred", "score", "entropy", "rejected"))).toDF(*(docs.columns[i] for i in keep), *names)
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """The rows of docs that are not rejected, with their columns as they are."""
     model = fit(docs.filter(~held_out(id_col)), text, lang, **options)
-    return identify(docs, model, text, "_lid_").filter(~F.col("_lid_rejected")).select(*docs.columns)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    found = identify(rows, model, f"c{docs.columns.index(text)}")
+    return found.filter(~F.col("rejected")).select(*rows.columns).toDF(*docs.columns)
 
 
 def held_out(id_col: str, modulus: int = 5, rest: int = 0) -> Column:

@@ -18,7 +18,7 @@ with a third of all rows alike thus needs no more work than any other.
 
 Rows: vectors that are null, zero, or hold a null or non-finite component take no part, nor do
 rows without id. Vectors only meet those with as many components. Rows that repeat an id are
-candidates each, but never for their own id. With fewer candidates than k all are returned.
+candidates each, but never for their own id; as a query an id has the least of its vectors. With fewer candidates than k all are returned.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Vectors in a block of candidates, and of queries.
 BLOCK = 4096
 QUERIES = 1024
@@ -49,15 +51,19 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).clip(-127, 127).astype(np.int8), scale
 
 
-def first_of_equal(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Rows that are among the first ``most``, by id, of those with the same components."""
+def first_of_equal(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows enough for every query: of those with the same components up to k of an id and 2 k in all, by id; less those of any one id k are left."""
     key = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
     _, group = np.unique(key, return_inverse=True)
+
+    def rank(*keys: np.ndarray) -> np.ndarray:
+        new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+        start = np.flatnonzero(new)
+        return np.arange(len(new)) - np.repeat(start, np.diff(np.r_[start, len(new)]))
+
     order = np.lexsort((ids, group))
-    g = group[order]
-    start = np.r_[0, np.flatnonzero(np.diff(g)) + 1]
-    rank = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)]))
-    return np.sort(order[rank < most])
+    order = order[rank(group[order], ids[order]) < k]
+    return np.sort(order[rank(group[order]) < 2 * k])
 
 
 def tile(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -104,17 +110,17 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """(query_id, rank, id, score): the k rows of the largest inner product with each query row."""
     rows = table.filter(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     points = _blocks(rows.select("id", "v"), block, "points")
-    queries = _blocks(rows.filter("q").select("id", "v"), QUERIES, "queries")
+    queries = _blocks(rows.filter("q").groupBy("id").agg(F.min("v").alias("v")), QUERIES, "queries")
     # the blocks' numbers, not their data
     places = points.select(F.col("dim").alias("d"), F.col("block").alias("to"))
-    sent = queries.join(F.broadcast(places), F.col("dim") == F.col("d")).select("dim", "to", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    sent = queries.join(F.broadcast(places) if small(places, 16) else places, F.col("dim") == F.col("d")).select("dim", "to", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     met = points.join(sent.withColumnRenamed("dim", "d"), (F.col("dim") == F.col("d")) & (F.col("block") == F.col("to"))).select("dim", "ids", "data", "q_ids", "q_data")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 p_ids, x = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
-                keep = first_of_equal(x, p_ids, k + 1)
+                keep = first_of_equal(x, p_ids, k)
                 n_ids, y = np.frombuffer(q_ids, np.int64), np.frombuffer(q_data, np.float64).reshape(-1, dim)
                 got = list(tile(y, n_ids, x[keep], p_ids[keep], k))
                 yield pa.RecordBatch.from_arrays([pa.array([int(n_ids[i]) for i, _, _ in got], pa.int64()), pa.array([p.tolist() for _, p, _ in got], pa.list_(pa.int64())), pa.array([s.tolist() for _, _, s in got], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
@@ -147,7 +153,7 @@ WITH e AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS score
-  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+  FROM (SELECT vec_id, min(v) AS v FROM e WHERE vec_id % 20 = 0 GROUP BY vec_id) q JOIN e c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -71,7 +71,10 @@ def _covered(pairs: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text", out: str = "measures") -> DataFrame:
     """docs with a struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words (long)."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    names_all = docs.columns
+    docs, names = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [c for c in docs.columns if c != out]
+    kept = [f"c{i}" for i, c in enumerate(names_all) if c != out]
+    body = F.coalesce(F.col(f"c{names_all.index(text)}").cast("string"), F.lit(""))
     words = F.array_remove(F.split(body, SPACE), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     staged = docs.withColumn("_words", words).withColumn("_lines", lines)
@@ -89,7 +92,7 @@ def measured(docs: DataFrame, text: str = "text", out: str = "measures") -> Data
         "n_repeat_words": F.when(F.col("_pairs").isNull(), F.lit(0)).otherwise(_covered(F.col("_pairs"))),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
     }
-    return staged.select(*docs.columns, F.struct(*[c.cast("long").alias(n) for n, c in found.items()]).alias(out))
+    return staged.select(*kept, F.struct(*[c.cast("long").alias(n) for n, c in found.items()])).toDF(*names, out)
 
 
 def passes(rules: tuple[Rule, ...], measure: str = "measures") -> Column:
@@ -112,7 +115,9 @@ def base_failed(measure: str = "measures") -> Column:
 
 def filtered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass."""
-    return measured(docs, text, "_q").filter(~base_failed("_q") & passes(rules, "_q")).select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    found = measured(plain, f"c{docs.columns.index(text)}", "q")
+    return found.filter(~base_failed("q") & passes(rules, "q")).select(*plain.columns).toDF(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,25 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
-A text is a bag of character 4-grams of its words (lower-cased, the word's ends marked),
-reduced to the terms whose presence goes with the label (chi-square over ``CHI``, and
-at least ``SHARE`` of the term's examples toxic). Examples
-and texts are TF-IDF vectors over these terms. The index is inverted: for each term the
-examples that have it, cut into blocks of ``BLOCK`` examples with each term's largest weight
-in the block. A query visits blocks by falling upper bound and stops when the bound is below the
-k-th best cosine, so the k nearest are exact. They vote with weight 1 / (margin + distance); a
-logistic curve, fitted on the examples' votes for each other, makes the vote a probability.
-A text without any of the terms gets the share of toxic ones among such examples.
-
-Training reads a bounded sample: at most about ``MAX_EXAMPLES`` labelled rows and ``MAX_CHARS``
-characters, drawn by a hash of the id, whatever the tables' sizes. The index is as
-bounded and is sent to the workers. All documents are scored, over their whole texts.
-
-Rows: null and empty texts have no terms. Labels that are null or other than 0 and 1 teach
-nothing; rows with several labels count as several examples. Without examples all scores
-are 0. Repeated rows score alike. The id is used to draw examples and as evidence only.
+A text is a bag of stems (the first ``STEM`` letters and digits of a word, in lower case), over all terms of the
+examples. Examples and texts are TF-IDF vectors of length 1; a term's weight also has a factor that grows from ``FLOOR`` to 1
+with its chi-square against the label, so that the words of the subject don't drown what the label is about, but no
+term is left out.
+
+The index is inverted: for each term the examples that have it, in blocks of ``BLOCK`` examples with each term's largest
+weight in the block. Similar examples are neighbours in the index (they are halved again and again along their main
+direction), which makes the blocks' bounds tight. A query visits blocks by falling bound and stops when the
+bound is below the k-th best cosine, so the k nearest are exact. They vote with weight 1 / (margin + distance) for
+their label, times how frequent the label is over how frequent it is in the sample; a logistic curve, fitted on the
+examples' votes for each other, makes the vote a probability.
+
+Training reads a bounded sample: at most ``MAX_EXAMPLES`` labelled rows, half of them of each label if there are as
+many, and at most ``MAX_CHARS`` characters, drawn by a hash, whatever the tables' sizes. The index is as bounded
+and is sent to the workers. All documents are scored, over their whole texts.
+
+Rows: null and empty texts, and texts without a known term, get the share of label 1. Labels that are null or other than 0 and 1
+teach nothing; rows with several labels count as several examples, equal ones as one. Without examples all scores are 0.
+Repeated rows score alike. The id is used to draw examples and as evidence only. A column that has the name of
+an output gives way to it.
 """
 
 from __future__ import annotations
@@ -27,157 +30,182 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
+from .common import small, trim
 from .langid import held_out
 
-MAX_EXAMPLES = 6_000
-MAX_CHARS = 30_000_000
-GRAM = 4
-CHI = 20.0
-#: Least share of toxic ones among a term's examples.
-SHARE = 0.5
-MAX_TERMS = 4_000
+MAX_EXAMPLES = 2_000
+MAX_CHARS = 16_000_000
+#: Characters of a word that make a term, so that its inflections meet.
+STEM = 6
+#: The factor of a term's weight: FLOOR + (1 - FLOOR) * c^2 / (c^2 + CHI^2) for a chi-square of c.
+FLOOR = 0.02
+CHI = 30.0
 NEAREST = 15
-BLOCK = 64
+BLOCK = 32
 MARGIN = 0.05
 #: Words that a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 _RUNS = re.compile(r"\w+").findall
 
 
-def grams(word: str) -> list[str]:
-    """Character 4-grams of each run of letters and digits, with its ends marked."""
-    out = []
-    for run in _RUNS(word.lower()):
-        p = f" {run} "
-        out += [p[i : i + GRAM] for i in range(len(p) - GRAM + 1)] if len(p) > GRAM else [p]
-    return out
+def stems(word: str) -> list[str]:
+    """The first letters and digits of each run of them in a word, in lower case."""
+    return [run[:STEM] for run in _RUNS(word.lower())]
 
 
 class _Memo(dict):
-    """Numbers of the selected terms in a word."""
+    """Numbers of the known terms in a word."""
 
     def __init__(self, terms: dict[str, int]) -> None:
         self.terms = terms
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> list[int]:
         if len(self) >= MEMO:
             self.clear()
-        got = self[word] = tuple(self.terms[g] for g in grams(word) if g in self.terms)
+        got = self[word] = [self.terms[g] for g in stems(word) if g in self.terms]
         return got
 
 
+def _clusters(terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An order of sparse rows in which similar ones are neighbours, by halving along the main direction of a sketch."""
+    n = len(sizes)
+    h = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sketch = np.zeros((n, 64))
+    row = np.repeat(np.arange(n), sizes)
+    np.add.at(sketch, (row, (h >> np.uint64(58)).astype(np.int64)), np.where(h >> np.uint64(32) & np.uint64(1), weights, -weights))
+    order, todo = [], [np.arange(n)]
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            order.append(part)
+            continue
+        x = sketch[part] - sketch[part].mean(axis=0)
+        v = np.linspace(1.0, 2.0, 64)
+        for _ in range(12):
+            v = x.T @ (x @ v)
+            v /= max(np.linalg.norm(v), 1e-300)
+        part = part[np.argsort(x @ v, kind="stable")]
+        half = BLOCK * -(-len(part) // (2 * BLOCK))
+        todo += [part[half:], part[:half]]
+    return np.concatenate(order) if order else np.empty(0, np.int64)
+
+
 class Nearest:
-    """The block-max index over labelled examples."""
+    """The block-max index over labelled examples; share: how frequent label 1 is among all labelled rows."""
 
-    def __init__(self, examples: list[tuple[int | None, str, int]], k: int = NEAREST) -> None:
+    def __init__(self, examples: list[tuple[int | None, str, int]], k: int = NEAREST, share: float | None = None) -> None:
         self.k = k
-        self.n = len(examples)
-        number: Counter = Counter()
-        toxic: Counter = Counter()
-        of_word: dict[str, list[str]] = {}
-        for _, text, y in examples:
-            seen: set[str] = set()
-            for w in set(text.split()):
-                if (g := of_word.get(w)) is None:
-                    if len(of_word) > MEMO:
-                        of_word.clear()
-                    g = of_word[w] = grams(w)
-                seen.update(g)
-            number.update(seen)
-            if y:
-                toxic.update(seen)
-        ones = sum(y for *_, y in examples)
-        scored = []
-        for g, c in number.items():
-            a = toxic[g]
-            # chi-square of presence against the label
-            rest = self.n - c
-            if c >= 3 and rest and 0 < ones < self.n:
-                chi = self.n * (a * (self.n - ones - c + a) - (ones - a) * (c - a)) ** 2 / (ones * (self.n - ones) * c * rest)
-                if chi >= CHI and a >= SHARE * c:
-                    scored.append((-chi, g))
-        names = [g for _, g in sorted(scored)[:MAX_TERMS]]
-        self.names = names
-        self.terms = {g: i for i, g in enumerate(names)}
-        self.idf = np.array([np.log((1 + self.n) / (1 + number[g])) + 1 for g in names])
-        self.memo = _Memo(self.terms)
-        ids, labels, bags, empty = [], [], [], [0, 0]
-        for i, text, y in sorted(examples, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2])):
-            if bag := self.vector(text):
-                ids.append(i)
-                labels.append(y)
-                bags.append(bag)
-            else:
-                empty[y] += 1
-        self.ids, self.labels = ids, np.array(labels, np.float64)
-        self.none = (empty[1] + 0.5) / (sum(empty) + 1) if self.n else 0.0
+        examples = sorted(set(examples), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+        y = np.array([y for *_, y in examples], np.float64)
+        number = {}
+        bags = []
+        for _, text, _ in examples:
+            c: Counter = Counter()
+            for w, n in Counter(text.split()).items():
+                for g in stems(w):
+                    c[number.setdefault(g, len(number))] += n
+            bags.append((np.fromiter(c, np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c))))
+        n, ones, width = len(examples), y.sum(), len(number)
+        sizes = np.array([len(t) for t, _ in bags], np.int64)
+        term = np.concatenate([t for t, _ in bags]) if bags else np.empty(0, np.int64)
+        times = np.concatenate([c for _, c in bags]) if bags else np.empty(0)
+        owner = np.repeat(np.arange(n), sizes)
+        among = np.bincount(term, minlength=width)
+        toxic = np.bincount(term, y[owner], width)
+        rest = np.maximum(n - among, 1)
+        # chi-square of presence against the label
+        chi = n * (toxic * (n - ones - among + toxic) - (ones - toxic) * (among - toxic)) ** 2 / np.maximum(ones * (n - ones) * among * rest, 1) * (among < n)
+        self.idf = (np.log((1 + n) / (1 + among)) + 1) * (FLOOR + (1 - FLOOR) * chi**2 / (chi**2 + CHI**2))
+        self.names = list(number)
+        self.terms = number
+        self.memo = _Memo(number)
+        w = (1 + np.log(times)) * self.idf[term]
+        w /= np.maximum(np.sqrt(np.bincount(owner, w * w, n)), 1e-300)[owner] if n else 1
+        order = _clusters(term, w, sizes)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.labels = [examples[i][0] for i in order.tolist()], y[order]
+        self.share = (float(y.mean()) if n else 0.0) if share is None else share
+        drawn = float(y.mean()) if n else 0.5
+        # a vote counts as much as its label is rarer in the sample than it should be
+        ratio = np.array([(1 - self.share) / max(1 - drawn, 1e-9), self.share / max(drawn, 1e-9)])
+        self.votes = ratio[self.labels.astype(int)]
         # postings by term, their blocks' starts and largest weights
-        width, blocks = len(names), -(-len(bags) // BLOCK)
-        lists: list[tuple[list, list]] = [([], []) for _ in range(width)]
-        for i, bag in enumerate(bags):
-            for t, w in bag.items():
-                lists[t][0].append(i)
-                lists[t][1].append(w)
-        self.docs = [np.array(d, np.int64) for d, _ in lists]
-        self.weights = [np.array(w) for _, w in lists]
-        self.starts = np.array([np.searchsorted(d, np.arange(blocks + 1) * BLOCK) for d in self.docs]).reshape(width, blocks + 1)
-        self.most = np.zeros((width, blocks))
-        for t, (d, w) in enumerate(zip(self.docs, self.weights, strict=True)):
-            np.maximum.at(self.most[t], d // BLOCK, w)
+        o = np.lexsort((place[owner], term))
+        t, self.docs, self.weights = term[o], place[owner][o].astype(np.int32), w[o]
+        self.blocks = -(-n // BLOCK)
+        self.starts = np.searchsorted(t * max(1, self.blocks) + self.docs // BLOCK, np.arange(width * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(width * self.blocks)
+        np.maximum.at(self.most, t * self.blocks + self.docs // BLOCK, self.weights)
+        self.most = self.most.reshape(width, self.blocks)
         self.a, self.b = 1.0, 0.0
-        if len(bags) >= 20:
-            self._fit(bags)
-
-    def vector(self, text: str) -> dict[int, float]:
-        """The text's TF-IDF vector of length 1, by term; empty without terms."""
-        memo = self.memo
-        count = Counter(t for w in text.split() if (got := memo[w]) for t in got)
-        if not count:
-            return {}
-        v = {t: (1 + np.log(c)) * self.idf[t] for t, c in count.items()}
-        size = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / size for t, x in v.items()}
-
-    def nearest(self, bag: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if n >= 20:
+            self._fit([(t, self._weights(t, c)) for t, c in (bags[i] for i in order.tolist())])
+
+    def _weights(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(times)) * self.idf[terms]
+        return v / max(np.sqrt((v * v).sum()), 1e-300)
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's known terms and their TF-IDF weights, of length 1."""
+        memo, numbers = self.memo, []
+        for w in text.split():
+            numbers += memo[w]
+        terms, times = np.unique(np.array(numbers, np.int64), return_counts=True)
+        return terms, self._weights(terms, times)
+
+    def cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The exact cosines of the examples of some blocks, a row for each block."""
+        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+        start = self.starts[cell]
+        n = self.starts[cell + 1] - start
+        some = np.flatnonzero(n)
+        start, n = start[some], n[some]
+        ends = np.cumsum(n)
+        at = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        row = np.repeat(some % len(blocks), n) * BLOCK + self.docs[at] % BLOCK
+        return np.bincount(row, np.repeat(q[some // len(blocks)], n) * self.weights[at], len(blocks) * BLOCK)
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, nearest first, ties to the smaller number."""
-        terms = np.fromiter(bag, np.int64, len(bag))
-        q = np.fromiter(bag.values(), np.float64, len(bag))
-        bound = q @ self.most[terms]
         best_i, best_c = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best_c) >= self.k and bound[b] < best_c[self.k - 1] - 1e-12:
-                break
-            cosine = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), q.tolist(), strict=True):
-                s, e = self.starts[t, b], self.starts[t, b + 1]
-                if s < e:
-                    cosine[self.docs[t][s:e] - b * BLOCK] += x * self.weights[t][s:e]
-            at = np.flatnonzero(cosine > 0)
-            at = at[at + b * BLOCK != skip]
-            best_i, best_c = np.r_[best_i, at + b * BLOCK], np.r_[best_c, cosine[at]]
+        bound = q @ self.most[terms] if len(terms) else np.zeros(self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
+        at, step = 0, 4
+        while at < len(order):
+            if len(best_c) >= self.k:
+                order = order[: at + int((bound[order[at:]] >= best_c[self.k - 1] - 1e-12).sum())]
+                if at >= len(order):
+                    break
+            blocks = order[at : at + step]
+            at, step = at + step, 2 * step
+            c = self.cosines(terms, q, blocks)
+            i = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            some = np.flatnonzero((c > 0) & (i != skip))
+            best_i, best_c = np.r_[best_i, i[some]], np.r_[best_c, c[some]]
             o = np.lexsort((best_i, -best_c))[: self.k]
             best_i, best_c = best_i[o], best_c[o]
         return best_i, best_c
 
     def vote(self, i: np.ndarray, cosine: np.ndarray) -> float:
-        w = 1 / (MARGIN + np.maximum(0.0, 1 - cosine))
-        # half a vote for either label at full distance
-        return float(((w * self.labels[i]).sum() + 0.5) / (w.sum() + 1.0))
-
-    def _fit(self, bags: list[dict[int, float]]) -> None:
-        """A logistic curve from the log odds of votes without oneself to the labels."""
-        use = np.unique(np.linspace(0, len(bags) - 1, 1000).astype(int))
-        got = [(self.nearest(bags[i], i), self.labels[i]) for i in use.tolist()]
-        p = np.array([self.vote(*x) for x, _ in got])
-        x, y = np.r_[np.log(p / (1 - p)), 1.0, -1.0], np.r_[np.array([y for _, y in got]), 1.0, 0.0]
+        w = self.votes[i] / (MARGIN + np.maximum(0.0, 1 - cosine))
+        # a vote by the labels' frequencies at full distance
+        return float(((w * self.labels[i]).sum() + min(max(self.share, 1e-3), 1 - 1e-3)) / (w.sum() + 1.0))
+
+    def _fit(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """A logistic curve from the log odds of votes without oneself to the labels, which count by their frequency."""
+        p = np.array([self.vote(*self.nearest(t, q, i)) for i, (t, q) in enumerate(bags)])
+        x, y, c = np.log(p / (1 - p)), self.labels, self.votes
         a, b = 1.0, 0.0
         for _ in range(50):
             s = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w = np.maximum(s * (1 - s), 1e-9)
-            g = np.array([((s - y) * x).sum() + 0.1 * (a - 1), (s - y).sum() + 0.1 * b])
+            w = np.maximum(c * s * (1 - s), 1e-9)
+            g = np.array([(c * (s - y) * x).sum() + 0.1 * (a - 1), (c * (s - y)).sum() + 0.1 * b])
             step = np.linalg.solve([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]], g)
             a, b = a - step[0], b - step[1]
             if np.abs(step).max() < 1e-8:
@@ -186,17 +214,17 @@ class Nearest:
             self.a, self.b = float(a), float(b)
 
     def score(self, text: str | None) -> tuple[float, list, list[str]]:
-        """Probability of label 1, the nearest examples' ids, and the terms that the text shares with them."""
-        bag = self.vector(text) if text else {}
-        if not bag or not self.ids:
-            return self.none, [], []
-        i, cosine = self.nearest(bag)
+        """Probability of label 1, the nearest examples' ids, and the weightiest terms that the text shares with the examples."""
+        if not text or not self.ids:
+            return self.share, [], []
+        terms, q = self.vector(text)
+        i, cosine = self.nearest(terms, q)
         if not len(i):
-            return self.none, [], []
+            return self.share, [], []
         p = self.vote(i, cosine)
         s = 1 / (1 + np.exp(-np.clip(self.a * np.log(p / (1 - p)) + self.b, -30, 30)))
-        top = sorted(bag, key=lambda t: (-bag[t], t))[:5]
-        return float(s), [self.ids[j] for j in i[:5].tolist()], [self.names[t].strip() for t in top]
+        top = np.lexsort((terms, -q))[:5]
+        return float(s), [self.ids[j] for j in i[:5].tolist()], [self.names[t].strip() for t in terms[top].tolist()]
 
     def __getstate__(self):
         return self.__dict__ | {"memo": None}
@@ -205,24 +233,42 @@ class Nearest:
         self.__dict__ |= state | {"memo": _Memo(state["terms"])}
 
 
+def _even(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> Nearest:
     """Fit on a bounded sample of the labelled rows."""
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id IS NOT NULL")
-    rate = min(1.0, max_examples / max(1, known.count()))
-    # at most about max_examples rows of two numbers
-    few = F.broadcast(known.filter(draw < rate))
-    text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(few, "_id")
+    counts = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    if not total:
+        return Nearest([])
+    half = max_examples // 2
+    few = []
+    for y, n in counts.items():
+        room = half + max(0, half - counts.get(1 - y, 0))
+        # the rows of the least hashes; the rate only keeps the sort small
+        drawn = known.filter((F.col("_y") == y) & (_even("_id") < min(1.0, 2.0 * room / n + 1e-3))).distinct()
+        few.append(drawn.orderBy(_even("_id"), "_id").limit(room))
+    few = few[0].unionByName(few[1]) if len(few) > 1 else few[0]
+    body = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    # max_examples rows of two numbers
+    text = body.join(F.broadcast(few) if small(few, 16, max_examples) else few, "_id").filter(F.length("_text") <= max_chars).distinct()
     chars = text.agg(F.sum(F.length("_text"))).first()[0] or 0
-    rows = text.filter(draw < rate * min(1.0, max_chars / max(1, chars))).collect()
-    return Nearest([(r._id, r._text, r._y) for r in rows])
+    text = text.filter(_even("_text") < 0.9 * max_chars / chars) if chars > max_chars else text
+    rows = text.orderBy(_even("_text"), "_id", "_y").limit(max_examples).collect()
+    return Nearest([(r._id, r._text, r._y) for r in rows], share=counts.get(1, 0) / total)
 
 
 def scored(docs: DataFrame, model: Nearest, text_col: str = "text") -> DataFrame:
-    """docs with score, the ids of the nearest examples and the terms shared with them."""
+    """docs with score, evidence (the ids of the nearest examples) and terms shared with the examples."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text_col)
+    outputs = ("score", "evidence", "terms")
+    keep = [i for i, c in enumerate(docs.columns) if c not in outputs]
+    names, at = [f"c{i}" for i in keep], len(keep)
+    fields = docs.schema.fields
+    rows = docs.toDF(*(f"c{i}" for i in range(len(fields)))).select(*names, F.col(f"c{docs.columns.index(text_col)}").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -231,12 +277,15 @@ def scored(docs: DataFrame, model: Nearest, text_col: str = "text") -> DataFrame
                 part = batch.slice(i, 1000)
                 got = [m.score(x) for x in part.column(at).to_pylist()]
                 cols = [pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([x[2] for x in got], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*names, "score", "evidence", "terms"])
-
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType()).add("evidence", ArrayType(LongType())).add("terms", ArrayType(StringType()))
-    return docs.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *cols], names=[*names, *outputs])
+        m.memo.clear()
+        trim()
+
+    schema = StructType()
+    for n, i in zip(names, keep, strict=True):
+        schema = schema.add(n, fields[i].dataType)
+    schema = schema.add("score", DoubleType()).add("evidence", ArrayType(LongType())).add("terms", ArrayType(StringType()))
+    return rows.mapInArrow(run, schema).toDF(*(docs.columns[i] for i in keep), *outputs)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

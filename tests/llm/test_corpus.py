@@ -326,6 +326,55 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_models_are_kneser_ney():
+    """Against dictionaries; and the probabilities after a context sum to one."""
+    rng = random.Random(3)
+    samples = {x: collections.Counter("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(80)) for x, letters in (("aa", "abcé"), ("bb", "bcdd"))}
+    order = 3
+    model = langid.Models(samples, order)
+    alphabet = {c for s in samples.values() for w in s for c in w} | {"\x03"}
+    uniform = 1 / (len(alphabet) + 1)
+
+    def probability(lang):
+        count = [collections.Counter() for _ in range(order + 1)]
+        before = [collections.defaultdict(set) for _ in range(order + 1)]
+        for w, k in samples[lang].items():
+            m = f"\x02{w}\x03"
+            for n in range(1, order + 1):
+                for e in range(max(1, n - 1), len(m)):
+                    g = m[e - n + 1 : e + 1]
+                    if n == order or n > 1 and e == n - 1:
+                        count[n][g] += k
+                    elif e >= n:
+                        before[n][g].add(m[e - n])
+        for n in range(1, order):
+            count[n].update({g: len(x) for g, x in before[n].items()})
+
+        def p(context, c):
+            if len(context) >= order:
+                context = context[1 - order :]
+            n = len(context) + 1
+            low = p(context[1:], c) if n > 1 else uniform
+            seen = {g: k for g, k in count[n].items() if g[:-1] == context}
+            if not seen:
+                return low
+            once, twice = (sum(k == i for k in count[n].values()) for i in (1, 2))
+            d = once / (once + 2 * twice) if once and twice else 0.5
+            total = sum(seen.values())
+            return max(seen.get(context + c, 0) - d, 0) / total + d * len(seen) / total * low
+
+        return p
+
+    for i, lang in enumerate(("aa", "bb")):
+        p = probability(lang)
+        for context in ("\x02", "\x02a", "bc", "b", "zz"):
+            assert math.isclose(sum(p(context, c) for c in alphabet) + p(context, "z"), 1.0, rel_tol=1e-9)
+        for w in ("abc", "é", "ddc", "zab", "bcbcb"):
+            m = f"\x02{w}\x03"
+            want = -sum(math.log2(p(m[:e][-2:], m[e])) for e in range(1, len(m)))
+            assert math.isclose(float(model.bits([w])[0][0][i]), want, rel_tol=1e-4), (lang, w)
+
+
 # --- op5 ----------------------------------------------------------------------------------------
 
 
@@ -424,14 +473,67 @@ def test_toxicity(spark):
     model = toxicity.fit(docs, spark.createDataFrame([*labels, (5, None), (6, 7), (None, 1)], "doc_id long, toxic int").filter("doc_id is null or doc_id % 5 > 0"))
     got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
     assert all((got[i].score >= 0.5) == bool(y) for i, y in labels) and got[900].score == got[901].score < 0.5 and got[None].score >= 0.5 and got[None].evidence
-    bag = model.vector("grumblenaut snorkwad snorkwad")
-    near, cosine = model.nearest(bag)
-    every = sorted(((-sum(bag.get(t, 0) * w for t, w in model.vector(text).items()), i) for i, text in rows if i in model.ids))[: model.k]
+    bag = dict(zip(*(x.tolist() for x in model.vector("grumblenaut snorkwad snorkwad")), strict=True))
+    near, cosine = model.nearest(*model.vector("grumblenaut snorkwad snorkwad"))
+    every = sorted(((-sum(bag.get(t, 0) * w for t, w in zip(*model.vector(text), strict=True)), i) for i, text in rows if i in model.ids))[: model.k]
     assert np.allclose(cosine, [-c for c, _ in every]) and len(near) == model.k
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_by_brute_force():
+    """Weights, cosines over whole bags, votes and scores against dictionaries."""
+    rng = random.Random(16)
+    vocabulary = [f"{rng.choice(['ba', 'ne', 'zu', 'ko'])}{rng.choice(['rt', 'lm', 'xx'])}{i}" for i in range(120)]
+    text = lambda bad: " ".join([*rng.choices(vocabulary, k=rng.randint(1, 60)), *(rng.choices(["Vileword", "nastyish!"], k=2) if bad else [])])
+    examples = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(150)]
+    model = toxicity.Nearest(examples, share=0.1)
+    bags = [collections.Counter(w.lower().strip("!")[:6] for w in t.split()) for _, t, _ in examples]
+    n, ones = len(bags), sum(y for *_, y in examples)
+
+    def weight(term):
+        k = sum(term in b for b in bags)
+        a = sum(term in b for b, (*_, y) in zip(bags, examples, strict=True) if y)
+        chi = n * (a * (n - ones - k + a) - (ones - a) * (k - a)) ** 2 / (ones * (n - ones) * k * (n - k)) if k < n else 0
+        return (math.log((1 + n) / (1 + k)) + 1) * (toxicity.FLOOR + (1 - toxicity.FLOOR) * chi**2 / (chi**2 + toxicity.CHI**2))
+
+    idf = {t: weight(t) for t in set().union(*bags)}
+
+    def vector(bag):
+        v = {t: (1 + math.log(c)) * idf[t] for t, c in bag.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [vector(b) for b in bags]
+    for t in [text(k % 2) for k in range(40)]:
+        q = vector(collections.Counter(w.lower().strip("!")[:6] for w in t.split()))
+        cosine = sorted((sum(x * v.get(k, 0) for k, x in q.items()) for v in vectors), reverse=True)[: model.k]
+        i, got = model.nearest(*model.vector(t))
+        assert np.allclose(got, cosine)
+        votes = [((0.9 / (1 - ones / n), 0.1 / (ones / n))[int(model.labels[j])] / (toxicity.MARGIN + max(0, 1 - c)), model.labels[j]) for j, c in zip(i, got, strict=True)]
+        p = (sum(w * y for w, y in votes) + 0.1) / (sum(w for w, _ in votes) + 1)
+        assert math.isclose(model.score(t)[0], 1 / (1 + math.exp(-(model.a * math.log(p / (1 - p)) + model.b))), rel_tol=1e-6)
+    assert model.score("")[0] == model.score(None)[0] == model.score("unknown")[0] == 0.1
+
+
+def test_clashing_names(messy):
+    names = messy.columns
+    assert quality.measured(messy).columns == [*names, "measures"] and quality.measured(messy).select("_words", "`a.b`").first()[0] is not None
+    assert quality.filtered(messy).columns == names
+    out = toxicity.scored(messy, toxicity.Nearest([(1, "abc", 1), (2, "x", 0)]))
+    assert out.columns == [*(n for n in names if n != "score"), "score", "evidence", "terms"] and out.select("score", "`a.b`").count() == messy.count()
+    out = langid.identify(messy, langid.fit(messy))
+    assert out.columns == [*(n for n in names if n != "score"), "lang_pred", "score", "entropy", "rejected"] and out.select("score").count() == messy.count()
+    assert langid.accepted(messy).columns == names
+
+
+def test_empty_tables(spark, empty):
+    assert toxicity.scored(empty, toxicity.fit(empty, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).count() == 0
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert langid.identify(empty, langid.fit(empty)).count() == 0 and langid.accepted(empty).count() == 0
+
+
 # --- op6 ----------------------------------------------------------------------------------------
 
 
@@ -451,6 +553,16 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 120, 20))
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """25 equal rows of one id, and a query that is there twice, hide nobody."""
+    rows = [(0, [1.0, 0.0])] * 25 + [(20, [1.0, 0.0])] * 2 + [(i, [1.0, 0.0]) for i in range(101, 110)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=8, block=64).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r.vec_id)
+    assert got == {0: [20, 20, *range(101, 107)], 20: [0] * 8}
+
+
 # --- op1 ----------------------------------------------------------------------------------------
 
 
@@ -498,6 +610,10 @@ PAGES = {
     "<article><section><p>Long, long text of a section, with commas.</section><section><p>Short</section></article><form>q</form>": "Long, long text of a section, with commas.\nShort",
     "<!-- <p>no</p> --><style>p{}</style><p>a &#228; &unknown; <i>b</i>c": "a ä &unknown; bc",
     '<p title="a>b">quoted': "quoted",
+    "<body><form id=f action=x><div><input><p>All of the article, in a form, as some systems do it.</p><p>More of it, to read.</p></div></form></body>": "All of the article, in a form, as some systems do it.\nMore of it, to read.",
+    "<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math>, as known, and so on.</p>": "Energy is E=m, as known, and so on.",
+    "<body><div class=wrap><div class=c1><div><p>First half of the text, long enough, with commas, to count.</p></div></div><div class=c2><div><p>Second half of the text, long enough too, with commas, to count.</p></div></div></div></body>": "First half of the text, long enough, with commas, to count.\nSecond half of the text, long enough too, with commas, to count.",
+    "<div><form><p>Your name, please</p><label>Mail</label></form><p>An article, which is longer than the form, and has its own paragraph.</p></div>": "An article, which is longer than the form, and has its own paragraph.",
 }
 
 
