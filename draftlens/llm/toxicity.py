@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ class Nearest:
         self.votes = ratio[self.labels.astype(int)]
         # postings by term, their blocks' starts and largest weights
         o = np.lexsort((place[owner], term))
-        t, self.docs, self.weights = term[o], place[owner][o].astype(np.int32), w[o]
+        t, self.docs, self.weights = term[o], place[owner][o], w[o]
         self.blocks = -(-n // BLOCK)
         self.starts = np.searchsorted(t * max(1, self.blocks) + self.docs // BLOCK, np.arange(width * self.blocks + 1)).astype(np.int32)
         self.most = np.zeros(width * self.blocks)
@@ -152,45 +153,48 @@ class Nearest:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The text's known terms and their TF-IDF weights, of length 1."""
-        memo, numbers = self.memo, []
-        for w in text.split():
-            numbers += memo[w]
+        numbers = list(chain.from_iterable(map(self.memo.__getitem__, text.split())))
         terms, times = np.unique(np.array(numbers, np.int64), return_counts=True)
         return terms, self._weights(terms, times)
 
-    def cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """The exact cosines of the examples of some blocks, a row for each block."""
-        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-        start = self.starts[cell]
-        n = self.starts[cell + 1] - start
-        some = np.flatnonzero(n)
-        start, n = start[some], n[some]
+    def _products(self, start: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and products of runs of postings, each with a weight of the query."""
         ends = np.cumsum(n)
-        at = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        row = np.repeat(some % len(blocks), n) * BLOCK + self.docs[at] % BLOCK
-        return np.bincount(row, np.repeat(q[some // len(blocks)], n) * self.weights[at], len(blocks) * BLOCK)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(start - (ends - n), n)
+        return self.docs[at], np.repeat(q, n) * self.weights[at]
+
+    def cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The exact cosines of the examples of some blocks, in their order; of the others zero."""
+        if 4 * len(blocks) > self.blocks:  # the postings of whole terms
+            start, end = self.starts[terms * self.blocks], self.starts[(terms + 1) * self.blocks]
+        else:
+            cell = (terms[:, None] * self.blocks + blocks).ravel()
+            start, end, q = self.starts[cell], self.starts[cell + 1], np.repeat(q, len(blocks))
+            some = np.flatnonzero(end > start)
+            start, end, q = start[some], end[some], q[some]
+        return np.bincount(*self._products(start, end - start, q), self.blocks * BLOCK)
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, nearest first, ties to the smaller number."""
-        best_i, best_c = np.empty(0, np.int64), np.empty(0)
         bound = q @ self.most[terms] if len(terms) else np.zeros(self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
-        at, step = 0, 4
-        while at < len(order):
-            if len(best_c) >= self.k:
-                order = order[: at + int((bound[order[at:]] >= best_c[self.k - 1] - 1e-12).sum())]
-                if at >= len(order):
-                    break
-            blocks = order[at : at + step]
-            at, step = at + step, 2 * step
+        least = 0.0
+        for blocks in (order[:4], order):
+            # a block whose bound is below the k-th best cosine has none of the k nearest
+            blocks = blocks[bound[blocks] >= least - 1e-12]
             c = self.cosines(terms, q, blocks)
-            i = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            some = np.flatnonzero((c > 0) & (i != skip))
-            best_i, best_c = np.r_[best_i, i[some]], np.r_[best_c, c[some]]
-            o = np.lexsort((best_i, -best_c))[: self.k]
-            best_i, best_c = best_i[o], best_c[o]
-        return best_i, best_c
+            if 0 <= skip < len(c):
+                c[skip] = 0.0
+            i = np.flatnonzero(c > max(0.0, least - 1e-12)) if least else np.flatnonzero(c)
+            i = i[np.lexsort((i, -c[i]))[: self.k]]
+            if len(i) < self.k:
+                continue
+            least = float(c[i[-1]])
+            if not (bound[order[4:]] >= least - 1e-12).any():
+                break
+        return i, c[i]
 
     def vote(self, i: np.ndarray, cosine: np.ndarray) -> float:
         w = self.votes[i] / (MARGIN + np.maximum(0.0, 1 - cosine))
