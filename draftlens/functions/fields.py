@@ -54,12 +54,16 @@ def memo(raw: Column, present: Column | None = None) -> Column:
 def normalised(df: DataFrame, date_order: str = "DMY", unicode: bool = True) -> DataFrame:
     """df with payee_raw, figures_raw, words_raw, date_raw, signed and memo_raw replaced by the six fields.
 
-    The figures come first: their cents stand in for an unread printed suffix of the words.
+    The figures come first: their cents stand in for an unread printed suffix of the words. If df has them, ``confidence`` (a struct by field
+    name), ``memo_present`` and ``signature_reason`` (why the verdict on the signature can't be told) are used and dropped too.
     """
     names = ("payee_raw", "figures_raw", "words_raw", "date_raw", "signed", "memo_raw")
-    df = df.withColumn("amount_numeric", field(figures(F.col("figures_raw"), unicode)))
+    optional = [c for c in ("confidence", "memo_present", "signature_reason") if c in df.columns]
+    conf = lambda name: F.col("confidence")[name] if "confidence" in optional else None
+    column = lambda name: F.col(name) if name in optional else None
+    df = df.withColumn("amount_numeric", field(figures(F.col("figures_raw"), unicode), conf("amount_numeric")))
     df = df.withColumn("_cents", F.when(ok(F.col("amount_numeric")), cents_of(F.col("amount_numeric.value"))))
-    df = df.withColumn("amount_words", words_field(in_words(F.col("words_raw"), F.col("_cents"), unicode)))
-    df = df.withColumn("payee", field(payee(F.col("payee_raw"), unicode))).withColumn("cheque_date", field(parse_date(F.col("date_raw"), date_order, unicode)))
-    df = df.withColumn("signature", field(signature(F.lit(None).cast("string"), F.col("signed")))).withColumn("memo", field(memo(F.col("memo_raw"))))
-    return df.drop(*names, "_cents")
+    df = df.withColumn("amount_words", words_field(in_words(F.col("words_raw"), F.col("_cents"), unicode), conf("amount_words")))
+    df = df.withColumn("payee", field(payee(F.col("payee_raw"), unicode), conf("payee"))).withColumn("cheque_date", field(parse_date(F.col("date_raw"), date_order, unicode), conf("cheque_date")))
+    df = df.withColumn("signature", field(signature(F.lit(None).cast("string"), F.col("signed"), column("signature_reason")), conf("signature"))).withColumn("memo", field(memo(F.col("memo_raw"), column("memo_present")), conf("memo")))
+    return df.drop(*names, "_cents", *optional)

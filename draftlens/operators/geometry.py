@@ -26,9 +26,11 @@ def to_pixels(regions: Column, width: Column, height: Column, pages: Column, pag
     def judge(x: Column) -> Column:
         polygon, info = x["region"]["polygon"], x["info"]
         odd = (F.size(polygon) < 6) | (F.size(polygon) % 2 == 1) | F.exists(polygon, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        xs = F.transform(F.filter(polygon, lambda v, i: i % 2 == 0), lambda v: _at(v, width / info["width"], width))
-        ys = F.transform(F.filter(polygon, lambda v, i: i % 2 == 1), lambda v: _at(v, height / info["height"], height))
-        box = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+        # scaling keeps the order, so only the extremes are scaled
+        xs, ys = F.filter(polygon, lambda v, i: i % 2 == 0), F.filter(polygon, lambda v, i: i % 2 == 1)
+        across = [_at(f(xs), width / info["width"], width) for f in (F.array_min, F.array_max)]
+        down = [_at(f(ys), height / info["height"], height) for f in (F.array_min, F.array_max)]
+        box = F.array(across[0], down[0], across[1], down[1])
         no_info = info.isNull() | info["width"].isNull() | info["height"].isNull() | ~(info["width"] > 0) | ~(info["height"] > 0)
         early = (
             F.when(~F.coalesce(sized, F.lit(False)), CONVERSIONS[0]).when(x["n"] == 0, CONVERSIONS[1]).when(x["region"].isNull(), CONVERSIONS[2]).when(no_info, CONVERSIONS[3]).when(~F.coalesce(info["unit"].isin(*UNITS), F.lit(False)), CONVERSIONS[4]).when(odd, CONVERSIONS[5])

@@ -21,7 +21,7 @@ def verdict_counts(df: DataFrame) -> DataFrame:
 
 
 def rule_status_counts(df: DataFrame) -> DataFrame:
-    return df.select(F.explode(F.map_values("rules")).alias("r")).groupBy(F.col("r.status").alias("status")).agg(F.count("*").alias("n"))
+    return rule_matrix(df).groupBy("status").agg(F.sum("n").alias("n"))
 
 
 def status_shares(df: DataFrame) -> DataFrame:
@@ -31,9 +31,15 @@ def status_shares(df: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("status", "n", F.try_divide(F.col("n").cast("double"), F.col("_total")).alias("share")).filter("n > 0")
 
 
-def rule_matrix(df: DataFrame) -> DataFrame:
-    """(rule, status, n)"""
-    return df.select(F.explode("rules").alias("rule", "r")).groupBy("rule", F.col("r.status").alias("status")).agg(F.count("*").alias("n"))
+def rule_matrix(df: DataFrame, rules: tuple[str, ...] = V.RULES) -> DataFrame:
+    """(rule, status, n), without statuses that don't occur.
+
+    All counts come from one aggregate; a generator over the rules would have their expressions copied into the filters that it implies.
+    """
+    pairs = [(r, s) for r in rules for s in (V.PASS, V.FAIL, V.UNABLE)]
+    counts = df.agg(*[F.count_if(F.col("rules")[r]["status"] == s).alias(f"n{i}") for i, (r, s) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("status"), F.col(f"n{i}").alias("n")) for i, (r, s) in enumerate(pairs)])
+    return counts.select(F.inline(rows)).filter("n > 0")
 
 
 def date_range(df: DataFrame, time: str = "processed_time") -> DataFrame:

@@ -24,6 +24,11 @@ class Config:
     amount_tolerance: Decimal = Decimal("0.00")
     max_age_months: int = 6
     reject_postdated: bool = False
+    #: Without evidence only statuses and confidences are computed, which is what counts and verdicts need.
+    evidence: bool = True
+
+    def outcome(self, status: Column | str, evidence: Column, confidence: Column | None = None) -> Column:
+        return outcome(status, evidence if self.evidence else F.lit(None).cast("string"), confidence)
 
     @property
     def distinctive(self) -> str:
@@ -38,10 +43,10 @@ def outcome(status: Column | str, evidence: Column, confidence: Column | None =
     return F.struct(status.alias("status"), evidence.alias("evidence"), (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"))
 
 
-def _unable(f: Column) -> Column:
+def _unable(f: Column, cfg: Config) -> Column:
     reason = F.coalesce(f["note"], F.when(f["status"] == V.ABSENT, "not returned").when(f["status"] == V.UNPARSEABLE, "could not be parsed").otherwise("ambiguous"))
     raw = F.when(F.coalesce(f["raw_text"].cast("string"), F.lit("")) != "", F.concat(F.lit(" (raw: "), python_repr(f["raw_text"].cast("string")), F.lit(")"))).otherwise("")
-    return outcome(V.UNABLE, F.concat(reason, raw))
+    return cfg.outcome(V.UNABLE, F.concat(reason, raw))
 
 
 def disagreed(f: Column) -> Column:
@@ -49,18 +54,18 @@ def disagreed(f: Column) -> Column:
     return (f["status"] == V.AMBIGUOUS) & f["value"].isNull()
 
 
-def _disagreed(f: Column, what: str) -> Column:
-    return outcome(V.UNABLE, F.concat(F.lit(f"repeated reads disagreed on the {what}: "), F.coalesce(f["note"], F.lit(""))), f["confidence"])
+def _disagreed(f: Column, what: str, cfg: Config) -> Column:
+    return cfg.outcome(V.UNABLE, F.concat(F.lit(f"repeated reads disagreed on the {what}: "), F.coalesce(f["note"], F.lit(""))), f["confidence"])
 
 
 def payee_rule(f: Column, cfg: Config) -> Column:
     near = within_distance(tokens(f["value"]), cfg.distinctive, cfg.payee_tolerance)
     text = python_repr(f["raw_text"])
     return (
-        F.when(disagreed(f), _disagreed(f, "payee"))
-        .when(~ok(f), _unable(f))
-        .when(near, outcome(V.PASS, F.concat(text, F.lit(f" names {cfg.expected_payee!r}")), f["confidence"]))
-        .otherwise(outcome(V.FAIL, F.concat(text, F.lit(f" does not name {cfg.expected_payee!r}")), f["confidence"]))
+        F.when(disagreed(f), _disagreed(f, "payee", cfg))
+        .when(~ok(f), _unable(f, cfg))
+        .when(near, cfg.outcome(V.PASS, F.concat(text, F.lit(f" names {cfg.expected_payee!r}")), f["confidence"]))
+        .otherwise(cfg.outcome(V.FAIL, F.concat(text, F.lit(f" does not name {cfg.expected_payee!r}")), f["confidence"]))
     )
 
 
@@ -73,31 +78,31 @@ def amount_rule(num: Column, words: Column, cfg: Config) -> Column:
     def fallback(m: Column, otherwise: Column) -> Column:
         claims = F.array_join(F.transform(m["claims"], lambda c: F.concat(c["times"].cast("string"), F.lit(" "), c["scale"])), ", ")
         return (
-            F.when(m["outcome"] == "matched", outcome(V.PASS, F.concat(figure, F.lit(" == words — resolved by token-match"))))
-            .when(m["outcome"] == "contradiction", outcome(V.FAIL, F.concat(figure, F.lit(" but the words state "), claims)))
+            F.when(m["outcome"] == "matched", cfg.outcome(V.PASS, F.concat(figure, F.lit(" == words — resolved by token-match"))))
+            .when(m["outcome"] == "contradiction", cfg.outcome(V.FAIL, F.concat(figure, F.lit(" but the words state "), claims)))
             .otherwise(otherwise)
         )
 
-    unread = outcome(V.UNABLE, F.concat(figure, F.lit(" but the written amount could not be read: "), F.coalesce(words["note"], words["status"])), words["confidence"])
+    unread = cfg.outcome(V.UNABLE, F.concat(figure, F.lit(" but the written amount could not be read: "), F.coalesce(words["note"], words["status"])), words["confidence"])
     both = F.concat(figure, F.when(words["value"] == num["value"], " == words $").otherwise(" != words $"), words["value"].cast("string"))
-    differs = F.when(words["degraded"], outcome(V.UNABLE, F.concat(both, F.lit(" after a repair; does not corroborate")))).otherwise(outcome(V.FAIL, both))
+    differs = F.when(words["degraded"], cfg.outcome(V.UNABLE, F.concat(both, F.lit(" after a repair; does not corroborate")))).otherwise(cfg.outcome(V.FAIL, both))
     return (
-        F.when(disagreed(num), _disagreed(num, "numeric amount"))
-        .when(~ok(num), _unable(num))
-        .when(disagreed(words), outcome(V.UNABLE, F.concat(figure, F.lit(" but repeated reads disagreed on the words: "), F.coalesce(words["note"], F.lit(""))), words["confidence"]))
+        F.when(disagreed(num), _disagreed(num, "numeric amount", cfg))
+        .when(~ok(num), _unable(num, cfg))
+        .when(disagreed(words), cfg.outcome(V.UNABLE, F.concat(figure, F.lit(" but repeated reads disagreed on the words: "), F.coalesce(words["note"], F.lit(""))), words["confidence"]))
         .when(~ok(words), let(match, lambda m: fallback(m, unread)))
-        .when(close & words["degraded"], outcome(V.PASS, F.concat(both, F.lit(" — resolved by corroboration"))))
-        .when(close, outcome(V.PASS, both))
+        .when(close & words["degraded"], cfg.outcome(V.PASS, F.concat(both, F.lit(" — resolved by corroboration"))))
+        .when(close, cfg.outcome(V.PASS, both))
         .otherwise(let(match, lambda m: fallback(m, differs)))
     )
 
 
-def signature_rule(f: Column) -> Column:
+def signature_rule(f: Column, cfg: Config = Config()) -> Column:
     return (
-        F.when(f["status"] == V.AMBIGUOUS, outcome(V.UNABLE, F.concat(F.lit("signature verdict unreliable: "), F.coalesce(f["note"], F.lit("orientation unknown"))), f["confidence"]))
-        .when(~ok(f), _unable(f))
-        .when(f["value"], outcome(V.PASS, F.lit("signature detected"), f["confidence"]))
-        .otherwise(outcome(V.FAIL, F.lit("no signature detected"), f["confidence"]))
+        F.when(f["status"] == V.AMBIGUOUS, cfg.outcome(V.UNABLE, F.concat(F.lit("signature verdict unreliable: "), F.coalesce(f["note"], F.lit("orientation unknown"))), f["confidence"]))
+        .when(~ok(f), _unable(f, cfg))
+        .when(f["value"], cfg.outcome(V.PASS, F.lit("signature detected"), f["confidence"]))
+        .otherwise(cfg.outcome(V.FAIL, F.lit("no signature detected"), f["confidence"]))
     )
 
 
@@ -107,16 +112,16 @@ def date_rule(f: Column, today: Column, cfg: Config) -> Column:
     old = F.concat(day, F.lit(" is stale-dated ("), months_between(today, f["value"]).cast("string"), F.lit(f" months old, limit {cfg.max_age_months})"), note)
     later = F.concat(day, F.lit(" is post-dated (today "), today.cast("string"), F.lit(")"), note)
     return (
-        F.when(disagreed(f), _disagreed(f, "date"))
-        .when(~ok(f), _unable(f))
-        .when(f["value"] < F.add_months(today, -cfg.max_age_months), outcome(V.FAIL, old, f["confidence"]))
-        .when(f["value"] > today, outcome(V.FAIL if cfg.reject_postdated else V.PASS, later, f["confidence"]))
-        .otherwise(outcome(V.PASS, F.concat(day, F.lit(f" is within {cfg.max_age_months} months"), note), f["confidence"]))
+        F.when(disagreed(f), _disagreed(f, "date", cfg))
+        .when(~ok(f), _unable(f, cfg))
+        .when(f["value"] < F.add_months(today, -cfg.max_age_months), cfg.outcome(V.FAIL, old, f["confidence"]))
+        .when(f["value"] > today, cfg.outcome(V.FAIL if cfg.reject_postdated else V.PASS, later, f["confidence"]))
+        .otherwise(cfg.outcome(V.PASS, F.concat(day, F.lit(f" is within {cfg.max_age_months} months"), note), f["confidence"]))
     )
 
 
-def memo_rule(f: Column) -> Column:
-    return F.when(disagreed(f), _disagreed(f, "memo")).when(ok(f), outcome(V.PASS, F.concat(F.lit("memo present: "), python_repr(f["raw_text"])), f["confidence"])).otherwise(_unable(f))
+def memo_rule(f: Column, cfg: Config = Config()) -> Column:
+    return F.when(disagreed(f), _disagreed(f, "memo", cfg)).when(ok(f), cfg.outcome(V.PASS, F.concat(F.lit("memo present: "), python_repr(f["raw_text"])), f["confidence"])).otherwise(_unable(f, cfg))
 
 
 def verdict(rules: Column) -> Column:
@@ -131,8 +136,8 @@ def validated(df: DataFrame, today: Column, cfg: Config | None = None) -> DataFr
 
     def each(d: Column) -> Column:
         found = {
-            "payee": payee_rule(d["payee"], cfg), "amount_match": amount_rule(d["amount_numeric"], d["amount_words"], cfg), "signature": signature_rule(d["signature"]),
-            "date": date_rule(d["cheque_date"], today, cfg), "memo": memo_rule(d["memo"]),
+            "payee": payee_rule(d["payee"], cfg), "amount_match": amount_rule(d["amount_numeric"], d["amount_words"], cfg), "signature": signature_rule(d["signature"], cfg),
+            "date": date_rule(d["cheque_date"], today, cfg), "memo": memo_rule(d["memo"], cfg),
         }
         return F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])
 

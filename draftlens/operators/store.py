@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from .rules import outcome, verdict
 
-ID = r"^CHQ-(\d{8})-(\d{4})$"
+ID = r"^CHQ-(\d{8})-(\d{4,})$"
 
 
 def record_id(day: Column, number: Column) -> Column:
@@ -32,8 +32,8 @@ def first_by_hash(df: DataFrame, order: list[str], key: str = "source_hash") ->
 
 
 def with_ids(df: DataFrame, store: DataFrame, day: str, order: list[str]) -> DataFrame:
-    """df with record_id: per day from one past the store's largest four-digit number, in the given order."""
-    taken = store.select(F.regexp_extract("record_id", ID, 1).alias("_day"), F.regexp_extract("record_id", ID, 2).try_cast("int").alias("_n")).filter("_n IS NOT NULL").groupBy("_day").agg(F.max("_n").alias("_max"))
+    """df with record_id: per day from one past the store's largest number (of four digits or more), in the given order."""
+    taken = store.select(F.regexp_extract("record_id", ID, 1).alias("_day"), F.regexp_extract("record_id", ID, 2).try_cast("long").alias("_n")).filter("_n IS NOT NULL").groupBy("_day").agg(F.max("_n").alias("_max"))
     # ids are dense within a day, so a day is one sequence by contract
     numbered = df.withColumn("_rank", F.row_number().over(Window.partitionBy(day).orderBy(*order)))
     joined = numbered.join(taken, F.col(day) == F.col("_day"), "left")

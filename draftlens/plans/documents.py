@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it is read in fewer parts than there are; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _words(dollars: Column) -> Column:
     """0-9999 in words, thousands and hundreds apart."""
     names = F.split(F.lit(",".join(V.below_thousand())), ",")
@@ -24,7 +30,7 @@ def _words(dollars: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document for each order; ``k`` alone decides which class each field is of."""
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders, customers = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("k")
     cents = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint") % 1_000_000
     df = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("k", F.col("o_orderkey")).withColumn("cents", cents)

@@ -98,7 +98,7 @@ WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day FROM orders
 old AS (SELECT day, count(*) AS n FROM o WHERE o_orderkey % 10 = 0 GROUP BY day)
 SELECT o_orderkey, 'CHQ-' || o.day || '-' || lpad((coalesce(n, 0) + row_number() OVER (PARTITION BY o.day ORDER BY o_orderkey))::VARCHAR, 4, '0') AS record_id
 FROM o LEFT JOIN old USING (day) WHERE o_orderkey % 10 <> 0""",
-    "new_only_antijoin": "SELECT c_custkey AS id FROM customer WHERE c_name NOT IN (SELECT c_name FROM orders JOIN customer ON o_custkey = c_custkey)",
+    "new_only_antijoin": "SELECT c_custkey AS id FROM customer WHERE c_name NOT IN (SELECT c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P')",
     "search_filter": "SELECT 'R' || c_custkey AS record_id FROM customer WHERE contains(lower('R' || c_custkey || ' ' || coalesce(c_name, '') || ' ' || coalesce(c_mktsegment, '') || ' ' || coalesce(c_name, '')), 'mach')",
     "year_filter": "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1997",
     "years_distinct": "SELECT DISTINCT year(o_orderdate)::VARCHAR AS year FROM orders",
@@ -119,7 +119,7 @@ FROM e LEFT JOIN cmp ON e.field = cmp.field GROUP BY e.field""",
 WITH y AS (SELECT l_returnflag AS field, year(l_shipdate) AS y, count(*)::DOUBLE AS lines, sum(l_linenumber)::DOUBLE AS numbers FROM lineitem GROUP BY 1, 2),
 u AS (SELECT field, y, 'lines' AS metric, lines AS value FROM y UNION ALL SELECT field, y, 'numbers', numbers FROM y)
 SELECT n.field, n.metric, n.value - b.value AS delta, n.value - b.value < -0.001 AS regressed FROM u n JOIN u b ON n.field = b.field AND n.metric = b.metric AND n.y = 1996 AND b.y = 1995""",
-    "transition_counts": _D + """SELECT 0::BIGINT AS improved, count(*) AS unchanged, 0::BIGINT AS regressed, count(*) FILTER (k % 4 = 3) AS confidence_up, count(*) FILTER (k % 4 = 1) AS confidence_down,
+    "transition_counts": _D + """SELECT count(*) FILTER (w < 5 AND k % 5 = 0 AND k % 3 <> 0) AS improved, count(*) FILTER (w >= 5 OR (k % 5 = 0) = (k % 3 = 0)) AS unchanged, count(*) FILTER (w < 5 AND k % 5 <> 0 AND k % 3 = 0) AS regressed, count(*) FILTER (k % 4 = 3) AS confidence_up, count(*) FILTER (k % 4 = 1) AS confidence_down,
   count(*) FILTER (k % 4 = 2) AS confidence_flat, count(*) FILTER (k % 4 = 0) AS confidence_skipped FROM d""",
     "verdict_transitions": _D + f""", o AS (
   SELECT *, CASE WHEN date_status IN ('OK', 'AMBIGUOUS') AND day > DATE '{TODAY}' THEN 'INVALID' ELSE verdict END AS old_verdict FROM v)
@@ -140,5 +140,15 @@ SELECT count(*) FILTER (p) AS n_real, min(v) FILTER (p) AS least_real, count(*)
   min(v) FILTER (p) - max(v) FILTER (NOT p) AS separation, 5000 > max(v) FILTER (NOT p) AND 5000 < min(v) FILTER (p) AS inside FROM c""",
     "template_refusals": _D + "SELECT o_orderpriority AS template, count(*) AS n, min(k) AS first, max(k) AS last FROM v WHERE verdict <> 'VALID' GROUP BY 1",
     "batch_summary": _D + "SELECT count(*) AS found, count(*) FILTER (k % 3 = 0) AS skipped, count(*) FILTER (k % 3 <> 0 AND f <> 4 AND g <> 5) AS processed, count(*) FILTER (k % 3 <> 0 AND (f = 4 OR g = 5)) AS errors FROM d",
+    "record_projection": _D + """SELECT k::VARCHAR AS record_id, '2' AS ruleset_version, verdict, payee AS payee_normalized, figure::BIGINT AS cents, CASE WHEN date_status IN ('OK', 'AMBIGUOUS') THEN day::VARCHAR END AS cheque_date,
+  CASE o_orderstatus WHEN 'O' THEN true WHEN 'P' THEN false END AS signature_detected, CASE WHEN k % 11 <> 0 THEN o_orderpriority END AS memo, r_amount AS amount_match, NULL::DOUBLE AS date_confidence FROM v""",
+    "revalidate": _D + f""", o AS (
+  SELECT *, CASE WHEN date_status IN ('OK', 'AMBIGUOUS') AND day > DATE '{TODAY}' THEN 'INVALID' ELSE verdict END AS old_verdict,
+    CASE WHEN k % 4 = 1 THEN [r_amount, r_date, r_memo] ELSE [r_payee, r_amount, r_signature, r_date, r_memo] END AS now FROM v WHERE k % 3 <> 0)
+SELECT k::VARCHAR AS record_id, old_verdict, CASE WHEN list_contains(now, 'FAIL') THEN 'INVALID' WHEN list_contains(now, 'UNABLE') THEN 'REVIEW' ELSE 'VALID' END AS new_verdict,
+  CASE WHEN k % 4 = 1 OR o_orderstatus = 'O' THEN true WHEN o_orderstatus = 'P' THEN false END AS signature_detected, k % 4 = 1 AS overlaid FROM o""",
+    "stream_ingest": """WITH e AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 AND user_id IS NOT NULL THEN sha256(user_id::VARCHAR || '|' || event_type) END AS source_hash FROM events)
+SELECT min(event_id) AS event_id, source_hash FROM e WHERE source_hash IS NOT NULL GROUP BY source_hash UNION ALL SELECT event_id, source_hash FROM e WHERE source_hash IS NULL""",
+    "payee_unicode": "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS payee FROM customer",
     "distinctive_near": _D + "SELECT count(*) FILTER (p IN (0, 1, 3)) AS within_0, count(*) FILTER (p IN (0, 1, 2, 3, 7)) AS within_1, count(*) FILTER (p IN (0, 1, 2, 3, 7)) AS within_2 FROM d",
 }

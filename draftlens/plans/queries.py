@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,20 +12,22 @@ from ..functions.amounts import figures, in_words, token_forms, verify_by_tokens
 from ..functions.dates import months_between, parse_date
 from ..functions.fields import field, normalised, payee, signature
 from ..functions.text import canonical_payee, let, similarity, tokens, within_distance
-from ..operators import compare, evaluate, geometry, reconcile, report, rules, store
-from .documents import TODAY, documents, table
+from ..operators import compare, evaluate, geometry, reconcile, records, report, rules, store
+from ..streaming.ingest import ingest
+from .documents import TODAY, documents, spread, table
 
 CFG = rules.Config()
+COUNTED = rules.Config(evidence=False)
 
 
 def _today():
     return F.lit(TODAY).cast("date")
 
 
-def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with fields, rules and verdict."""
+def checked(spark: SparkSession, sf_dir: str, cfg: rules.Config = COUNTED) -> DataFrame:
+    """All documents with fields, rules and verdict; without evidence, which counts don't need."""
     raw = documents(spark, sf_dir)
-    return rules.validated(normalised(raw, unicode=False), _today(), CFG)
+    return rules.validated(normalised(raw, unicode=False), _today(), cfg)
 
 
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +137,7 @@ def next_record_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_only_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.sha2("c_name", 256).alias("source_hash"))
-    served = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.sha2("c_name", 256).alias("source_hash"))
+    served = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.sha2("c_name", 256).alias("source_hash"))
     return store.new_only(customers, served).select("id")
 
 
@@ -214,8 +219,9 @@ def regression_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    old = d.select(F.col("k").alias("stem"), field(in_words(F.col("words_raw"), F.lit(None).cast("int"), False), F.lit(0.5)).alias("w"))
-    new = d.select(F.col("k").alias("stem"), field(in_words(F.col("words_raw"), (F.col("cents") % 100).cast("int"), False), F.when(F.col("k") % 4 > 0, F.lit(0.25) * (F.col("k") % 4))).alias("w"))
+    kept = lambda n: F.when(F.col("k") % n != 0, F.col("words_raw"))
+    old = d.select(F.col("k").alias("stem"), field(in_words(kept(5), F.lit(None).cast("int"), False), F.lit(0.5)).alias("w"))
+    new = d.select(F.col("k").alias("stem"), field(in_words(kept(3), (F.col("cents") % 100).cast("int"), False), F.when(F.col("k") % 4 > 0, F.lit(0.25) * (F.col("k") % 4))).alias("w"))
     return evaluate.transitions(old, new, "w").select("improved", "unchanged", "regressed", "confidence_up", "confidence_down", "confidence_flat", "confidence_skipped")
 
 
@@ -226,8 +232,8 @@ def _with_id(df: DataFrame) -> DataFrame:
 def verdict_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a rule set that rejects post-dated documents to one that accepts them."""
     d = _with_id(normalised(documents(spark, sf_dir), unicode=False))
-    old = rules.validated(d, _today(), rules.Config(reject_postdated=True))
-    return store.verdict_transitions(old, rules.validated(d, _today(), CFG))
+    old = rules.validated(d, _today(), rules.Config(reject_postdated=True, evidence=False))
+    return store.verdict_transitions(old, rules.validated(d, _today(), COUNTED))
 
 
 def override_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +254,7 @@ def geometry_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     x, y = (F.col("l_partkey") % 200).cast("double"), (F.col("l_suppkey") % 90).cast("double")
     w, h = (F.col("l_quantity").cast("int") % 60).cast("double"), F.lit(40.0)
     polygon = F.array(x, y, x + w, y, x + w, y + h, x, y + h)
@@ -294,6 +300,39 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("found"), F.count_if(F.col("k") % 3 == 0).alias("skipped"), F.count_if((F.col("k") % 3 != 0) & read).alias("processed"), F.count_if((F.col("k") % 3 != 0) & ~read).alias("errors"))
 
 
+def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored record of every document."""
+    got = records.projected(_with_id(checked(spark, sf_dir)), "2")
+    return got.select("record_id", "ruleset_version", "verdict", "payee_normalized", (F.col("amount_numeric").cast("decimal(38,2)") * 100).cast("bigint").alias("cents"), "cheque_date", "signature_detected", "memo", F.col("rules")["amount_match"]["status"].alias("amount_match"), F.col("confidence.date").alias("date_confidence"))
+
+
+def revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of rule set 1, which rejected post-dated documents, judged by rule set 2 with overrides on top; those of rule set 2 are left alone."""
+    old = rules.validated(normalised(_with_id(documents(spark, sf_dir)), unicode=False), _today(), rules.Config(reject_postdated=True, evidence=False))
+    known = records.projected(old, "1").withColumn("ruleset_version", F.when(F.col("record_id").cast("bigint") % 3 == 0, "2").otherwise(F.col("ruleset_version")))
+    over = documents(spark, sf_dir).filter("k % 4 = 1").select(F.col("k").cast("string").alias("record_id"), F.explode(F.array(F.lit("payee"), F.lit("signature"))).alias("rule"), F.lit("seen").alias("evidence"))
+    got = records.revalidated(known, over, "2", _today(), CFG, unicode=False)
+    return got.select("record_id", "old_verdict", F.col("verdict").alias("new_verdict"), "signature_detected", "overlaid")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream into a store that keeps one of each (user, type); those without user have no hash and are all kept."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    folder = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    user = F.when(F.col("event_id") % 50 != 0, F.col("user_id").cast("string"))
+    hashed = stream.select("event_id", F.when(user.isNotNull(), F.sha2(F.concat_ws("|", user, "event_type"), 256)).alias("source_hash"))
+    ingest(hashed, f"{folder}/store", f"{folder}/checkpoint", lambda df: df, ["event_id"]).awaitTermination()
+    return spark.read.parquet(f"{folder}/store").select("event_id", "source_hash")
+
+
+def payee_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payees in full-width letters are read as plain ones."""
+    wide = F.translate(F.col("c_name"), "Custome", "\uff23\uff55\uff53\uff54\uff4f\uff4d\uff45")
+    return table(spark, sf_dir, "customer").select("c_custkey", canonical_payee(wide, True).alias("payee"))
+
+
 def distinctive_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose payee is within the tolerance of the expected one's distinctive word, by tolerance."""
     d = documents(spark, sf_dir).select(let(canonical_payee(F.col("payee_raw"), False), tokens).alias("t"))
@@ -306,6 +345,6 @@ QUERIES = {
     for f in (
         verdict_counts, rule_status_counts, rule_matrix, verdicts, payee_check, payee_canonical, levenshtein_tokens, amount_numeric_parse, amount_words_parse, token_form_words, token_match, date_parse, date_rule, age_months,
         signature_rule, memo_rule, reconcile_runs, dedup_by_hash, next_record_id, new_only_antijoin, search_filter, year_filter, years_distinct, sort_view, date_range, field_accuracy, accuracy_grid, compare_field, agreement_eval,
-        regression_flags, transition_counts, verdict_transitions, override_overlay, override_integrity, geometry_convert, crop_validate, trigger_policy, calibration_stats, template_refusals, batch_summary, distinctive_near,
+        regression_flags, transition_counts, verdict_transitions, override_overlay, override_integrity, geometry_convert, crop_validate, trigger_policy, calibration_stats, template_refusals, batch_summary, distinctive_near, record_projection, revalidate, stream_ingest, payee_unicode,
     )
 } | {"similarity": similarity_query}

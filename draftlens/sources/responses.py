@@ -55,13 +55,14 @@ def signed_of(f: Column) -> Column:
 
 
 def raw_fields(df: DataFrame) -> DataFrame:
-    """df of responses with the raw inputs of the six fields; without a document all are null and error says so."""
+    """df of responses with the raw inputs of the six fields and their confidence; without a document all are null and error says so."""
     fields = F.try_element_at(F.col("documents"), F.lit(1))["fields"]
     one = {v: F.try_element_at(fields, F.lit(k)) for k, v in V.FIELD_NAMES.items()}
     raw = {"payee_raw": "payee", "figures_raw": "amount_numeric", "words_raw": "amount_words", "date_raw": "cheque_date", "memo_raw": "memo"}
     out = df.withColumn("error", F.when(fields.isNull(), "no document detected"))
     for name, field in raw.items():
         out = out.withColumn(name, text_of(one[field]))
+    out = out.withColumn("confidence", F.struct(*[one[v]["confidence"].cast("double").alias(v) for v in V.FIELD_NAMES.values()]))
     return out.withColumn("signed", signed_of(one["signature"])).withColumn("memo_present", one["memo"].isNotNull())
 
 

@@ -5,23 +5,32 @@ Deduplication has no horizon, so it is a join with the store in ``foreachBatch``
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import first_by_hash, new_only
 
 
 def ingest(stream: DataFrame, store_path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], order: list[str], key: str = "source_hash") -> StreamingQuery:
-    """Append the new rows of a stream to a Parquet store, transformed; a batch that is run again adds nothing twice."""
+    """Append the new rows of a stream to a Parquet store, transformed; a batch that is run again adds nothing twice.
+
+    Each batch is a folder of the store, named by the checkpoint and the batch's number, that is written anew if the batch is run
+    again, so rows without hash, which no join can find in the store, are not added twice either. Reading the store gives ``_stream`` and
+    ``_batch`` beside the rows' columns.
+    """
     spark = stream.sparkSession
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def each(batch: DataFrame, number: int) -> None:
         fresh = first_by_hash(batch, order, key)
         if exists(spark, store_path):
-            fresh = new_only(fresh, spark.read.parquet(store_path).select(key), key)
-        transform(fresh).write.mode("append").parquet(store_path)
+            others = spark.read.parquet(store_path).filter((F.col("_stream") != name) | (F.col("_batch") != number))
+            fresh = new_only(fresh, others.select(key), key)
+        transform(fresh).write.mode("overwrite").parquet(f"{store_path}/_stream={name}/_batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

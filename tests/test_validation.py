@@ -10,7 +10,8 @@ from draftlens.functions.amounts import figures, in_words, token_forms, verify_b
 from draftlens.functions.dates import parse_date
 from draftlens.functions.fields import normalised
 from draftlens.functions.text import canonical_payee, payee_for_comparison, python_repr
-from draftlens.operators import compare, geometry, reconcile, rules, store
+from draftlens.operators import compare, geometry, reconcile, records, rules, store
+from draftlens.streaming import ingest
 
 TODAY = datetime.date(2026, 8, 17)
 
@@ -168,3 +169,39 @@ def test_store(spark):
     new = spark.createDataFrame([("h1", "20260101", "b"), ("h2", "20260101", "d"), ("h2", "20260101", "c"), (None, "20260101", "e"), (None, "20260101", "f"), ("", "20260102", "g")], schema)
     got = {r.path: r.record_id for r in store.appended(old, new, "day", ["path"]).collect()}
     assert got == {"a": "CHQ-20260101-0007", "c": "CHQ-20260101-0008", "e": "CHQ-20260101-0009", "f": "CHQ-20260101-0010", "g": "CHQ-20260102-0001"}
+
+
+def test_ids_go_on_past_four_digits(spark):
+    known = spark.createDataFrame([("CHQ-20260101-9999",), ("CHQ-20260101-10000",), ("CHQ-20260102-0003",), ("other",)], "record_id string")
+    new = spark.createDataFrame([(1, "20260101"), (2, "20260101"), (3, "20260102"), (4, "20260103")], "k int, day string")
+    got = {r.k: r.record_id for r in store.with_ids(new, known, "day", ["k"]).collect()}
+    assert got == {1: "CHQ-20260101-10001", 2: "CHQ-20260101-10002", 3: "CHQ-20260102-0004", 4: "CHQ-20260103-0001"}
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    """Rows without hash too: the checkpoint's record of the last batch is taken away, and the batch comes again."""
+    source, path, checkpoint = tmp_path / "in", str(tmp_path / "store"), tmp_path / "checkpoint"
+    rows = [(1, "a"), (2, None), (3, ""), (4, "a")]
+    spark.createDataFrame(rows, "k int, source_hash string").coalesce(1).write.parquet(str(source))
+    for _ in range(2):
+        stream = spark.readStream.schema("k int, source_hash string").parquet(str(source))
+        ingest.ingest(stream, path, str(checkpoint), lambda df: df, ["k"]).awaitTermination()
+        for f in (checkpoint / "commits").iterdir():
+            f.unlink()
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_confidence_and_presence_reach_the_record(spark):
+    fields = "struct<payee:double,amount_numeric:double,amount_words:double,cheque_date:double,signature:double,memo:double>"
+    schema = f"payee_raw string, figures_raw string, words_raw string, date_raw string, signed boolean, memo_raw string, memo_present boolean, confidence {fields}"
+    row = ("Town of Whitby", "$5.00", "five dollars", "2026-01-02", True, None, False, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4))
+    df = normalised(spark.createDataFrame([row], schema), unicode=False)
+    assert df.first().memo.note == "memo not returned by the extractor" and df.first().payee.confidence == 0.9
+    checked = rules.validated(df.withColumn("source_file", F.lit("/a/b/c.jpg")), F.lit("2026-02-01").cast("date"))
+    r = records.projected(checked, "1.0", "m").first()
+    assert (r.source_file, r.ruleset_version, r.confidence.payee, r.confidence.date, r.raw_values.amount_words) == ("c.jpg", "1.0", 0.9, 0.6, "five dollars")
+    assert r.confidence.amount_numeric == r.confidence.amount_words
+    again = records.revalidated(records.projected(checked, "1.0").withColumn("record_id", F.lit("x")), spark.createDataFrame([("x", "memo", "seen")], "record_id string, rule string, evidence string"), "2.0", F.lit("2026-02-01").cast("date"), unicode=False)
+    got = again.first()
+    assert got.rules["memo"].status == "PASS" and got.overlaid and got.old_ruleset == "1.0" and got.payee_normalized == r.payee_normalized
+    assert records.pending(again, "2.0").count() == 0 and records.revalidation_events(again, F.current_timestamp()).first().event == "ruleset_revalidation"
