@@ -70,8 +70,7 @@ def within_distance(words: Column, target: str, tolerance: int) -> Column:
 
 
 def memo_for_comparison(c: Column, unicode: bool = True) -> Column:
-    t = F.upper(clean(c, unicode))
-    return F.when(t != "", t)
+    return let(F.upper(clean(c, unicode)), lambda t: F.when(t != "", t))
 
 
 # fixed values: printed labels that precede a payee
@@ -88,8 +87,7 @@ def without_payee_label(c: Column) -> Column:
 
 
 def payee_for_comparison(c: Column, unicode: bool = True) -> Column:
-    t = canonical_payee(without_payee_label(clean(c, unicode)), False)
-    return F.when(t != "", t)
+    return let(canonical_payee(let(clean(c, unicode), without_payee_label), False), lambda t: F.when(t != "", t))
 
 
 def python_repr(c: Column) -> Column:

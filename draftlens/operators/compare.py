@@ -14,8 +14,8 @@ THRESHOLD = 0.7
 
 
 POLICIES = ("disabled", "always_on_eligible_fields", "low_confidence_only", "handwritten_or_low_confidence")
-#: Fields that are never read again, whatever the configuration says.
-NEVER = frozenset(["amount_numeric", "cheque_date", "signature"])
+#: Fields that are never read again, whatever the configuration says: no reliable region, or nothing to compare with.
+NEVER = frozenset(["signature", "bank_name", "bank_address", "micr", "full_image", "amount_numeric", "cheque_date"])
 
 
 def eligible(fields: tuple[str, ...]) -> tuple[str, ...]:

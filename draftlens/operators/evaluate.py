@@ -34,16 +34,16 @@ def accuracy(truth: DataFrame, records: DataFrame, fields: list[str], key: str =
 
 
 def grid(truth: DataFrame, records: DataFrame, fields: list[str], key: str = "record_id") -> DataFrame:
-    """Y, N or - for each record and field."""
+    """Y, N or - for each field of the truth's records that there are; ``missing`` lists the others."""
     r = records.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_r_{f}") for f in fields])
-    joined = truth.join(r, F.col(key) == F.col("_key"), "left")
+    joined = truth.join(r, F.col(key) == F.col("_key"), "inner")
     return joined.select(key, *[F.when(F.col(f).isNull(), "-").when(equal(f, F.col(f), F.col(f"_r_{f}")), "Y").otherwise("N").alias(f) for f in fields])
 
 
 def agreement(verifications: DataFrame, fields: list[str]) -> DataFrame:
     """Per field the counts and rates of comparison outcomes; fields without rows are reported too.
 
-    verifications: (field, status, primary_ok, manual_review[, truth, primary, second]).
+    verifications: (field, status, primary_ok, manual_review).
     """
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     counted = verifications.groupBy("field").agg(
@@ -58,6 +58,52 @@ def agreement(verifications: DataFrame, fields: list[str]) -> DataFrame:
     return every.withColumn("compared", both).withColumn("agreement_rate", rate(both - F.col("disagree"), both)).withColumn("disagreement_rate", rate(F.col("disagree"), both)).withColumn("coverage_rate", rate(both, F.col("n")))
 
 
+def loosely_equal(field: Column, truth: Column, found: Column) -> Column:
+    """Whether a reading counts as the truth's, with the field's name in a column: money as numbers, texts loosely."""
+    number = lambda c: F.regexp_replace(c.cast("string"), r"[$,\s]", "").try_cast("decimal(38,2)")
+    money = F.startswith(field, F.lit("amount")) & number(truth).isNotNull() & number(found).isNotNull()
+    return F.when(money, number(truth) == number(found)).otherwise(F.coalesce(comparable(truth.cast("string")) == comparable(found.cast("string")), F.lit(False)))
+
+
+def evaluated(verifications: DataFrame, truth: DataFrame, fields: list[str]) -> DataFrame:
+    """Both recognisers per field, as agreement, and as accuracy where there is truth.
+
+    verifications: (record_id, field, crop, run, status, primary, second, selected); truth: (record_id, field, truth), one row for each at most.
+    Rates are over all rows of the field, completion over those that were attempted, matches over those with a truth; null over nothing.
+    """
+    t = truth.filter(F.col("truth").isNotNull()).select(F.col("record_id").alias("_id"), F.col("field").alias("_field"), "truth")
+    df = verifications.join(t, (F.col("record_id") == F.col("_id")) & (F.col("field") == F.col("_field")), "left")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    status, scored = F.col("status"), F.col("truth").isNotNull()
+    match = lambda c: n(scored & F.col(c).isNotNull() & loosely_equal(F.col("field"), F.col("truth"), F.col(c)))
+    counted = df.groupBy("field").agg(
+        F.count("*").alias("number_eligible"), n(F.col("run").isin("completed", "failed", "undetermined")).alias("number_attempted"), n(F.col("crop").isin("accepted", "adjusted")).alias("_cropped"), n(F.col("run") == "completed").alias("_completed"),
+        *[n(status == s).alias(c) for c, s in (("_exact", "AGREE_EXACT"), ("_normalized", "AGREE_NORMALIZED"), ("_listed", "AGREE_ALLOWLIST"), ("_disagree", "DISAGREE"), ("primary_only_count", "DI_ONLY"), ("both_undetermined_count", "BOTH_UNDETERMINED"))],
+        n(F.col("crop") == "rejected").alias("crop_rejected_count"), n((F.col("crop") == "not_run") & (F.col("run") == "not_run")).alias("not_run_count"), n(F.col("run") == "failed").alias("failed_count"),
+        n(scored).alias("ground_truth_scored"), match("primary").alias("_primary"), match("second").alias("_second"), match("selected").alias("_selected"),
+    )
+    every = verifications.sparkSession.createDataFrame([(f,) for f in fields], "field string").join(counted, "field", "left").na.fill(0)
+    rate = lambda a, b: F.bround(F.try_divide(F.col(a).cast("double"), F.col(b)), 4)
+    shares = (("crop_acceptance_rate", "_cropped", "number_eligible"), ("completion_rate", "_completed", "number_attempted"), ("exact_agreement_rate", "_exact", "number_eligible"), ("normalized_agreement_rate", "_normalized", "number_eligible"),
+              ("allowlist_agreement_rate", "_listed", "number_eligible"), ("disagreement_rate", "_disagree", "number_eligible"), ("primary_match_rate", "_primary", "ground_truth_scored"), ("second_match_rate", "_second", "ground_truth_scored"),
+              ("selected_match_rate", "_selected", "ground_truth_scored"))
+    return every.select(
+        "field", "number_eligible", "number_attempted", *[rate(a, b).alias(c) for c, a, b in shares], "primary_only_count", "both_undetermined_count", "crop_rejected_count", "not_run_count", "failed_count", "ground_truth_scored",
+        F.when(F.col("ground_truth_scored") > 0, "accuracy").otherwise("agreement").alias("analysis_kind"),
+    )
+
+
+def write_evaluation(df: DataFrame, folder: str) -> None:
+    """The evaluation as JSON lines and as CSV."""
+    df.write.mode("overwrite").json(f"{folder}/json")
+    df.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+
+
+def missing(truth: DataFrame, records: DataFrame, key: str = "record_id") -> DataFrame:
+    """Keys of the truth, or of an older extraction, that the records don't have."""
+    return truth.select(key).join(records.select(key), key, "left_anti")
+
+
 def regressions(now: DataFrame, baseline: DataFrame, falling: tuple[str, ...] = ("disagreement_rate",), epsilon: float = 0.001) -> DataFrame:
     """(field, metric, delta, regressed) of two long tables (field, metric, value); falling metrics regress when they rise."""
     joined = now.alias("n").join(baseline.alias("b"), ["field", "metric"]).filter("n.value IS NOT NULL AND b.value IS NOT NULL")
@@ -93,7 +139,16 @@ def calibration(values: DataFrame, value: str, positive: str, threshold: float)
 
 
 def refusals(df: DataFrame, template: str, name: str, refused: Column) -> DataFrame:
-    """Per template the number of refused documents and the first and last of their names."""
+    """Per template the number of refused documents and the first and last of their names; ``refused_names`` lists them all."""
     return df.filter(refused).groupBy(F.coalesce(F.col(template), F.lit("unknown")).alias("template")).agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(name).alias("last"))
 
 
+def refused_names(df: DataFrame, template: str, name: str, refused: Column) -> DataFrame:
+    """(template, name) of every refused document; rows and no list, so that a template of many refusals is no single value."""
+    return df.filter(refused).select(F.coalesce(F.col(template), F.lit("unknown")).alias("template"), F.col(name).alias("name"))
+
+
+def labelled(df: DataFrame, labels: DataFrame, key: str = "source_file", label: str = "template") -> DataFrame:
+    """df with the template of its file, or unknown; of several labels of one file the least."""
+    one = labels.groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
+    return df.join(one, F.col(key) == F.col("_key"), "left").withColumn(label, F.coalesce("_label", F.lit("unknown"))).drop("_key", "_label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import io
+import json
 import zipfile
 from collections.abc import Iterable
 
@@ -98,6 +99,48 @@ def guidance(df: DataFrame, table: Iterable[tuple[str, str, str]], rule: str, me
     return df.withColumn("advice", out)
 
 
+def verification_summary(records: DataFrame) -> DataFrame:
+    """One row over records (verdict, rules, ocr_verifications as map<string, struct<comparison: struct<status, manual_review, ...>, ...>>).
+
+    to_review counts records that are not VALID or, if there are none, fields that a second reading wants reviewed.
+    """
+    found = F.coalesce(F.map_values("ocr_verifications"), F.expr("array()"))
+    of = lambda *s: F.size(F.filter(found, lambda f: F.coalesce(f["comparison"]["status"].isin(*s), F.lit(False))))
+    rule = lambda s: F.size(F.filter(F.map_values("rules"), lambda r: F.coalesce(r["status"] == s, F.lit(False))))
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    counts = records.agg(
+        F.count("*").alias("total"), F.count_if(F.coalesce(F.size("ocr_verifications"), F.lit(0)) > 0).alias("verified"), total(F.when(F.col("ocr_verifications").isNotNull(), of("DISAGREE"))).alias("disagreements"),
+        total(F.when(F.col("ocr_verifications").isNotNull(), of("DI_ONLY", "CROP_REJECTED", "TROCR_NOT_RUN", "TROCR_FAILED"))).alias("not_verified"),
+        total(F.when(F.col("rules").isNotNull(), rule(V.FAIL))).alias("rule_failures"), total(F.when(F.col("rules").isNotNull(), rule(V.UNABLE))).alias("rule_undetermined"), F.count_if(~F.col("verdict").eqNullSafe(F.lit(V.VALID))).alias("_not_valid"),
+        total(F.when(F.col("ocr_verifications").isNotNull(), F.size(F.filter(found, lambda f: F.coalesce(f["comparison"]["manual_review"], F.lit(False)))))).alias("_flagged"),
+    )
+    return counts.withColumn("to_review", F.when(F.col("_not_valid") > 0, F.col("_not_valid")).otherwise(F.col("_flagged"))).drop("_not_valid", "_flagged")
+
+
+def score_text(evidence: Column, score: Column) -> Column:
+    """A recogniser's score as shown: nothing that was not measured looks like a probability."""
+    return F.when(F.coalesce(evidence == "raw_generation_evidence", F.lit(False)) & score.isNotNull(), F.format_string("%.3f (raw, not calibrated)", score)).otherwise("Not calibrated")
+
+
+def display_rows(df: DataFrame, order: tuple[str, ...] = V.RULES) -> DataFrame:
+    """The dashboard's columns of each record: dots of the rules in their order, absent ones left out, and words for what is unknown."""
+    dots = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.try_element_at("rules", F.lit(r))["status"].alias("status")) for r in order]), lambda d: d["status"].isNotNull())
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—")).alias(c)
+    signed = F.when(F.col("signature_detected"), "Yes").when(~F.col("signature_detected"), "No").otherwise("—")
+    badge = F.when(F.col("rotation_direction").isNull(), "").when(F.coalesce("rotation_confident", F.lit(True)), F.col("rotation_direction")).otherwise(F.concat(F.col("rotation_direction"), F.lit(" (unsure)")))
+    return df.select("record_id", *[shown(c) for c in ("payee", "payee_normalized", "amount_numeric", "amount_words", "cheque_date", "memo", "verdict", "processed_time", "source_file")], signed.alias("signature"), badge.alias("rotation"), dots.alias("rule_dots"))
+
+
+def script_json(rows: list[dict]) -> str:
+    """Rows as JSON that can stand in a script element."""
+    return json.dumps(rows, ensure_ascii=False, default=str).replace("</", "<\\/")
+
+
+def verification_page(summary: dict[str, int], rows: list[dict]) -> str:
+    """A page of second readings: totals and one line for each field of a view's records."""
+    return dashboard(summary, "Second readings", rows, ("record_id", "field", "status", "primary", "second", "score"))
+
+
 def summary_text(df: DataFrame) -> DataFrame:
     """A line for the verdict and one for each rule."""
     lines = F.transform(F.map_entries("rules"), lambda e: F.format_string("  %-7s %-13s %s", e["value"]["status"], e["key"], F.coalesce(e["value"]["evidence"], F.lit(""))))

@@ -45,6 +45,8 @@ WITH d0 AS (
 )
 """
 
+DOCUMENTS = _D
+
 _C = """
 WITH c AS (
   SELECT o_orderkey AS k, c_name, CASE WHEN k % 7 <> 0 THEN c_name END AS a,

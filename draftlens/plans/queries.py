@@ -14,6 +14,7 @@ from ..functions.fields import field, normalised, payee, signature
 from ..functions.text import canonical_payee, let, similarity, tokens, within_distance
 from ..operators import compare, evaluate, geometry, reconcile, records, report, rules, store
 from ..streaming.ingest import ingest
+from . import upkeep
 from .documents import TODAY, documents, spread, table
 
 CFG = rules.Config()
@@ -347,4 +348,4 @@ QUERIES = {
         signature_rule, memo_rule, reconcile_runs, dedup_by_hash, next_record_id, new_only_antijoin, search_filter, year_filter, years_distinct, sort_view, date_range, field_accuracy, accuracy_grid, compare_field, agreement_eval,
         regression_flags, transition_counts, verdict_transitions, override_overlay, override_integrity, geometry_convert, crop_validate, trigger_policy, calibration_stats, template_refusals, batch_summary, distinctive_near, record_projection, revalidate, stream_ingest, payee_unicode,
     )
-} | {"similarity": similarity_query}
+} | {"similarity": similarity_query} | upkeep.QUERIES
