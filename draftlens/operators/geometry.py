@@ -25,7 +25,8 @@ def to_pixels(regions: Column, width: Column, height: Column, pages: Column, pag
 
     def judge(x: Column) -> Column:
         polygon, info = x["region"]["polygon"], x["info"]
-        odd = (F.size(polygon) < 6) | (F.size(polygon) % 2 == 1) | F.exists(polygon, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        most, least = F.array_max(polygon), F.array_min(polygon)  # NaN is the largest of all
+        odd = (F.size(polygon) < 6) | (F.size(polygon) % 2 == 1) | (F.size(F.array_compact(polygon)) < F.size(polygon)) | F.isnan(most) | (most == float("inf")) | (least == float("-inf"))
         # scaling keeps the order, so only the extremes are scaled
         xs, ys = F.filter(polygon, lambda v, i: i % 2 == 0), F.filter(polygon, lambda v, i: i % 2 == 1)
         across = [_at(f(xs), width / info["width"], width) for f in (F.array_min, F.array_max)]
