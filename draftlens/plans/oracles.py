@@ -78,7 +78,32 @@ WITH b AS (
 )
 """
 
+_WORDS = """, below AS (
+  SELECT i, nullif(concat_ws(' ', CASE WHEN i >= 100 THEN ones[i // 100] || ' hundred' END, CASE WHEN i % 100 < 20 THEN ones[i % 100] ELSE tens[i % 100 // 10] END, CASE WHEN i % 100 >= 20 THEN ones[i % 10] END), '') AS name
+  FROM range(1000) t(i), (SELECT string_split('one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen', ' ') AS ones,
+    string_split('ten twenty thirty forty fifty sixty seventy eighty ninety', ' ') AS tens)
+), written AS (
+  SELECT v, coalesce(nullif(concat_ws(' ', t.name || ' thousand', r.name), ''), 'zero') AS standard, CASE WHEN v >= 1000 THEN concat_ws(' ', h.name || ' hundred', e.name) END AS compact
+  FROM range(10000) x(v) JOIN below t ON t.i = v // 1000 JOIN below r ON r.i = v % 1000 JOIN below h ON h.i = v // 100 JOIN below e ON e.i = v % 100
+), forms AS (
+  SELECT v, unnest([standard, compact]) AS form FROM written
+)
+"""
+
 ORACLES = {
+    "token_form_words": _D + _WORDS + "SELECT DISTINCT dollars, form FROM d JOIN forms ON v = dollars WHERE form IS NOT NULL",
+    # only the class of tenfold amounts needs a comparison: each word of a form as often in the text, then the multiples of scales
+    "token_match": _D + _WORDS + """, tenfold AS (
+  SELECT k, dollars, dollars * 10 % 10000 AS ten, string_split(standard, ' ') AS words FROM d JOIN written ON v = dollars * 10 % 10000 WHERE w = 4
+), complete AS (
+  SELECT k, bool_or(list_bool_and(list_transform(string_split(form, ' '), lambda x: len(list_filter(string_split(form, ' '), lambda y: y = x)) <= len(list_filter(words, lambda y: y = x))))) AS complete
+  FROM tenfold JOIN forms ON v = dollars AND form IS NOT NULL GROUP BY k
+), claimed AS (
+  SELECT k, complete, ten // 1000 IN (0, dollars // 1000) AS thousands,
+    ten % 1000 // 100 IN (0, dollars % 1000 // 100, CASE WHEN dollars >= 1000 THEN CASE WHEN dollars // 100 < 20 OR dollars // 100 % 10 = 0 THEN dollars // 100 ELSE dollars // 100 % 10 END END) AS hundreds
+  FROM tenfold JOIN complete USING (k)
+) SELECT k, CASE WHEN w < 4 THEN 'matched' WHEN w = 5 OR NOT complete THEN 'tokens_missing' WHEN thousands AND coalesce(hundreds, false) THEN 'matched' ELSE 'contradiction' END AS outcome
+FROM d LEFT JOIN claimed USING (k) WHERE w < 6""",
     "verdict_counts": _D + "SELECT count(*) AS total, count(*) FILTER (verdict = 'VALID') AS valid, count(*) FILTER (verdict = 'REVIEW') AS review, count(*) FILTER (verdict = 'INVALID') AS invalid FROM v",
     "rule_status_counts": _D + "SELECT status, count(*) AS n FROM m GROUP BY status",
     "rule_matrix": _D + "SELECT rule, status, count(*) AS n FROM m GROUP BY ALL",
