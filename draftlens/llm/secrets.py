@@ -36,20 +36,23 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 BASE = (
     ("assign", ASSIGN, 2, 12, "A-Za-z0-9+/_.=-"),
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18, "A-Z0-9"),
-    ("hex", r"[0-9a-f]{16,}", 0, 16, "0-9a-f"),
+    ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}", 0, 16, "0-9a-f"),
 )
+#: Texts without any of these in lower case have no match; looking for bytes is cheaper than matching.
+HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",)}
 KINDS = (*(k for k, *_ in BASE), "markov")
 RUN = "[A-Za-z0-9+/_=-]"
 LEAST = 16
-CANDIDATE = rf"{RUN}{{{LEAST},}}"
-IDENTIFIER = rf"{RUN}{{8,}}"
+#: Runs begin where none is before, so a run that is too short is not tried again from each of its characters.
+CANDIDATE = rf"(?<!{RUN}){RUN}{{{LEAST},}}"
+IDENTIFIER = rf"(?<!{RUN}){RUN}{{8,}}"
 #: Characters of the models, by code: printable ASCII; the space stands before the first character of a string.
 FIRST, WIDTH = 32, 95
 SYMBOLS = 68
 STRENGTH = 32
 SHARED = 0.01
 #: Bytes of text that the models are fitted on, about.
-SAMPLE_BYTES = 256 << 20
+SAMPLE_BYTES = 64 << 20
 #: How much likelier than not a span must be a secret.
 ODDS = 100
 #: Elements that running sums add up at a time.
@@ -72,24 +75,32 @@ def running_sums(x: Column) -> Column:
     return let(F.transform(x, lambda v: v.cast("bigint")), chunked)
 
 
-def located(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+def hinted(text: Column, kind: str) -> Column:
+    """Whether a text may have a match of the kind."""
+    out = F.lit(kind not in HINTS)
+    for part in HINTS.get(kind, ()):
+        out = out | F.contains(F.lower(text), F.lit(part))
+    return out
+
+
+def located(text: Column, pattern: str, group: int = 0, least: int = 0, may: Column | None = None) -> Column:
     """array<struct<start, end, value>> of the pattern's matches, leftmost and not overlapping, whose value is long enough."""
     p = F.lit(pattern)
-    found, values = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
+    found = F.regexp_extract_all(text, p, F.lit(0))
 
     def spans(m: Column) -> Column:
         steps = F.zip_with(F.slice(F.split(text, pattern), 1, F.size(m)), m, lambda gap, x: F.length(gap) + F.length(x))
         pairs = F.zip_with(running_sums(steps), m, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end")))
-        return F.zip_with(pairs, values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value")))
+        return F.zip_with(pairs, F.regexp_extract_all(text, p, F.lit(group)) if group else m, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value")))
 
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    all_ = F.when(text.rlike(pattern), let(found, spans)).otherwise(none)
+    all_ = F.when(text.rlike(pattern) if may is None else may & text.rlike(pattern), let(found, spans)).otherwise(none)
     return F.filter(all_, lambda s: F.length(s["value"]) >= least) if least else all_
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with an array of spans for each kind of ``BASE``, named by the kind."""
-    return docs.withColumns({kind: located(F.col(text), pattern, group, least) for kind, pattern, group, least, _ in BASE})
+    return docs.withColumns({kind: located(F.col(text), pattern, group, least, hinted(F.col(text), kind)) for kind, pattern, group, least, _ in BASE})
 
 
 # --- models ------------------------------------------------------------------------------------
@@ -106,9 +117,11 @@ def samples(docs: DataFrame, text: str = "text") -> DataFrame:
     clean = F.col(text)
     for _, pattern, *_ in BASE:
         clean = F.regexp_replace(clean, pattern, " ")
+    found = with_base(docs, text)
+    clean = F.when(sum((F.size(kind) for kind, *_ in BASE), F.lit(0)) > 0, clean).otherwise(F.col(text))
     named = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    base = [named(kind, F.transform(located(F.col(text), pattern, group, least), lambda s: s["value"])) for kind, pattern, group, least, _ in BASE]
-    return docs.select(F.inline(F.concat(*base, named("ordinary", F.regexp_extract_all(clean, F.lit(IDENTIFIER), F.lit(0))))))
+    base = [named(kind, F.col(kind)["value"]) for kind, *_ in BASE]
+    return found.select(F.inline(F.concat(*base, named("ordinary", F.regexp_extract_all(clean, F.lit(IDENTIFIER), F.lit(0))))))
 
 
 def ratios(labelled: DataFrame) -> tuple[dict[str, list[int]], int]:
