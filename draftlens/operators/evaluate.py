@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantile import medians
+
 
 TEXT_FIELDS = ("payee", "amount_words", "memo")
 
@@ -132,9 +134,11 @@ def calibration(values: DataFrame, value: str, positive: str, threshold: float)
     """Spread of real and negative samples, and whether the threshold lies in the gap between them."""
     v, p = F.col(value), F.col(positive)
     stats = values.agg(
-        F.count_if(p).alias("n_real"), F.min(F.when(p, v)).alias("least_real"), F.avg(F.when(p, v)).alias("mean_real"), F.median(F.when(p, v)).alias("median_real"),
+        F.count_if(p).alias("n_real"), F.min(F.when(p, v)).alias("least_real"), F.avg(F.when(p, v)).alias("mean_real"),
         F.count_if(~p).alias("n_negative"), F.max(F.when(~p, v)).alias("most_negative"), F.count_if(v > threshold).alias("n_present"),
     )
+    middle = medians(values.filter(p), v, [], "median_real").select("median_real")  # one row, or none
+    stats = stats.join(F.broadcast(middle), F.lit(True), "left")
     return stats.withColumn("separation", F.col("least_real") - F.col("most_negative")).withColumn("inside", (F.lit(threshold) > F.col("most_negative")) & (F.lit(threshold) < F.col("least_real")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.fields import normalised
 from .rules import Config, outcome, validated, verdict
+from .store import standing
 
 SCHEMA_VERSION = 2
 #: Field of a record's confidence -> rule that it is taken from; both amounts have the amount rule's.
@@ -52,16 +53,17 @@ def revalidated(records: DataFrame, overrides: DataFrame, ruleset: str, today: C
     """Records that other rule sets judged, judged anew, with standing overrides (record_id, rule, evidence) on top.
 
     An override makes its rule PASS; one of the signature also corrects the field. old_ruleset, old_verdict and overlaid are what the audit wants.
-    Several overrides of one rule count as one.
+    Each rule has its own override's evidence; of several overrides of one rule ``store.standing`` says which counts.
     """
-    per = overrides.groupBy("record_id").agg(F.collect_set("rule").alias("_rules"), F.max_by(F.coalesce("evidence", F.lit("")), "rule").alias("_why"))
+    one = standing(overrides, "evidence")
+    per = one.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.coalesce("evidence", F.lit(""))))).alias("_why"))
     df = rebuilt(pending(records, ruleset), unicode=unicode).join(per, "record_id", "left")
-    has = lambda r: F.coalesce(F.array_contains("_rules", r), F.lit(False))
+    has = lambda r: F.coalesce(F.map_contains_key("_why", r if isinstance(r, Column) else F.lit(r)), F.lit(False))
     corrected = F.struct(F.lit(True).alias("value"), F.col("signature.raw_text"), F.lit(V.OK).alias("status"), F.lit(None).cast("string").alias("note"), F.lit(False).alias("degraded"), F.col("signature.confidence"))
     df = df.withColumn("signature", F.when(has("signature"), corrected).otherwise(F.col("signature")))
     df = validated(df, today, cfg)
-    over = F.transform_values("rules", lambda k, v: F.when(F.coalesce(F.array_contains("_rules", k), F.lit(False)), outcome(V.PASS, F.concat(F.lit("confirmed by a person: "), F.col("_why")), v["confidence"])).otherwise(v))
-    df = df.withColumn("rules", over).withColumn("verdict", verdict(F.col("rules"))).withColumn("overlaid", F.col("_rules").isNotNull())
+    over = F.transform_values("rules", lambda k, v: F.when(has(k), outcome(V.PASS, F.concat(F.lit("confirmed by a person: "), F.try_element_at("_why", k)), v["confidence"])).otherwise(v))
+    df = df.withColumn("rules", over).withColumn("verdict", verdict(F.col("rules"))).withColumn("overlaid", F.col("_why").isNotNull())
     return projected(df, ruleset, None, "old_ruleset", "old_verdict", "overlaid")
 
 

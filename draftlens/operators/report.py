@@ -8,10 +8,11 @@ import json
 import zipfile
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from .sequence import beside
 
 # fixed values: exported columns
 EXPORTED = ("record_id", "payee", "amount_numeric", "cheque_date", "signature_detected", "memo", "verdict", "processed_time", "source_file")
@@ -75,9 +76,8 @@ def ordered(df: DataFrame, by: str = "processed_time", descending: bool = True)
 
 
 def neighbours(df: DataFrame, order: list[Column], key: str = "record_id") -> DataFrame:
-    """Previous and next record of a view; the view is what one person pages through."""
-    w = Window.orderBy(*order)
-    return df.select(key, F.row_number().over(w).alias("place"), F.lag(key).over(w).alias("previous"), F.lead(key).over(w).alias("next"))
+    """Place, previous and next record of a view of any size; the order must tell its rows apart."""
+    return beside(df, [], order, key, "place").select(key, "place", "previous", "next")
 
 
 def with_reviews(df: DataFrame, reviews: DataFrame) -> DataFrame:

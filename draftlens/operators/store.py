@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from .rules import outcome, verdict
+from .sequence import ranked
 
 ID = r"^CHQ-(\d{8})-(\d{4,})$"
 
@@ -34,8 +35,8 @@ def first_by_hash(df: DataFrame, order: list[str], key: str = "source_hash") ->
 def with_ids(df: DataFrame, store: DataFrame, day: str, order: list[str]) -> DataFrame:
     """df with record_id: per day from one past the store's largest number (of four digits or more), in the given order."""
     taken = store.select(F.regexp_extract("record_id", ID, 1).alias("_day"), F.regexp_extract("record_id", ID, 2).try_cast("long").alias("_n")).filter("_n IS NOT NULL").groupBy("_day").agg(F.max("_n").alias("_max"))
-    # ids are dense within a day, so a day is one sequence by contract
-    numbered = df.withColumn("_rank", F.row_number().over(Window.partitionBy(day).orderBy(*order)))
+    # ids are dense within a day; ranks come from ranges of it, so a hot day is no single task
+    numbered = ranked(df, [day], [F.col(c) for c in order], "_rank")
     joined = numbered.join(taken, F.col(day) == F.col("_day"), "left")
     return joined.withColumn("record_id", record_id(F.col(day), F.coalesce(F.col("_max"), F.lit(0)) + F.col("_rank"))).drop("_rank", "_day", "_max")
 
@@ -51,9 +52,23 @@ def audit(df: DataFrame, event: str, at: Column, *details: str) -> DataFrame:
     return df.select(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.lit(event).alias("event"), "record_id", *details)
 
 
+def standing(overrides: DataFrame, *columns: str) -> DataFrame:
+    """(record_id, rule, ``columns``...) with one row for each record and rule: the latest by ``timestamp`` if there is one, then the least by the columns in order."""
+    values = F.struct(*columns)
+    if "timestamp" in overrides.columns:
+        latest = overrides.groupBy(F.col("record_id").alias("_id"), F.col("rule").alias("_rule")).agg(F.max("timestamp").alias("_last"))
+        same = F.col("record_id").eqNullSafe(F.col("_id")) & F.col("rule").eqNullSafe(F.col("_rule")) & F.col("timestamp").eqNullSafe(F.col("_last"))
+        overrides = overrides.join(latest, same).select(*[c for c in overrides.columns])
+    return overrides.filter("rule IS NOT NULL").groupBy("record_id", "rule").agg(F.min(values).alias("_s")).select("record_id", "rule", "_s.*")
+
+
 def overridden(records: DataFrame, overrides: DataFrame) -> DataFrame:
-    """records (record_id, rules, verdict) with rules replaced by overrides (record_id, rule, status, evidence), verdicts anew."""
-    per = overrides.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", outcome(F.col("status"), F.col("evidence"))))).alias("_over"))
+    """records (record_id, rules, verdict) with rules replaced by overrides (record_id, rule, status, evidence), verdicts anew.
+
+    Of several overrides of one rule of a record ``standing`` says which counts.
+    """
+    one = standing(overrides, "status", "evidence")
+    per = one.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", outcome(F.col("status"), F.col("evidence"))))).alias("_over"))
     joined = records.join(per, "record_id", "left")
     rules = F.when(F.col("_over").isNull(), F.col("rules")).otherwise(F.transform_values("rules", lambda k, v: F.coalesce(F.try_element_at("_over", k), v)))
     return joined.withColumn("rules", rules).withColumn("verdict", verdict(F.col("rules"))).drop("_over")

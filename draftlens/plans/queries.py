@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +9,10 @@ from ..functions.amounts import figures, in_words, token_forms, verify_by_tokens
 from ..functions.dates import months_between, parse_date
 from ..functions.fields import field, normalised, payee, signature
 from ..functions.text import canonical_payee, let, similarity, tokens, within_distance
-from ..operators import compare, evaluate, geometry, reconcile, records, report, rules, store
+from ..operators import compare, evaluate, geometry, reconcile, records, report, rules, sequence, store
+from ..operators.shared import scratch
 from ..streaming.ingest import ingest
-from . import upkeep
+from . import storage, upkeep
 from .documents import TODAY, documents, spread, table
 
 CFG = rules.Config()
@@ -162,11 +160,9 @@ def years_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation's customers in text order of their balance, as the dashboard sorts."""
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "customer").withColumn("amount", F.floor("c_acctbal").cast("string"))
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("amount", "c_custkey"))
-    return c.select("c_custkey", "amount", place.alias("place"))
+    got = sequence.ranked(c, ["c_nationkey"], [F.col("amount"), F.col("c_custkey")], "place")
+    return got.select("c_custkey", "amount", F.col("place").cast("int").alias("place"))
 
 
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,8 +314,7 @@ def revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream into a store that keeps one of each (user, type); those without user have no hash and are all kept."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    folder = scratch(spark, "ingest")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     user = F.when(F.col("event_id") % 50 != 0, F.col("user_id").cast("string"))
@@ -348,4 +343,4 @@ QUERIES = {
         signature_rule, memo_rule, reconcile_runs, dedup_by_hash, next_record_id, new_only_antijoin, search_filter, year_filter, years_distinct, sort_view, date_range, field_accuracy, accuracy_grid, compare_field, agreement_eval,
         regression_flags, transition_counts, verdict_transitions, override_overlay, override_integrity, geometry_convert, crop_validate, trigger_policy, calibration_stats, template_refusals, batch_summary, distinctive_near, record_projection, revalidate, stream_ingest, payee_unicode,
     )
-} | {"similarity": similarity_query} | upkeep.QUERIES
+} | {"similarity": similarity_query} | upkeep.QUERIES | storage.QUERIES
