@@ -176,12 +176,15 @@ def filesystem(uri: str):
 
 
 class Writer:
-    """Appends arrays to one file, which is named by the task's attempt, so a repeated task writes another."""
+    """Appends arrays to one file, which is named by the task's attempt, so a repeated task writes another.
 
-    def __init__(self, base: str) -> None:
+    A task that writes several files gives each a number of its own.
+    """
+
+    def __init__(self, base: str, number: int | None = None) -> None:
         store, path = filesystem(base)
         store.create_dir(path, recursive=True)
-        self.number, self.at = TaskContext.get().taskAttemptId(), 0
+        self.number, self.at = TaskContext.get().taskAttemptId() if number is None else number, 0
         self.out = store.open_output_stream(f"{path}/{self.number}")
 
     def put(self, array: np.ndarray) -> tuple[int, int, int]:

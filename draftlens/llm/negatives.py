@@ -30,6 +30,7 @@ Fewer rows than asked for are all returned; an empty table gives an empty result
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Mapped, Writer, numbered, removed, scratch, small, stored, trim
+from .common import Mapped, Writer, numbered, scratch, small, stored, trim
 
 #: Rows in a block, and anchors.
 BLOCK = 16384
@@ -184,7 +185,7 @@ def _blocks(rows: DataFrame, size: int, books, base: str) -> DataFrame:
     def pack(key, table):
         dim, block = key[0].as_py(), key[1].as_py()
         x = _vectors(table, dim)
-        out = Writer(base)
+        out = Writer(base, secrets.randbits(62))  # a task packs several blocks
         file, at, length = out.put(x)
         out.close()
         q = books.value.get(dim)

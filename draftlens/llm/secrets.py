@@ -10,9 +10,10 @@ identifiers. A model gives a character after another
 
     P(b | a) = (n(ab) + S * P(b)) / (n(a) + S),   P(b) = (n(b) + S * u(b)) / (n + S)
 
-with u even over the kind's own characters, but for a hundredth that all characters share. A kind without samples is even then.
+with counts over different samples, less ``RARE`` a pair (so neither a secret that no pattern finds nor its copies make themselves ordinary),
+and u even over the kind's own characters, but for a hundredth that all characters share. A kind without samples is even then.
 Log-likelihood ratios of all pairs of characters are whole thousandths, so sums are exact in any order; a run's
-ratio is the largest of the kinds', and must exceed ln(identifiers of 16 or more / samples of random strings) + ln ``ODDS``. All is in DataFrame functions;
+ratio is the largest of the kinds', and must exceed ln(identifiers of 16 or more / samples of random strings) + ln ``ODDS``; a run must have ``VARIED`` different characters. All is in DataFrame functions;
 the driver sees the table of pairs alone, which the alphabet bounds.
 
 Texts: null is empty; no span has the hash of the empty string. Every row is scanned whole. The models are fitted on documents of about
@@ -50,11 +51,15 @@ IDENTIFIER = rf"(?<!{RUN}){RUN}{{8,}}"
 FIRST, WIDTH = 32, 95
 SYMBOLS = 68
 STRENGTH = 32
+#: Pairs count as seen beyond so many times, so a secret among the identifiers doesn't teach its own characters.
+RARE = 3
 SHARED = 0.01
 #: Bytes of text that the models are fitted on, about.
 SAMPLE_BYTES = 64 << 20
 #: How much likelier than not a span must be a secret.
 ODDS = 100
+#: Runs of fewer different characters are rulers and fillers.
+VARIED = 6
 #: Elements that running sums add up at a time.
 CHUNK = 256
 
@@ -127,7 +132,9 @@ def samples(docs: DataFrame, text: str = "text") -> DataFrame:
 def ratios(labelled: DataFrame) -> tuple[dict[str, list[int]], int]:
     """For each kind of random string the log-likelihood ratios of all pairs, in thousandths; and the ratio that a string must exceed."""
     spark = labelled.sparkSession
+    labelled = labelled.distinct()
     counted = labelled.select("kind", F.explode(_pairs(F.col("value"))).alias("i")).groupBy("kind", "i").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("n", F.greatest(F.col("n") - RARE, F.lit(0)))
     kinds = [*(k for k, *_ in BASE), "ordinary"]
     grid = spark.range(WIDTH * WIDTH).select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"), F.col("id").cast("int").alias("i"))
     n = grid.join(counted, ["kind", "i"], "left").fillna(0, ["n"]).withColumns({"a": F.floor(F.col("i") / WIDTH), "b": F.col("i") % WIDTH})
@@ -183,7 +190,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     mark = lambda spans, no: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind"), s["end"].alias("end")))
     base = F.concat(*[mark(F.col(kind), no) for no, (kind, *_) in enumerate(BASE)])
     found = found.withColumn("base", base)
-    clear = F.filter("run", lambda r: ~F.exists("base", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
+    varied = lambda v: F.size(F.array_distinct(F.split(v, ""))) >= VARIED
+    clear = F.filter("run", lambda r: varied(r["value"]) & ~F.exists("base", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
     likely = F.filter(clear, lambda r: ratio(r["value"], tables) > least)
     return found.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE], "base", F.concat("base", mark(likely, len(BASE))).alias("spans"))
 
