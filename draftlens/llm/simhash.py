@@ -12,8 +12,8 @@ are verified. A block with more than ``BLOCK`` fingerprints is dealt again by mo
 bits, so no task gets an unbounded block.
 
 Rows: a null text counts as empty; a text without words has fingerprint zero and
-links like any other; a row without id keeps its fingerprint, links nothing and has
-a null component. Repeated rows get the same result; of rows that share an id each has its own text's
+links like any other; a row without id links like any other too, and has the smallest id that it
+reaches, null if it reaches none. Repeated rows get the same result; of rows that share an id each has its own text's
 component. Empty tables give empty tables. Other columns are not read.
 """
 
@@ -257,16 +257,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id is the smallest id reachable over links."""
+    """(doc_id, fp, component_id) for each row; component_id is the smallest id reachable over links, null where no row reached has an id."""
     docs = checkpointed(fingerprints(df, id_col, text_col, k))
-    nodes = checkpointed(docs.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("node")))
     # an id that rows of several fingerprints share is no name of a node: the fingerprint is
     named = nodes.select(F.col("fp").alias("node"), "fp")
     roots = components(links(named, max_bits, block)).withColumnRenamed("node", "fp")
     rooted = checkpointed(nodes.join(roots, "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
     roots = checkpointed(rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id"))
-    out = docs.join(roots, (F.col("fp") == F.col("f")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "fp", "component_id")
+    out = docs.join(roots, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
     release(df.sparkSession)
     return out
 

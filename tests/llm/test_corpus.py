@@ -118,6 +118,26 @@ def test_simhash_links_of_a_chain(spark):
     assert len(got) == 39 and {r.root for r in got} == {0}
 
 
+def test_rows_without_id_are_bridges(spark, monkeypatch):
+    made = spark.createDataFrame([(7, 0), (None, 0b111), (3, 0b111111), (None, 1 << 40 | 1 << 45 | 1 << 50 | 1 << 55), (9, 0xFFFF << 44)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
+    assert sorted(str(r.component_id) for r in simhash.near_duplicates(made).collect()) == ["3", "3", "3", "9", "None"]
+
+
+def test_sets_keep_few_files_open(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(i, f"a{i // 2} b c d e f g h") for i in range(120)], "doc_id long, text string").repartition(60)
+    texts.write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(jaccard.Sets, "OPEN", 2)
+    read = jaccard.Sets("file:///nowhere")
+    opened = []
+    monkeypatch.setattr(read, "store", type("S", (), {"open_input_file": lambda self, p: opened.append(p) or pa.BufferReader(bytes(80))})())
+    for number in (1, 2, 3, 1, 1, 3):
+        read.read(number << 40 | 1, 4)
+    assert len(read.files) == 2 and len(opened) == 4
+    found = jaccard.near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(120)}
+
+
 def test_simhash_keeps_one(docs, empty, rows):
     kept = [r.doc_id for r in simhash.deduplicated(docs.unionByName(docs.filter("doc_id = 3"))).collect()]
     assert len(kept) == len(set(kept)) and None in kept and 0 in kept and 5 not in kept
