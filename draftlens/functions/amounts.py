@@ -27,12 +27,19 @@ def _small(token: Column) -> Column:
     return lookup(V.ONES | V.TENS, token)
 
 
-_NUMBER_WORDS = tuple(V.ONES | V.TENS | V.SCALES | {"hundred": 100})
-_ANY_SPELLING = _NUMBER_WORDS + tuple(V.MISSPELLINGS)
+# a word's class: the number that it stands for, or one of these
+NOISE, UNKNOWN, CENT = -1, -2, -3
+_CLASSES = {w: NOISE for w in V.NOISE} | V.ONES | V.TENS | V.SCALES | {"hundred": 100, "cent": CENT, "cents": CENT}
+_CLASSES |= {wrong: _CLASSES[right] for wrong, right in V.MISSPELLINGS.items()}
+
+
+def word_class(token: Column) -> Column:
+    """Number of a number word however it is spelt, else ``NOISE``, ``CENT`` or ``UNKNOWN``: one look into one table."""
+    return F.coalesce(lookup(_CLASSES, token), F.lit(UNKNOWN)).cast("bigint")
 
 
 def is_number_word(token: Column) -> Column:
-    return one_of(token, _ANY_SPELLING)
+    return word_class(token) >= 0
 
 
 def _struct(**columns: Column) -> Column:
@@ -66,24 +73,26 @@ def cents_of(value: Column) -> Column:
 _FOLD = "struct<total:bigint,current:bigint,seen:boolean,bad:boolean>"
 
 
-def _fold(acc: Column, token: Column) -> Column:
-    t = corrected(token)
-    small, scale = _small(t), lookup(V.SCALES, t)
-    run = F.when(acc["current"] == 0, F.lit(1)).otherwise(acc["current"])
-    noise = one_of(t, V.NOISE)
-    known = small.isNotNull() | scale.isNotNull() | (t == "hundred")
+def _step(acc: Column, c: Column) -> Column:
+    """The automaton's transition: what is read so far, and a word's class."""
+    run = F.when(acc["current"] == 0, F.lit(1).cast("bigint")).otherwise(acc["current"])
     return _struct(
-        total=F.when(scale.isNotNull(), acc["total"] + run * scale).otherwise(acc["total"]).cast("long"),
-        current=F.when(small.isNotNull(), acc["current"] + small).when(t == "hundred", run * 100).when(scale.isNotNull(), 0).otherwise(acc["current"]).cast("long"),
-        seen=acc["seen"] | known,
-        bad=acc["bad"] | ~(known | noise),
-    ).cast(_FOLD)
+        total=F.when(c >= 1000, acc["total"] + run * c).otherwise(acc["total"]),
+        current=F.when(c < 0, acc["current"]).when(c < 100, acc["current"] + c).when(c == 100, run * 100).otherwise(F.lit(0).cast("bigint")),
+        seen=acc["seen"] | (c >= 0),
+        bad=acc["bad"] | (c <= UNKNOWN),
+    )
+
+
+def total_of(classes: Column) -> Column:
+    """Sum of number words, given by their classes; null with an unknown word or without any."""
+    zero = _struct(total=F.lit(0), current=F.lit(0), seen=F.lit(False), bad=F.lit(False)).cast(_FOLD)
+    return F.aggregate(classes, zero, _step, lambda a: F.when(a["seen"] & ~a["bad"], a["total"] + a["current"]))
 
 
 def words_to_int(tokens: Column) -> Column:
     """Sum of number words; null with an unknown word or without any."""
-    zero = _struct(total=F.lit(0), current=F.lit(0), seen=F.lit(False), bad=F.lit(False)).cast(_FOLD)
-    return F.aggregate(tokens, zero, _fold, lambda a: F.when(a["seen"] & ~a["bad"], a["total"] + a["current"]))
+    return total_of(F.transform(tokens, word_class))
 
 
 def _last(array: Column, test: Callable[[Column], Column]) -> Column:
@@ -107,7 +116,7 @@ def _tail(array: Column, after: Column) -> Column:
 def _printed_noise(token: Column) -> Column:
     """Digits or slashes that are no dollar words: what is left of a printed numerator."""
     letters = F.regexp_extract_all(token, F.lit("[a-z]+"), F.lit(0))
-    dollars = (F.size(letters) > 0) & F.forall(letters, lambda p: is_number_word(p) | one_of(p, V.NOISE))
+    dollars = (F.size(letters) > 0) & F.forall(letters, lambda p: word_class(p) >= NOISE)
     return token.rlike(r"[\d/\\]") & ~dollars
 
 
@@ -123,19 +132,18 @@ def without_cents_suffix(lowered: Column) -> Column:
     return let(F.array_remove(F.split(lowered, r"(?U)\s+"), ""), lambda parts: let(_last(parts, is_anchor), lambda anchor: cut(parts, anchor)))
 
 
-def spelled_cents(tokens: Column) -> Column:
-    """struct<tokens, cents>: number words before the first 'cent(s)' taken out; null if there are none."""
+def spelled_cents(classes: Column) -> Column:
+    """struct<classes, cents>: number words before the first 'cent(s)' taken out; null if there are none."""
 
     def cut(at: Column, keep: Column, cents: Column) -> Column:
         good = F.coalesce((at > 0) & (keep < at - 1) & cents.between(0, 99), F.lit(False))
-        rest = F.when(good, F.concat(_head(tokens, keep), _tail(tokens, at))).when((at > 0) & (keep >= at - 1), F.concat(_head(tokens, at - 1), _tail(tokens, at))).otherwise(tokens)
-        return _struct(tokens=rest, cents=F.when(good, cents.cast("int")))
+        rest = F.when(good, F.concat(_head(classes, keep), _tail(classes, at))).when((at > 0) & (keep >= at - 1), F.concat(_head(classes, at - 1), _tail(classes, at))).otherwise(classes)
+        return _struct(classes=rest, cents=F.when(good, cents.cast("int")))
 
-    number = lambda at, keep: words_to_int(F.slice(tokens, keep + 1, F.greatest(at - 1 - keep, F.lit(0))))
-    return let(
-        _first(tokens, lambda t: t.isin("cent", "cents")),
-        lambda at: let(_last(_head(tokens, at - 1), lambda t: ~is_number_word(t)), lambda keep: let(number(at, keep), lambda cents: cut(at, keep, cents))),
-    )
+    number = lambda at, keep: total_of(F.slice(classes, keep + 1, F.greatest(at - 1 - keep, F.lit(0))))
+    split = lambda at: let(_last(_head(classes, at - 1), lambda c: c < 0), lambda keep: let(number(at, keep), lambda cents: cut(at, keep, cents)))
+    at = F.array_position(classes, F.lit(CENT).cast("bigint")).cast("int")
+    return F.when(at > 0, let(at, split)).otherwise(_struct(classes=classes, cents=F.lit(None).cast("int")))
 
 
 def _letters(c: Column) -> Column:
@@ -175,15 +183,15 @@ def in_words(raw: Column, numeric_cents: Column, unicode: bool = True) -> Column
 
     def parse(text: Column, body: Column) -> Column:
         stray = F.array_join(F.regexp_extract_all(body["text"], F.lit(r"\d+"), F.lit(0)), "")
-        letters = _letters(body["text"])
-        split = let(letters, lambda t: F.when(body["cents"].isNull(), spelled_cents(t)).otherwise(_struct(tokens=t, cents=body["cents"])))
-        return let(split, lambda s: finish(text, stray, body["found"], s["tokens"], s["cents"]))
+        classes = F.transform(_letters(body["text"]), word_class)
+        split = let(classes, lambda c: F.when(body["cents"].isNull(), spelled_cents(c)).otherwise(_struct(classes=c, cents=body["cents"])))
+        return let(split, lambda s: finish(text, stray, body["found"], s["classes"], s["cents"]))
 
-    def finish(text: Column, stray: Column, found: Column, toks: Column, spelled: Column) -> Column:
+    def finish(text: Column, stray: Column, found: Column, classes: Column, spelled: Column) -> Column:
         borrowed = spelled.isNull() & found
         cents = F.coalesce(spelled, F.when(borrowed, numeric_cents), F.lit(0))
-        meaning = F.exists(toks, lambda t: ~one_of(t, V.NOISE))
-        dollars = F.when(meaning, words_to_int(toks)).when(cents > 0, F.lit(0).cast("long"))
+        meaning = F.exists(classes, lambda c: c != NOISE)
+        dollars = F.when(meaning, total_of(classes)).when(cents > 0, F.lit(0).cast("long"))
         return let(_struct(dollars=dollars, cents=cents, stray=stray), lambda x: result(text, x["dollars"], x["cents"], x["stray"], borrowed))
 
     def result(text: Column, dollars: Column, cents: Column, stray: Column, borrowed: Column) -> Column:
@@ -222,17 +230,17 @@ def token_forms(dollars: Column) -> Column:
     return F.when(dollars <= 0, F.array(F.array(F.lit("zero")))).otherwise(forms)
 
 
-_MATCH = "struct<available:array<string>,missing:array<string>,found:array<struct<expected:string,matched:string,distance:int>>>"
+_MATCH = "struct<available:array<struct<word:string,fixed:string,real:boolean>>,missing:array<string>,found:array<struct<expected:string,matched:string,distance:int>>>"
 
 
 def _match_one(acc: Column, expected: Column) -> Column:
     available = acc["available"]
-    exact = _first(available, lambda t: corrected(t) == expected)
+    exact = _first(available, lambda t: t["fixed"] == expected)
     bound = F.when(F.length(expected) <= 5, 1).otherwise(2)
-    near = F.filter(F.transform(available, lambda t, i: _struct(d=F.levenshtein(t, expected), i=i + 1, real=is_number_word(t))), lambda x: ~x["real"] & (x["d"] <= bound))
+    near = F.filter(F.transform(available, lambda t, i: F.when(~t["real"], _struct(d=F.levenshtein(t["word"], expected), i=i + 1))), lambda x: x["d"] <= bound)
 
     def taken(pick: Column) -> Column:
-        one = F.array(_struct(expected=expected, matched=F.get(available, pick["i"] - 1), distance=pick["d"]))
+        one = F.array(_struct(expected=expected, matched=F.get(available, pick["i"] - 1)["word"], distance=pick["d"]))
         return _struct(
             available=F.filter(available, lambda t, i: i + 1 != pick["i"]),
             missing=F.when(pick["i"] > 0, acc["missing"]).otherwise(F.concat(acc["missing"], F.array(expected))),
@@ -246,7 +254,7 @@ def _match_one(acc: Column, expected: Column) -> Column:
 
 def match_form(form: Column, words: Column) -> Column:
     """struct<available, missing, found> after looking for each word of the form once, exactly or, for no real number word, nearly."""
-    zero = _struct(available=words, missing=F.array().cast("array<string>"), found=F.array()).cast(_MATCH)
+    zero = _struct(available=F.transform(words, lambda w: _struct(word=w, fixed=corrected(w), real=is_number_word(w))), missing=F.array().cast("array<string>"), found=F.array()).cast(_MATCH)
     return F.aggregate(form, zero, _match_one)
 
 

@@ -31,6 +31,7 @@ GENERIC_PAYEE_WORDS = ("town", "city", "of", "the", "corporation", "municipality
 OK, ABSENT, UNPARSEABLE, AMBIGUOUS = "OK", "ABSENT", "UNPARSEABLE", "AMBIGUOUS"
 PASS, FAIL, UNABLE = "PASS", "FAIL", "UNABLE"
 VALID, REVIEW, INVALID = "VALID", "REVIEW", "INVALID"
+VERDICTS = (VALID, REVIEW, INVALID)
 # fixed values: extractor field names
 FIELD_NAMES = {
     "PayTo": "payee", "NumberAmount": "amount_numeric", "WordAmount": "amount_words", "CheckDate": "cheque_date",

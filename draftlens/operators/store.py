@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from .rules import outcome, verdict
+from .rules import Config, outcome, validated, verdict
 from .sequence import ranked
 
 ID = r"^CHQ-(\d{8})-(\d{4,})$"
@@ -85,3 +85,31 @@ def verdict_transitions(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_verdict, new_verdict, n) of the records whose verdict changed."""
     pair = old.select("record_id", F.col("verdict").alias("old_verdict")).join(new.select("record_id", F.col("verdict").alias("new_verdict")), "record_id")
     return pair.filter("old_verdict <> new_verdict").groupBy("old_verdict", "new_verdict").agg(F.count("*").alias("n"))
+
+
+def rejudged(df: DataFrame, today: Column, old: Config, new: Config) -> DataFrame:
+    """(old_verdict, new_verdict, n) of fields judged by two rule sets: parsed once, and no join."""
+    first = validated(df, today, old).withColumnRenamed("verdict", "old_verdict").drop("rules")
+    both = validated(first, today, new).select("old_verdict", F.col("verdict").alias("new_verdict"))
+    # one aggregate: a filter on verdicts would have both judgements copied below it
+    pairs = [(a, b) for a in V.VERDICTS for b in V.VERDICTS if a != b]
+    counts = both.agg(*[F.count_if((F.col("old_verdict") == a) & (F.col("new_verdict") == b)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("old_verdict"), F.lit(b).alias("new_verdict"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])
+    return counts.select(F.inline(rows)).filter("n > 0")
+
+
+def ingested(arrived: DataFrame, stored: DataFrame, fresh: DataFrame, at: Column) -> DataFrame:
+    """Audit events of a batch: ``cheque_processed`` for each new record, ``duplicate_ingestion_skipped`` for each other file that arrived.
+
+    arrived: (source_file, source_hash) of all files; stored: records of before; fresh: the new records (of the batch's files with one hash the first is new, the
+    others are duplicates of it). A skipped file names the record that has its hash. All events have the columns of both kinds.
+    """
+    name = F.regexp_extract("source_file", r"([^/]*)$", 1)
+    time = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp")
+    new = fresh.select(time, F.lit("cheque_processed").alias("event"), "record_id", name.alias("source_file"), "verdict", "ruleset_version", "model")
+    known = stored.select("source_hash", "record_id", F.lit(None).cast("string").alias("_first")).unionByName(fresh.select("source_hash", "record_id", F.col("source_file").alias("_first")))
+    known = known.filter("source_hash <> ''").groupBy(F.col("source_hash").alias("_hash")).agg(F.min("record_id").alias("record_id"), F.max("_first").alias("_first"))
+    rest = arrived.join(known, (F.col("source_hash") == F.col("_hash")) & ~F.col("source_file").eqNullSafe(F.col("_first")))
+    none = F.lit(None).cast("string")
+    skipped = rest.select(time, F.lit("duplicate_ingestion_skipped").alias("event"), "record_id", name.alias("source_file"), none.alias("verdict"), none.alias("ruleset_version"), none.alias("model"))
+    return new.unionByName(skipped)

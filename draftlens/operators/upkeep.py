@@ -45,7 +45,8 @@ def confirmed(records: DataFrame, confirmations: DataFrame, reviews: DataFrame,
     todo = unreviewed(confirmations.filter(F.col("rule").isin("payee", "signature")), reviews, F.concat(F.lit(f"{VISUAL}:"), F.col("rule")))
     per = todo.groupBy("record_id", "rule").agg(F.min(F.struct("seen", "note")).alias("s"))
     per = per.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", "s"))).alias("_seen"))
-    df = rebuilt(records, unicode=unicode).join(per, "record_id", "inner")
+    # confirmations are few: only the records that they name are parsed again
+    df = rebuilt(records.join(per.select("record_id"), "record_id", "left_semi"), unicode=unicode).join(per, "record_id", "inner")
     signed = F.map_contains_key("_seen", F.lit("signature"))
     fixed = F.struct(F.lit(True).alias("value"), F.col("signature.raw_text"), F.lit(V.OK).alias("status"), F.lit(None).cast("string").alias("note"), F.lit(False).alias("degraded"), F.col("signature.confidence"))
     df = validated(df.withColumn("signature", F.when(signed, fixed).otherwise(F.col("signature"))), today, cfg)

@@ -228,9 +228,7 @@ def _with_id(df: DataFrame) -> DataFrame:
 
 def verdict_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a rule set that rejects post-dated documents to one that accepts them."""
-    d = _with_id(normalised(documents(spark, sf_dir), unicode=False))
-    old = rules.validated(d, _today(), rules.Config(reject_postdated=True, evidence=False))
-    return store.verdict_transitions(old, rules.validated(d, _today(), COUNTED))
+    return store.rejudged(normalised(documents(spark, sf_dir), unicode=False), _today(), rules.Config(reject_postdated=True, evidence=False), COUNTED)
 
 
 def override_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import normalised
 from ..functions.text import canonical_payee, tokens
-from ..operators import counters, dictionary, diagnostics, paging, quantile, records, rules, search, sequence, store
+from ..operators import analyze, counters, dictionary, diagnostics, paging, quantile, records, rules, search, sequence, store
 from ..operators.shared import scratch, stored
 from ..operators.versions import Store
 from .documents import TODAY, documents, spread, table
 from .oracles import DOCUMENTS
 
-_TODAY = F.lit(TODAY).cast("date")
+def _today():
+    return F.lit(TODAY).cast("date")
 
 
 # --- dictionary ---
@@ -85,7 +86,7 @@ def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str, cfg: rules.Config) -> DataFrame:
     d = normalised(documents(spark, sf_dir).withColumn("record_id", F.col("k").cast("string")), unicode=False)
-    return rules.validated(d, _TODAY, cfg).select("record_id", "verdict", F.col("day").alias("cheque_date"), "rules", "k")
+    return rules.validated(d, _today(), cfg).select("record_id", "verdict", F.col("day").alias("cheque_date"), "rules", "k")
 
 
 def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +104,12 @@ def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revalidate_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of rule set 1 after its records are judged by rule set 2 and merged, with overrides that have a text for each rule."""
-    old = rules.validated(normalised(documents(spark, sf_dir).withColumn("record_id", F.col("k").cast("string")), unicode=False), _TODAY, rules.Config(reject_postdated=True, evidence=False))
+    old = rules.validated(normalised(documents(spark, sf_dir).withColumn("record_id", F.col("k").cast("string")), unicode=False), _today(), rules.Config(reject_postdated=True, evidence=False))
     known = records.projected(old, "1").withColumn("ruleset_version", F.when(F.col("record_id").cast("bigint") % 3 == 0, "2").otherwise(F.col("ruleset_version")))
     at = Store.create(spark, scratch(spark, "judged"), "record_id", known.schema, buckets=4)
     at.append(known)
     over = _overrides(spark, sf_dir).filter("status = 'PASS'").drop("status")
-    at.merge(lambda rows: records.revalidated(rows, over, "2", _TODAY, rules.Config(), unicode=False).drop("old_ruleset", "old_verdict", "overlaid"))
+    at.merge(lambda rows: records.revalidated(rows, over, "2", _today(), rules.Config(), unicode=False).drop("old_ruleset", "old_verdict", "overlaid"))
     told = lambda r: F.when(F.startswith(F.col("rules")[r]["message"], F.lit("confirmed by a person: ")), F.col("rules")[r]["message"]).alias(f"{r}_told")
     return at.read().select("record_id", "ruleset_version", "verdict", told("payee"), told("signature"))
 
@@ -169,9 +170,39 @@ def response_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", "present", F.array_join("returned", ",").alias("returned"), F.when(F.col("present"), F.size("known")).alias("n_known"), F.when(F.col("present"), F.array_join("others", ",")).alias("others"), "regions", "entries")
 
 
+# --- from files to records ---
+
+
+def _reader():
+    """An extractor for tests: it reads the payee that a file is, finds nothing in every fifth and fails on every thirteenth."""
+
+    def call(path: str, content: bytes) -> dict:
+        key = int(path.rsplit("/", 1)[1])
+        if key % 13 == 0:
+            raise TimeoutError(path)
+        return {"documents": [{"fields": {"PayTo": {"content": bytes(content).decode(), "confidence": 0.25}}}]} if key % 5 else {"documents": []}
+
+    return call
+
+
+def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of two batches of files: a third of the customers, then all of them; two neighbours are copies of one file."""
+    k = F.col("c_custkey")
+    files = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/in/"), k.cast("string")).alias("path"), F.encode("c_name", "utf-8").alias("content"), F.sha2((k - k % 2).cast("string"), 256).alias("source_hash"))
+    out, at, time = [], None, F.lit("1998-12-31 10:00:00").cast("timestamp")
+    for batch in (files.filter(k % 3 == 0), files):
+        fields, _ = analyze.analyzed(batch.drop("c_custkey"), _reader, 2, unicode=False)
+        if at is None:
+            empty = records.projected(rules.validated(fields.withColumn("record_id", F.lit("")).withColumn("processed_time", time), _today()), "2", "m")
+            at = Store.create(spark, scratch(spark, "ingested"), "record_id", empty.schema, buckets=4)
+        _, events = analyze.recorded(at, fields, _today(), "19981231", "2", "m", time, rules.Config(evidence=False))
+        out.append(events)
+    return out[0].withColumn("batch", F.lit(1)).unionByName(out[1].withColumn("batch", F.lit(2))).drop("timestamp")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (payee_dictionary, payee_matched, record_neighbours, page, medians, store_merge, store_counters, revalidate_merged, override_evidence, search_index, response_diagnostics)
+    for f in (ingest_events, payee_dictionary, payee_matched, record_neighbours, page, medians, store_merge, store_counters, revalidate_merged, override_evidence, search_index, response_diagnostics)
 }
 
 _TEXT = "lower('R' || c_custkey || ' ' || coalesce(CASE WHEN c_custkey % 10 = 0 THEN replace(c_name, 'e', 'é') ELSE c_name END, '') || ' ' || coalesce(c_mktsegment, '') || ' ' || coalesce(lower(c_name), ''))"
@@ -182,6 +213,16 @@ _OVERRIDDEN = """, o AS (
 """
 
 ORACLES = {
+    "ingest_events": """
+        WITH f AS (SELECT c_custkey AS k, '/in/' || c_custkey AS path, c_custkey - c_custkey % 2 AS h FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 5 <> 0),
+        a AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY path) = 1 AS new FROM f WHERE k % 3 = 0),
+        i AS (SELECT h, row_number() OVER (ORDER BY path) AS n FROM a WHERE new),
+        b AS (SELECT *, h NOT IN (SELECT h FROM i) AND row_number() OVER (PARTITION BY h ORDER BY path) = 1 AS new FROM f),
+        j AS (SELECT h, (SELECT count(*) FROM i) + row_number() OVER (ORDER BY path) AS n FROM b WHERE new),
+        e AS (SELECT 1 AS batch, a.*, n FROM a JOIN i USING (h) UNION ALL SELECT 2, b.*, n FROM b JOIN (SELECT * FROM i UNION ALL SELECT * FROM j) USING (h))
+        SELECT batch::INT AS batch, CASE WHEN new THEN 'cheque_processed' ELSE 'duplicate_ingestion_skipped' END AS event, 'CHQ-19981231-' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS record_id, k::VARCHAR AS source_file,
+          CASE WHEN new THEN 'INVALID' END AS verdict, CASE WHEN new THEN '2' END AS ruleset_version, CASE WHEN new THEN 'm' END AS model FROM e
+    """,
     "payee_dictionary": """
         WITH e AS (SELECT DISTINCT unnest(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '')) AS entry FROM part),
         w AS (SELECT DISTINCT word FROM (SELECT substr(entry, 1, 1) || substr(entry, 3) AS word FROM e UNION ALL SELECT substr(entry, 1, 1) || entry FROM e) WHERE word <> '')

@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .responses import RESPONSE
 
+#: Characters of responses that a task holds before it sends them on.
+HELD = 8 << 20
+_NAMES = ("source_file", "source_hash", "run", "raw", "error")
+
 
 def extracted(files: DataFrame, make: Callable[[], Callable[[str, bytes], dict]], runs: int = 1) -> DataFrame:
     """(source_file, source_hash, run, raw, error) of files (path, content, source_hash): the response as JSON, or the type of what was raised.
@@ -19,18 +23,31 @@ def extracted(files: DataFrame, make: Callable[[], Callable[[str, bytes], dict]]
     it is used; ``parsed`` reads the written rows.
     """
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make()
+        rows, size = [], 0
         for batch in batches:
-            for path, content, digest in zip(batch["path"], batch["content"], batch["source_hash"], strict=True):
+            for path, content, digest in zip(*(batch.column(i) for i in range(3)), strict=True):
+                path, content, digest = path.as_py(), content.as_py(), digest.as_py()
                 for run in range(1, runs + 1):
                     try:
                         raw, error = json.dumps(client(path, content), default=str), None
                     except Exception as e:  # one file's failure is not the batch's
                         raw, error = None, type(e).__name__
-                    yield pd.DataFrame({"source_file": [path], "source_hash": [digest], "run": [run], "raw": [raw], "error": [error]})
+                    rows.append((path, digest, run, raw, error))
+                    size += len(raw or "")
+                if size > HELD:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            yield _batch(rows)
+            rows, size = [], 0
+
+    return files.select("path", "content", "source_hash").mapInArrow(call, "source_file string, source_hash string, run int, raw string, error string")
+
 
-    return files.select("path", "content", "source_hash").mapInPandas(call, "source_file string, source_hash string, run int, raw string, error string")
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "run" else pa.string()) for n, c in zip(_NAMES, columns, strict=True)], names=list(_NAMES))
 
 
 def parsed(captured: DataFrame) -> DataFrame:

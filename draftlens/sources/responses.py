@@ -18,6 +18,20 @@ RESPONSE = f"struct<documents:array<struct<fields:map<string,{FIELD}>>>,pages:ar
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".heif")
 
 
+def expanded(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The paths that patterns match, sorted within each pattern, patterns in the given order; one that matches nothing stays as it is.
+
+    The driver lists names, as any read of files does.
+    """
+    jvm = spark._jvm
+    out: list[str] = []
+    for pattern in patterns:
+        p = jvm.org.apache.hadoop.fs.Path(pattern)
+        hits = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        out += sorted(h.getPath().toString() for h in hits) if hits else [pattern]
+    return out
+
+
 def responses(spark: SparkSession, path: str) -> DataFrame:
     """Saved responses, one file each, with their path."""
     schema = T._parse_datatype_string(RESPONSE)

@@ -280,3 +280,51 @@ def test_standing_overrides(spark):
     got = sorted((r.record_id, r.rule, r.status, r.evidence) for r in store.standing(df.drop("timestamp"), "status", "evidence").collect())
     assert got == [("1", "payee", "FAIL", "later"), ("2", "memo", "PASS", None)]
     assert records.revalidated.__doc__
+
+
+# --- from files to records ---
+
+
+def test_files_become_records_once(spark, tmp_path):
+    import datetime
+    import hashlib
+
+    from draftlens.operators import analyze, rules
+    from draftlens.operators import records as projection
+
+    calls = {"a.png": "Town of Whitby", "b.png": "Town of Whitty", "c.png": None}
+
+    def make():
+        seen = {}
+
+        def call(path, content):
+            if path.endswith("d.png"):
+                raise OSError(path)
+            n = seen[path] = seen.get(path, 0) + 1
+            text = "Town of Oshawa" if path.endswith("e.png") and n == 2 else calls.get(path.rsplit("/", 1)[1], "Town of Whitby")
+            return {"documents": [{"fields": {"PayTo": {"content": text}}}]} if text else {"documents": []}
+
+        return call
+
+    files = spark.createDataFrame([(f"/in/{n}.png", c.encode(), hashlib.sha256(c.encode()).hexdigest()) for n, c in (("a", "1"), ("b", "1"), ("c", "3"), ("d", "4"), ("e", "5"))], "path string, content binary, source_hash string")
+    today, time = F.lit("2026-08-17").cast("date"), F.lit("2026-08-17 09:00:00").cast("timestamp")
+    fields, captured = analyze.analyzed(files, make, 2)
+    assert captured.count() == 10 and captured.filter("error IS NOT NULL").count() == 2
+    got = {r.source_file: r for r in fields.collect()}
+    assert set(got) == {"/in/a.png", "/in/b.png", "/in/e.png"} and got["/in/e.png"].payee.status == "AMBIGUOUS" and got["/in/a.png"].n_runs == 2
+    empty = projection.projected(rules.validated(fields.withColumn("record_id", F.lit("")).withColumn("processed_time", time), today), "2", "m")
+    at = Store.create(spark, str(tmp_path / "s"), "record_id", empty.schema, 4)
+    for want in ([("cheque_processed", "CHQ-20260817-0001", "a.png"), ("cheque_processed", "CHQ-20260817-0002", "e.png"), ("duplicate_ingestion_skipped", "CHQ-20260817-0001", "b.png")], [("duplicate_ingestion_skipped", "CHQ-20260817-0001", "a.png"), ("duplicate_ingestion_skipped", "CHQ-20260817-0001", "b.png"), ("duplicate_ingestion_skipped", "CHQ-20260817-0002", "e.png")]):
+        _, events = analyze.recorded(at, fields, today, "20260817", "2", "m", time)
+        assert sorted((e.event, e.record_id, e.source_file) for e in events.collect()) == want
+    stored = {r.record_id: r for r in at.read().collect()}
+    assert set(stored) == {"CHQ-20260817-0001", "CHQ-20260817-0002"} and stored["CHQ-20260817-0001"].processed_time == datetime.datetime(2026, 8, 17, 9)
+
+
+def test_patterns(spark, tmp_path):
+    from draftlens.sources.responses import expanded
+
+    for n in ("b.json", "a.json", "c.txt"):
+        (tmp_path / n).write_text("{}")
+    got = expanded(spark, [f"{tmp_path}/*.txt", f"{tmp_path}/*.json", f"{tmp_path}/none-*.json"])
+    assert [g.rsplit("/", 1)[1] for g in got] == ["c.txt", "a.json", "b.json", "none-*.json"]
