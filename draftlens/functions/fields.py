@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .amounts import cents_of, figures, in_words
 from .dates import parse_date
-from .text import canonical_payee, clean, let
+from .text import canonical_payee, clean, let, remembered
 
 SIGNED = ("signed", "selected", "present")
 
@@ -61,9 +61,15 @@ def normalised(df: DataFrame, date_order: str = "DMY", unicode: bool = True) ->
     optional = [c for c in ("confidence", "memo_present", "signature_reason") if c in df.columns]
     conf = lambda name: F.col("confidence")[name] if "confidence" in optional else None
     column = lambda name: F.col(name) if name in optional else None
-    df = df.withColumn("amount_numeric", field(figures(F.col("figures_raw"), unicode), conf("amount_numeric")))
+    built = lambda name, make: remembered(("field", name, date_order, unicode, *optional), make)
+    df = df.withColumn("amount_numeric", built("amount_numeric", lambda: field(figures(F.col("figures_raw"), unicode), conf("amount_numeric"))))
     df = df.withColumn("_cents", F.when(ok(F.col("amount_numeric")), cents_of(F.col("amount_numeric.value"))))
-    df = df.withColumn("amount_words", words_field(in_words(F.col("words_raw"), F.col("_cents"), unicode), conf("amount_words")))
-    df = df.withColumn("payee", field(payee(F.col("payee_raw"), unicode), conf("payee"))).withColumn("cheque_date", field(parse_date(F.col("date_raw"), date_order, unicode), conf("cheque_date")))
-    df = df.withColumn("signature", field(signature(F.lit(None).cast("string"), F.col("signed"), column("signature_reason")), conf("signature"))).withColumn("memo", field(memo(F.col("memo_raw"), column("memo_present")), conf("memo")))
+    others = {
+        "amount_words": lambda: words_field(in_words(F.col("words_raw"), F.col("_cents"), unicode), conf("amount_words")),
+        "payee": lambda: field(payee(F.col("payee_raw"), unicode), conf("payee")),
+        "cheque_date": lambda: field(parse_date(F.col("date_raw"), date_order, unicode), conf("cheque_date")),
+        "signature": lambda: field(signature(F.lit(None).cast("string"), F.col("signed"), column("signature_reason")), conf("signature")),
+        "memo": lambda: field(memo(F.col("memo_raw"), column("memo_present")), conf("memo")),
+    }
+    df = df.withColumns({name: built(name, make) for name, make in others.items()})
     return df.drop(*names, "_cents", *optional)

@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,13 +28,31 @@ def let(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def remembered(key: tuple, make: Callable[[], Column]) -> Column:
+    """make(), built once for each key in a session: a parser is thousands of calls to the JVM, and an unresolved column fits any frame.
+
+    The key must hold all that make depends on.
+    """
+    now = SparkContext._active_spark_context
+    full = (now.applicationId if now else None, *key)
+    if full not in _BUILT:
+        if _BUILT and next(iter(_BUILT))[0] != full[0]:
+            _BUILT.clear()  # of a session that has ended
+        _BUILT[full] = make()
+    return _BUILT[full]
+
+
 def _sql(x) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
 
 
 def lookup(table: dict, key: Column) -> Column:
     """The table's value for a key, or null. The table is one literal, parsed at once."""
-    return F.try_element_at(F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")"), key)
+    text = "map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")"
+    return F.try_element_at(remembered(("lookup", text), lambda: F.expr(text)), key)
 
 
 def one_of(c: Column, words) -> Column:

@@ -12,7 +12,7 @@ from ..functions import vocabulary as V
 from ..functions.amounts import cents_of, verify_by_tokens
 from ..functions.dates import months_between
 from ..functions.fields import ok
-from ..functions.text import let, python_repr, tokens, within_distance
+from ..functions.text import let, python_repr, remembered, tokens, within_distance
 
 
 @dataclass(frozen=True)
@@ -142,5 +142,7 @@ def validated(df: DataFrame, today: Column, cfg: Config | None = None) -> DataFr
         return F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])
 
     # one value for the optimizer, which would copy the rules' expressions to every use of a status otherwise
-    fields = F.struct(*[F.col(c) for c in ("payee", "amount_numeric", "amount_words", "signature", "cheque_date", "memo")])
-    return df.withColumn("rules", let(fields, each)).withColumn("verdict", verdict(F.col("rules")))
+    def rules() -> Column:
+        return let(F.struct(*[F.col(c) for c in ("payee", "amount_numeric", "amount_words", "signature", "cheque_date", "memo")]), each)
+
+    return df.withColumn("rules", remembered(("rules", repr(cfg), str(today)), rules)).withColumn("verdict", verdict(F.col("rules")))
