@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 The page is parsed into a tree (implied ends of paragraphs, list items and cells; unclosed and
-crossed tags; truncated pages). What is no article by its tag, role or class is set aside.
+crossed tags; truncated pages). What is no article by its tag, role or class is set aside; inside an article or main element a name that also says
+something else (``article-header``, ``social-history``) sets a part aside only if its text is links.
 Every paragraph then has points for its length and commas and passes them to its ancestors: all
 to its parent, half to the next, a third of that share and less further up. An ancestor's points
 are discounted by its link density (characters in links over all). The best container is kept, and
@@ -16,6 +17,7 @@ named ones are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,10 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -47,6 +47,10 @@ _ENDS = {
 _ASIDE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea title iframe svg canvas object embed dialog menu noembed noframes xmp audio video map".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation topbar footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond social share sharing related recommended recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager toolbar widget widgets hidden outbrain taboola aside".split())
+#: Of these one is enough, whatever else a name says.
+_ASIDE_ALWAYS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay comment comments commentlist disqus replies respond newsletter subscribe subscription signup login outbrain taboola hidden".split())
+#: Parts of names that say nothing.
+_FILLERS = frozenset("box block container wrapper wrap inner outer section area list items item links link bar top bottom left right main site page global primary secondary content js l m s xl".split())
 _ARTICLE_NAMES = frozenset("article body content entry main page post story text".split())
 _PREFIXES = frozenset("has with no without is not".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])").findall
@@ -55,13 +59,18 @@ _BOXES = frozenset(["article", "main", "body", "div", "section", "#root"])
 _START = {"article": 10.0, "main": 10.0, "div": 2.0, "section": 2.0, "td": 1.0, "blockquote": 1.0, "pre": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "th": -5.0}
 
 
+#: Ancestors that a paragraph's points reach; at this height a share is under a three-hundredth, and trees of any depth take linear time.
+REACH = 100
+
+
 class Node:
-    __slots__ = ("tag", "parent", "kids", "aside", "points", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "kids", "aside", "named", "points", "chars", "linked", "commas")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.kids: list[Node | str] = []
         self.aside = False
+        self.named = False
         self.points = _START.get(tag, 0.0)
         self.chars = self.linked = self.commas = 0
 
@@ -77,75 +86,147 @@ def _named_aside(value: str) -> bool:
     return False
 
 
-def _is_aside(tag: str, attrs: str, stack: list[Node]) -> bool:
+def _only_aside(value: str) -> bool:
+    """Whether each class or id that names something beside an article names nothing else."""
+    for name in value.split():
+        parts = [x.lower() for x in _PART(name)]
+        if any(x in _ASIDE_ALWAYS for x in parts) or parts and all(x in _ASIDE_NAMES or x in _FILLERS for x in parts) and any(x in _ASIDE_NAMES for x in parts):
+            return True
+    return False
+
+
+def _is_aside(tag: str, attrs: str, inside: bool) -> str:
+    """'yes' for an element beside the article, 'named' for a part of one (``inside``) that a word of a name speaks against."""
     if tag in _ASIDE_TAGS:
-        return True
-    if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
-        return True
+        return "yes"
+    if tag == "header" and not inside:
+        return "yes"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    named = ""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id") and _named_aside(value):
-            return True
+            if not inside or _only_aside(value):
+                return "yes"
+            named = "named"
         if key == "role" and value.strip().lower() in _ASIDE_ROLES or key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return "yes"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "yes"
+    return named
+
+
+def _settle(named: list[Node]) -> None:
+    """Of parts of an article that a word of a name speaks against those go whose text is links, or that have none."""
+    known: dict[int, tuple[int, int]] = {}
+    for node in reversed(named):  # inner ones first, so each part of the tree is walked once
+        chars = linked = 0
+        todo: list[tuple[Node, bool]] = [(node, False)]
+        while todo:
+            x, link = todo.pop()
+            if x.aside:
+                continue
+            if (got := known.get(id(x))) is not None:
+                chars, linked = chars + got[0], linked + (got[0] if link else got[1])
+                continue
+            link = link or x.tag == "a"
+            for y in x.kids:
+                if type(y) is Node:
+                    todo.append((y, link))
+                else:
+                    size = len(y.strip())
+                    chars, linked = chars + size, linked + (size if link else 0)
+        node.aside = 2 * linked >= chars
+        known[id(node)] = (chars, linked)
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag that begins before ``at`` ends (behind its '>'): quoted '>' don't count unless a quote is never closed; -1 without an end."""
+    i = at
+    while (m := _MARK.search(html, i)) is not None:
+        if m[0] == ">":
+            return m.end()
+        i = html.find(m[0], m.end()) + 1
+        if not i:
+            break
+    return html.find(">", at) + 1 or -1
+
+
+def _token(html: str, at: int, last: int):
+    """The next piece of markup: (start, tag or None, is an end tag, attributes, CDATA, end); None without one. last: the last '>' of the page."""
+    while (i := html.find("<", at)) >= 0:
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            return i, None, False, "", None, end + 3 if end >= 0 else len(html)
+        if html.startswith("<![CDATA[", i):
+            end = html.find("]]>", i + 9)
+            return (i, None, False, "", html[i + 9 : end], end + 3) if end >= 0 else (i, None, False, "", html[i + 9 :], len(html))
+        if i > last:
+            return None  # no tag ends any more
+        if html[i + 1 : i + 2] in ("!", "?"):
+            return i, None, False, "", None, html.find(">", i) + 1
+        if (m := _NAME.match(html, i)) is not None and (end := _tag_end(html, m.end())) > 0:
+            return i, m[2].lower(), bool(m[1]), html[m.end() : end - 1], None, end
+        at = i + 1
+    return None
 
 
 def parse(html: str) -> Node:
     root = Node("#root", None)
     stack = [root]
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            stack[-1].kids.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            stack[-1].kids.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m["cdata"]:
-            stack[-1].kids.append(m["cdata"])
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
+    open_: Counter[str] = Counter()
+    named: list[Node] = []
+
+    def close(i: int) -> None:
+        open_.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
+    at, last = 0, html.rfind(">")
+    while (piece := _token(html, at, last)) is not None:
+        start, tag, closing, attrs, data, end = piece
+        if start > at:
+            stack[-1].kids.append(unescape(html[at:start]))
+        at = end
+        if data:
+            stack[-1].kids.append(data)
+        if tag is not None and closing:
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html", "article", "main", "div", "section"):
                     break  # an end tag in a cell ends nothing outside of it
-            continue
-        attrs = m["attrs"] if m["tag"] else m["attrs2"]
-        if tag in _ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
-        if tag in _ENDS:
-            ended, scope = _ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in ended:
-                    del stack[i:]
-        node = Node(tag, stack[-1])
-        node.aside = _is_aside(tag, attrs, stack)
-        stack[-1].kids.append(node)
-        if tag in _VOID or attrs.endswith("/") and tag in ("svg", "path", "use"):
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
-            continue
-        stack.append(node)
+        elif tag is not None:
+            if tag in _ENDS_P and open_["p"] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == "p":
+                        close(i)
+                        break
+                    if stack[i].tag in _SCOPE:
+                        break
+            if tag in _ENDS and any(open_[x] > 0 for x in _ENDS[tag][0]):
+                ended, scope = _ENDS[tag]
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in scope:
+                        break
+                    if stack[i].tag in ended:
+                        close(i)
+            node = Node(tag, stack[-1])
+            beside = _is_aside(tag, attrs, open_["article"] > 0 or open_["main"] > 0)
+            node.aside, node.named = beside == "yes", beside == "named"
+            if node.named:
+                named.append(node)
+            stack[-1].kids.append(node)
+            if tag in _RAW and tag not in _VOID:
+                found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, end)
+                at = found.end() if found else len(html)
+            elif tag not in _VOID and not (attrs.endswith("/") and tag in ("svg", "path", "use")):
+                stack.append(node)
+                open_[tag] += 1
+    if at < len(html):
+        stack[-1].kids.append(unescape(html[at:]))
+    _settle(named)
     return root
 
 
@@ -213,7 +294,7 @@ def _score(nodes: list[Node]) -> None:
             continue
         points = (min(chars / 100.0, 3.0) + commas + (1.0 if chars >= 25 else 0.0)) * (1 - linked / max(chars, linked))
         up, level = (node if loose else node.parent), 0
-        while up is not None:
+        while up is not None and level < REACH:
             up.points += points / (1.0, 2.0)[level] if level < 2 else points / (3.0 * level)
             up, level = up.parent, level + 1
 
@@ -276,7 +357,8 @@ def main_text(html: str | None) -> str:
                     kept.append(x)
                 elif x.tag in ("h1", "h2", "h3") and x.chars and not x.linked:
                     kept.append(x)
-        kept = [x for x in best.parent.kids if any(x is y for y in kept)]
+        chosen = {id(x) for x in kept}
+        kept = [x for x in best.parent.kids if id(x) in chosen]
         # parts of the text may stand in other branches
         up = best.parent
         while up.parent is not None and up.tag not in ("article", "main"):

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
-A text is a bag of stems (the first ``STEM`` letters and digits of a word, in lower case), over all terms of the
-examples. Examples and texts are TF-IDF vectors of length 1; a term's weight also has a factor that grows from ``FLOOR`` to 1
+A text is a bag of terms, over all terms of the examples: its words (runs of letters and digits, in lower case), whole; for words of more than
+``STEM`` letters their first ones too, so that inflections meet; and for scripts that put no spaces between words all pairs of
+neighbouring characters. Examples and texts are TF-IDF vectors of length 1; a term's weight also has a factor that grows from ``FLOOR`` to 1
 with its chi-square against the label, so that the words of the subject don't drown what the label is about, but no
 term is left out.
 
@@ -40,7 +41,7 @@ from .langid import held_out
 
 MAX_EXAMPLES = 2_000
 MAX_CHARS = 16_000_000
-#: Characters of a word that make a term, so that its inflections meet.
+#: Characters of a longer word that make a term besides the word, so that its inflections meet.
 STEM = 6
 #: The factor of a term's weight: FLOOR + (1 - FLOOR) * c^2 / (c^2 + CHI^2) for a chi-square of c.
 FLOOR = 0.02
@@ -50,12 +51,24 @@ BLOCK = 32
 MARGIN = 0.05
 #: Words that a worker remembers.
 MEMO = 200_000
-_RUNS = re.compile(r"\w+").findall
-
-
-def stems(word: str) -> list[str]:
-    """The first letters and digits of each run of them in a word, in lower case."""
-    return [run[:STEM] for run in _RUNS(word.lower())]
+_RUNS = re.compile(r"[^\W_]+").findall
+#: Thai and Lao, Burmese, Khmer, Japanese and Chinese: words without spaces between them.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+)")
+
+
+def terms_of(word: str) -> list[str]:
+    """The terms of a string without white space."""
+    out = []
+    for run in _RUNS(word.lower()):
+        parts = [run] if run.isascii() else _UNSPACED.split(run)  # every second part is without spaces
+        for i, part in enumerate(parts):
+            if i % 2:
+                out += [part[j : j + 2] for j in range(max(1, len(part) - 1))]
+            elif part:
+                out.append(part)
+                if len(part) > STEM:
+                    out.append(part[:STEM])
+    return out
 
 
 class _Memo(dict):
@@ -67,7 +80,7 @@ class _Memo(dict):
     def __missing__(self, word: str) -> list[int]:
         if len(self) >= MEMO:
             self.clear()
-        got = self[word] = [self.terms[g] for g in stems(word) if g in self.terms]
+        got = self[word] = [self.terms[g] for g in terms_of(word) if g in self.terms]
         return got
 
 
@@ -107,7 +120,7 @@ class Nearest:
         for _, text, _ in examples:
             c: Counter = Counter()
             for w, n in Counter(text.split()).items():
-                for g in stems(w):
+                for g in terms_of(w):
                     c[number.setdefault(g, len(number))] += n
             bags.append((np.fromiter(c, np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c))))
         n, ones, width = len(examples), y.sum(), len(number)

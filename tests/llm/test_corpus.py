@@ -508,7 +508,9 @@ def test_toxicity_by_brute_force():
     text = lambda bad: " ".join([*rng.choices(vocabulary, k=rng.randint(1, 60)), *(rng.choices(["Vileword", "nastyish!"], k=2) if bad else [])])
     examples = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(150)]
     model = toxicity.Nearest(examples, share=0.1)
-    bags = [collections.Counter(w.lower().strip("!")[:6] for w in t.split()) for _, t, _ in examples]
+    whole = lambda w: w.lower().strip("!")
+    bag = lambda t: collections.Counter(x for w in t.split() for x in ([whole(w), whole(w)[:6]] if len(whole(w)) > 6 else [whole(w)]))
+    bags = [bag(t) for _, t, _ in examples]
     n, ones = len(bags), sum(y for *_, y in examples)
 
     def weight(term):
@@ -526,7 +528,7 @@ def test_toxicity_by_brute_force():
 
     vectors = [vector(b) for b in bags]
     for t in [text(k % 2) for k in range(40)]:
-        q = vector(collections.Counter(w.lower().strip("!")[:6] for w in t.split()))
+        q = vector(bag(t))
         cosine = sorted((sum(x * v.get(k, 0) for k, x in q.items()) for v in vectors), reverse=True)[: model.k]
         i, got = model.nearest(*model.vector(t))
         assert np.allclose(got, cosine)
@@ -664,3 +666,45 @@ def test_pipeline(spark, tmp_path):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
     assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+# --- op2: whole words ------------------------------------------------------------------------------
+
+
+def test_toxicity_reads_whole_words_and_scripts_without_spaces():
+    assert toxicity.terms_of("internationale_Idiot_x") == ["internationale", "intern", "idiot", "x"]
+    assert toxicity.terms_of("你是白痴abc") == ["你是", "是白", "白痴", "abc"] and toxicity.terms_of("痴") == ["痴"]
+
+
+def test_toxicity_scores_follow_late_letters(spark):
+    rng = random.Random(6)
+    plain = lambda: " ".join(rng.choice(WORDS) for _ in range(12))
+    rows = [(i, plain() + (" internationalscum 你是白痴吗" if i % 2 else " internationalhouse 你是朋友吗")) for i in range(300)]
+    rows += [(1000, "some internationalscum here"), (1001, "some internationalhouse here"), (1002, "你是白痴吗"), (1003, "你是朋友吗")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).filter("doc_id >= 1000").collect()}
+    assert got[1000] > 0.5 > got[1001] and got[1002] > 0.5 > got[1003]
+
+
+# --- op8: names inside an article, long broken pages -------------------------------------------------
+
+
+def test_names_inside_an_article_are_no_verdict():
+    body = "<p>The first paragraph of the article, which is long enough, with commas, to count.</p><p>And the second one, which is about as long, and says more.</p>"
+    for name in ("article-header", "post-header", "social-history", "important-notice-of-law"):
+        for tag in ("article", "main"):
+            page = f'<body><nav>Menu</nav><{tag}><div class="{name}"><h1>Head</h1><p>Lede of it.</p></div>{body}<div class="comment-list">Me too</div><div class="ad">Buy</div><div class="share-tools"><a>Share</a> <a>Mail</a></div></{tag}><footer>Foot</footer></body>'
+            got = html_text.main_text(page).split("\n")
+            assert got[:2] == ["Head", "Lede of it."] and len(got) == 4, name
+    outside = f'<body><div class="social-history"><p>Beside.</p></div><article>{body}</article></body>'
+    assert len(html_text.main_text(outside).split("\n")) == 2
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for unit, tail in (('<a "', ""), ('<a "', ">"), ("<div></b>", ""), ("<div><p>x", ""), ("<!--", ""), ("<a <", ""), ('<div class="social-history">', "")):
+        start = time.perf_counter()
+        html_text.main_text(unit * (1_000_000 // len(unit)) + tail)
+        assert time.perf_counter() - start < 10, unit
