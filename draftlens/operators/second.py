@@ -8,8 +8,8 @@ exploded, regrouped or joined. The recogniser is injected: ``make()`` is called
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import numpy as np
@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from ..functions.amounts import in_words
 from ..functions.fields import ok
 from ..functions.text import let, memo_for_comparison, payee_for_comparison
-from .compare import compared, eligible, triggered
+from ..sources.responses import switch
+from .compare import POLICIES, compared, eligible, triggered
 from .geometry import CropConfig, crop, to_pixels
 from .images import luma, otsu
 
@@ -50,10 +51,46 @@ class SecondConfig:
 
     def __post_init__(self) -> None:
         eligible(self.fields)
+        if self.policy not in POLICIES:
+            raise ValueError(f"unknown policy {self.policy!r}")
         if self.variant not in VARIANTS:
             raise ValueError(f"unknown variant {self.variant!r}")
 
 
+@dataclass(frozen=True)
+class RecogniserConfig:
+    """What a recogniser's maker is told; nothing here loads a model."""
+
+    model: str = ""
+    revision: str | None = None
+    device: str = "auto"
+    max_new_tokens: int = 32
+    local_files_only: bool = False
+    keep_crops: bool = False
+
+
+#: Ways to choose a device.
+DEVICES = ("auto", "cpu", "cuda")
+
+
+def from_environment(env: Mapping[str, str], prefix: str = "SECOND_READING_", base: SecondConfig | None = None, recogniser: RecogniserConfig | None = None) -> tuple[SecondConfig, RecogniserConfig]:
+    """The configurations with what variables say in place of ``base`` and ``recogniser``; variables that are not set change nothing.
+
+    ENABLED, TRIGGER_POLICY; MODEL (LOCAL_MODEL_PATH goes before it), MODEL_REVISION, DEVICE, MAX_NEW_TOKENS, LOCAL_FILES_ONLY, DEBUG_RETAIN_CROPS.
+    """
+    base, recogniser = base or SecondConfig(), recogniser or RecogniserConfig()
+    said = lambda name, default: env.get(prefix + name, default)
+    if said("DEVICE", recogniser.device) not in DEVICES:
+        raise ValueError(f"unknown device {said('DEVICE', '')!r}")
+    first = replace(base, enabled=switch(env.get(prefix + "ENABLED"), base.enabled), policy=said("TRIGGER_POLICY", base.policy))
+    second = replace(
+        recogniser, model=said("LOCAL_MODEL_PATH", "") or said("MODEL", recogniser.model), revision=said("MODEL_REVISION", recogniser.revision), device=said("DEVICE", recogniser.device),
+        max_new_tokens=int(said("MAX_NEW_TOKENS", recogniser.max_new_tokens)), local_files_only=switch(env.get(prefix + "LOCAL_FILES_ONLY"), recogniser.local_files_only),
+        keep_crops=switch(env.get(prefix + "DEBUG_RETAIN_CROPS"), recogniser.keep_crops),
+    )
+    return first, second
+
+
 def variant(rgb: np.ndarray, name: str) -> np.ndarray:
     """A crop as it is, gray, with more contrast around its mean brightness, or in black and white."""
     if name not in VARIANTS:

@@ -328,3 +328,16 @@ def test_patterns(spark, tmp_path):
         (tmp_path / n).write_text("{}")
     got = expanded(spark, [f"{tmp_path}/*.txt", f"{tmp_path}/*.json", f"{tmp_path}/none-*.json"])
     assert [g.rsplit("/", 1)[1] for g in got] == ["c.txt", "a.json", "b.json", "none-*.json"]
+
+
+def test_second_reading_from_the_environment():
+    from draftlens.operators.second import RecogniserConfig, SecondConfig, from_environment
+
+    assert from_environment({}) == (SecondConfig(), RecogniserConfig())
+    env = {"X_ENABLED": "off", "X_TRIGGER_POLICY": "low_confidence_only", "X_MODEL": "m", "X_LOCAL_MODEL_PATH": "/models/m", "X_DEVICE": "cpu", "X_MAX_NEW_TOKENS": "8", "X_LOCAL_FILES_ONLY": " Yes "}
+    first, second = from_environment(env, "X_")
+    assert not first.enabled and first.policy == "low_confidence_only"
+    assert second == RecogniserConfig("/models/m", None, "cpu", 8, True, False)
+    for bad in ({"X_DEVICE": "tpu"}, {"X_TRIGGER_POLICY": "sometimes"}):
+        with pytest.raises(ValueError):
+            from_environment(bad, "X_")
