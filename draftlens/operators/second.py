@@ -205,7 +205,7 @@ def verified(df: DataFrame, cfg: SecondConfig, make: Callable[[], Recogniser], u
     cut = df.withColumn("_crops", F.struct(*crops)).withColumn("_turn", F.col("turn"))
     # pixels go to Python only for rows of which a crop is read
     some = [F.col("_crops")[f]["status"].isin("accepted", "adjusted") for f in cfg.fields]
-    got = read(cut.withColumn("pixels", F.when(F.greatest(*some), F.col("pixels"))), make, cfg.variant, cfg.fields)
+    got = read(cut.withColumn("pixels", F.when(F.array_contains(F.array(*some), True), F.col("pixels"))), make, cfg.variant, cfg.fields)
     entries = [c for f in cfg.fields for c in (F.lit(f), _entry(cfg, f, unicode))]
     return got.withColumn("ocr_verifications", F.create_map(*entries)).drop("_crops", "_turn", "_readings")
 
