@@ -708,3 +708,97 @@ def test_broken_pages_take_linear_time():
         start = time.perf_counter()
         html_text.main_text(unit * (1_000_000 // len(unit)) + tail)
         assert time.perf_counter() - start < 10, unit
+
+
+# --- the pipeline against brute force ------------------------------------------------------------------
+
+
+def jaccard_groups(texts):
+    """The least index of each text's group by five-word Jaccard similarity of 0.8, by all pairs."""
+    sets = []
+    for t in texts:
+        w = words_of(t)
+        sets.append({b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage over all that its predecessor kept, with null and repeated ids, equal rows and near copies; then over nothing."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = [r[:5] for r in make_rows(13, 70)]
+    long = [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(90)) for _ in range(3)]
+    for i in range(24):
+        w = long[i % 3].split()
+        w[rng.randrange(90)] = f"y{i}"
+        rows.append(([None, 300, 301 + i][i % 3 if i % 2 else 2], " ".join(w), "en", "s1", 0))
+    rows += [(5, "an equal row of text", "en", "s2", 0)] * 2
+    folder = str(tmp_path / "sf")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    tables = [spark.read.parquet(f"{folder}/documents.parquet")]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, tables[-1], folder).write.parquet(str(tmp_path / f"brute{i}"))
+        tables.append(spark.read.parquet(str(tmp_path / f"brute{i}")))
+    docs, spoken, unlike, cut, mixed, packed = tables
+    both = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    # language: nothing is added, and what has no letter goes
+    assert not both(spoken) - both(docs) and not [t for _, t in both(spoken) if not any(c.isalpha() for c in t or "")]
+    # near duplicates: the first row of each group
+    order = in_key_order(spoken)
+    groups = jaccard_groups([r.c1 for r in order])
+    assert len(set(groups)) < len(groups)
+    assert both(unlike) == collections.Counter((order[g].c0, order[g].c1) for g in set(groups))
+    # repeated passages: bytes that a string of 100 bytes covers which starts earlier too
+    want = collections.Counter()
+    order = in_key_order(unlike)
+    gone = removed_bytes([(k, r.c1) for k, r in enumerate(order)], 100)
+    for k, r in enumerate(order):
+        lost, at, out = gone[k][1], 0, []
+        for c in r.c1 or "":
+            n = len(c.encode())
+            if not lost[at : at + n].any():
+                out.append(c)
+            at += n
+        if out or not r.c1:
+            want[r.c0, "".join(out) if r.c1 is not None else None] += 1
+    assert both(cut) == want and sum(x.any() for _, x in gone.values()) > 3
+    # mixture: copies of rows, no document more than twice, no source beyond twice its size
+    sizes = lambda df: collections.Counter({s: sum(len(words_of(r.text)) for r in rs) for s, rs in {s: [r for r in df.collect() if r.source == s] for s in {r.source for r in df.collect()}}.items()})
+    whole, taken = sizes(cut), sizes(mixed)
+    assert all(taken[s] <= 2 * whole[s] for s in taken) and abs(sum(taken.values()) - min(1.5 * sum(whole.values()), 2 * sum(whole.values()))) <= sum(whole.values()) * 0.1 + 400
+    texts = [r.text or "" for r in cut.collect()]
+    assert all(any(t.startswith((r.text or "").rstrip()) for t in texts) for r in mixed.collect())
+    # sequences: every row's tokens, gapless, in sequences of 2048 at most
+    tokenizer = packing.public_tokenizer()
+    total = sum(len(packing_tokens(tokenizer, r.text)) + 1 for r in mixed.collect())
+    assert packed.agg(F.sum("length")).first()[0] == total
+    for r in packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("p")).collect():
+        at = 0
+        for p in r.p:
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048
+    # nothing at all
+    nothing = spark.createDataFrame([], schema)
+    nothing.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def packing_tokens(path, text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
