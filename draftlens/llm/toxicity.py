@@ -148,14 +148,18 @@ class Nearest:
         # a vote counts as much as its label is rarer in the sample than it should be
         ratio = np.array([(1 - self.share) / max(1 - drawn, 1e-9), self.share / max(drawn, 1e-9)])
         self.votes = ratio[self.labels.astype(int)]
-        # postings by term, their blocks' starts and largest weights
+        # postings by term; a cell is the postings of a term in a block, with where they start and their largest weight (rounded up)
         o = np.lexsort((place[owner], term))
-        t, self.docs, self.weights = term[o], place[owner][o], w[o]
+        t, self.docs, self.weights = term[o], place[owner][o].astype(np.int32), w[o]
         self.blocks = -(-n // BLOCK)
-        self.starts = np.searchsorted(t * max(1, self.blocks) + self.docs // BLOCK, np.arange(width * self.blocks + 1)).astype(np.int32)
-        self.most = np.zeros(width * self.blocks)
-        np.maximum.at(self.most, t * self.blocks + self.docs // BLOCK, self.weights)
-        self.most = self.most.reshape(width, self.blocks)
+        key = t * max(1, self.blocks) + self.docs // BLOCK
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        self.starts = np.r_[first, len(key)].astype(np.int32)
+        self.block = (self.docs[first] // BLOCK).astype(np.int32)
+        most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
+        self.dense = None
+        self.cells = np.searchsorted(t[first], np.arange(width + 1)).astype(np.int32)
         self.a, self.b = 1.0, 0.0
         if n >= 20:
             self._fit([(t, self._weights(t, c)) for t, c in (bags[i] for i in order.tolist())])
@@ -177,20 +181,37 @@ class Nearest:
         at += np.repeat(start - (ends - n), n)
         return self.docs[at], np.repeat(q, n) * self.weights[at]
 
+    def _cells(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of terms, and how many each has."""
+        start = self.cells[terms].astype(np.int64)
+        n = self.cells[terms + 1] - start
+        ends = np.cumsum(n)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n), n
+
     def cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """The exact cosines of the examples of some blocks, in their order; of the others zero."""
         if 4 * len(blocks) > self.blocks:  # the postings of whole terms
-            start, end = self.starts[terms * self.blocks], self.starts[(terms + 1) * self.blocks]
+            start, end = self.starts[self.cells[terms]], self.starts[self.cells[terms + 1]]
         else:
-            cell = (terms[:, None] * self.blocks + blocks).ravel()
-            start, end, q = self.starts[cell], self.starts[cell + 1], np.repeat(q, len(blocks))
-            some = np.flatnonzero(end > start)
-            start, end, q = start[some], end[some], q[some]
+            at, n = self._cells(terms)
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            some = wanted[self.block[at]]
+            at, q = at[some], np.repeat(q, n)[some]
+            start, end = self.starts[at], self.starts[at + 1]
+        start = start.astype(np.int64)
         return np.bincount(*self._products(start, end - start, q), self.blocks * BLOCK)
 
+    def bounds(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What no cosine of a block's examples exceeds."""
+        if self.dense is None:  # made where it is used, as it is larger than all else
+            self.dense = np.zeros((len(self.cells) - 1, self.blocks), np.float32)
+            self.dense[np.repeat(np.arange(len(self.cells) - 1), np.diff(self.cells)), self.block] = self.most
+        return q @ self.dense[terms]
+
     def nearest(self, terms: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, nearest first, ties to the smaller number."""
-        bound = q @ self.most[terms] if len(terms) else np.zeros(self.blocks)
+        bound = self.bounds(terms, q) if len(terms) else np.zeros(self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
         least = 0.0
@@ -244,7 +265,7 @@ class Nearest:
         return float(s), [self.ids[j] for j in i[:5].tolist()], [self.names[t].strip() for t in terms[top].tolist()]
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": None}
+        return self.__dict__ | {"memo": None, "dense": None}
 
     def __setstate__(self, state):
         self.__dict__ |= state | {"memo": _Memo(state["terms"])}
