@@ -70,15 +70,19 @@ def payee_rule(f: Column, cfg: Config) -> Column:
 
 
 def amount_rule(num: Column, words: Column, cfg: Config) -> Column:
-    """Figures against words: agreement passes; only then are the figure's words looked for in the text."""
+    """Figures against words: agreement passes; only then are the figure's words looked for in the text.
+
+    A figure of cents alone has no number word that could be looked for ("zero" says no more than that there are no dollars), so nothing is matched for it.
+    """
     figure = F.concat(F.lit("figures $"), num["value"].cast("string"))
     match = verify_by_tokens(words["raw_text"], num["value"].cast("long"), cents_of(num["value"]))
     close = F.abs(num["value"] - words["value"]) <= F.lit(cfg.amount_tolerance)
+    cents_alone = (num["value"] > 0) & (num["value"] < 1)
 
     def fallback(m: Column, otherwise: Column) -> Column:
         claims = F.array_join(F.transform(m["claims"], lambda c: F.concat(c["times"].cast("string"), F.lit(" "), c["scale"])), ", ")
         return (
-            F.when(m["outcome"] == "matched", cfg.outcome(V.PASS, F.concat(figure, F.lit(" == words — resolved by token-match"))))
+            F.when((m["outcome"] == "matched") & ~cents_alone, cfg.outcome(V.PASS, F.concat(figure, F.lit(" == words — resolved by token-match"))))
             .when(m["outcome"] == "contradiction", cfg.outcome(V.FAIL, F.concat(figure, F.lit(" but the words state "), claims)))
             .otherwise(otherwise)
         )

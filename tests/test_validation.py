@@ -130,6 +130,15 @@ def test_verdicts(spark, cfg):
     assert [x.status for x in got[0].rules.values()] == ["PASS"] * 5 and "corroboration" in got[0].rules["amount_match"].evidence
 
 
+def test_cents_alone_are_not_matched_by_zero(spark):
+    """"zero dollars" says nothing about a figure of cents alone; where the figure is zero itself, or the cents agree, nothing changes."""
+    cases = [("$\n0.93", "zero dollars only", "FAIL"), ("$0.93", "zero frotz dollars", "UNABLE"), ("$0.93", "zero and xx/100 dollars", "PASS"), ("$ 0", "zero dollars and ninety-three cents", "PASS"), ("$40.93", "forty dollars only", "PASS")]
+    schema = "payee_raw string, figures_raw string, words_raw string, date_raw string, signed boolean, memo_raw string, i int"
+    df = spark.createDataFrame([(*document(figures_raw=f, words_raw=w).values(), i) for i, (f, w, _) in enumerate(cases)], schema)
+    got = {r.i: r.s for r in rules.validated(normalised(df), F.lit(TODAY), rules.Config()).select("i", F.col("rules")["amount_match"]["status"].alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == [s for *_, s in cases]
+
+
 def test_reconciliation(spark):
     runs = [("a", 1, "$5.00", "five dollars only"), ("a", 2, "$5.00", "frotz"), ("b", 1, "$5.00", "five only"), ("b", 2, "$6.00", "six only"), ("c", 1, None, "x"), ("c", 2, None, "y")]
     df = spark.createDataFrame(runs, "source_id string, run int, figures_raw string, words_raw string")
