@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word Jaccard similarity of 0.8 or more the smallest doc_id stays."""
-    return simhash.deduplicated(docs, groups=jaccard.grouped)
+    """Of each group of texts linked by five-word Jaccard similarity of 0.8 or more the smallest doc_id stays; links of SimHash fingerprints come first, each verified."""
+    return simhash.deduplicated(docs, groups=jaccard.grouped, fingerprints=simhash.fingerprints)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

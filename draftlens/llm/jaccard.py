@@ -12,13 +12,16 @@ single sets. Nodes with a common prefix shingle meet in one task; pairs that are
 or that differ too much in size or in what is left behind the shingle, aren't read. A task
 returns a forest of verified pairs; ``simhash.components`` connects the tasks' forests.
 
+``grouped`` can start from SimHash fingerprints: nodes whose fingerprints are linked are verified on their sets first, and what these
+links connect is not compared again. As fingerprints within few bits miss most pairs near the least similarity, prefixes find the others.
+
 Rows: a null text counts as empty; texts without words have the empty set and are alike. Texts
 of fewer words than ``k`` are one shingle. ``near_duplicates`` links rows without id to nothing; ``grouped`` does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,7 @@ from xxhash import xxh64_intdigest
 
 from .common import checkpointed, filesystem, numbered, partitions, release, scratch
 from .simhash import components, shingle_hashes
+from .simhash import links as fingerprint_links
 
 K = 5
 SIMILARITY = 0.8
@@ -96,7 +100,7 @@ def written(rows: DataFrame, base: str, k: int) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame, base: str, last: np.ndarray, similarity: float) -> DataFrame:
-    """(key, node, size) for each prefix shingle of each node; size holds the set's size and the shingle's position.
+    """(key, node, size, start) for each prefix shingle of each node; size holds the set's size and the shingle's position.
 
     last: sorted shingles that come at the end of the order; the others are ordered by their hashes.
     """
@@ -106,7 +110,7 @@ def prefixes(nodes: DataFrame, base: str, last: np.ndarray, similarity: float) -
         sets, end = Sets(base), shared.value
         for batch in batches:
             keys, counts = [], []
-            node, n = (np.asarray(batch.column(i)) for i in range(2))
+            node, n, start = (np.asarray(batch.column(i)) for i in range(3))
             for place, size in zip(node.tolist(), n.tolist(), strict=True):
                 s, p = sets.read(place, size), prefix_length(size, similarity)
                 if len(end):
@@ -117,11 +121,11 @@ def prefixes(nodes: DataFrame, base: str, last: np.ndarray, similarity: float) -
             c = np.array(counts, np.int64)
             position = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            cols = [flat.view(np.int64), np.repeat(node, c), np.repeat(n, c) << 32 | position]
+            cols = [flat.view(np.int64), np.repeat(node, c), np.repeat(n, c) << 32 | position, np.repeat(start, c)]
             for at in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in cols], names=["key", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in cols], names=["key", "node", "size", "start"])
 
-    return nodes.select("node", "n").mapInArrow(run, "key long, node long, size long")
+    return nodes.select("node", "n", "start").mapInArrow(run, "key long, node long, size long, start long")
 
 
 def common_shingles(nodes: DataFrame, base: str, similarity: float, most: int) -> np.ndarray:
@@ -183,8 +187,10 @@ class Forest:
         p, q = self.find(a), self.find(b)
         self.up[max(p, q)] = min(p, q)
 
-    def group(self, node: np.ndarray, size: np.ndarray) -> None:
-        """Connect the nodes that have a shingle in common."""
+    def group(self, node: np.ndarray, size: np.ndarray, start: np.ndarray) -> None:
+        """Connect the nodes that have a shingle in common; start: a node that is known to be connected, or -1."""
+        for i in np.flatnonzero(start >= 0).tolist():
+            self.join(int(node[i]), int(start[i]))
         n, left = size >> 32, (size >> 32) - (size & (1 << 32) - 1)
         rows = list(zip(node.tolist(), n.tolist(), strict=True))
         # near copies in a large group mostly link to its first row, which leaves few pairs
@@ -218,6 +224,29 @@ class Forest:
         return [(x, r) for x in list(self.up) if (r := self.find(x)) != x]
 
 
+def fingerprinted(docs: DataFrame, marks: DataFrame, base: str, similarity: float, max_bits: int = 3) -> DataFrame:
+    """(u, v) with u > v: nodes whose fingerprints are linked and whose sets are similar.
+
+    docs: as ``written`` gives them; marks: (row, mark), the fingerprint of each row. A node has the mark of its first row; of nodes with one mark each is compared with the first.
+    """
+    marked = docs.select("row", "fp", "fp2", "n", "loc").join(marks, "row")
+    nodes = checkpointed(marked.groupBy("fp", "fp2", "n").agg(F.min(F.struct("loc", "mark")).alias("x")).select(F.col("x.loc").alias("node"), "n", F.col("x.mark").alias("mark")))
+    heads = checkpointed(nodes.groupBy("mark").agg(F.min(F.struct("node", "n")).alias("x")).select("mark", F.col("x.node").alias("head"), F.col("x.n").alias("head_n")))
+    near = fingerprint_links(heads.select(F.col("mark").alias("node"), F.col("mark").alias("fp")), max_bits)
+    of = lambda side: heads.select(F.col("mark").alias(side), F.col("head").alias(f"{side}_head"), F.col("head_n").alias(f"{side}_n"))
+    across = near.join(of("u"), "u").join(of("v"), "v").select(F.col("u_head").alias("a"), F.col("u_n").alias("a_n"), F.col("v_head").alias("b"), F.col("v_n").alias("b_n"))
+    within = nodes.join(heads, "mark").filter("node <> head").select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("head").alias("b"), F.col("head_n").alias("b_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(base, similarity)
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            found = [(max(a, b), min(a, b)) for a, n, b, m in rows if n and m and forest.linked((a, n), (b, m))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
+
+    return checkpointed(across.unionByName(within).mapInArrow(run, "u long, v long"))
+
+
 def links(nodes: DataFrame, base: str, similarity: float, most: int) -> DataFrame:
     """(u, v) with u > v: links that connect the same nodes as all similar pairs would."""
     last = common_shingles(nodes, base, similarity, most)
@@ -246,14 +275,21 @@ def links(nodes: DataFrame, base: str, similarity: float, most: int) -> DataFram
     return checkpointed(met.mapInArrow(run, "u long, v long"))
 
 
-def grouped(rows: DataFrame, k: int = K, similarity: float = SIMILARITY, most: int = COMMON) -> DataFrame:
-    """(doc, row, root) of (doc, row, text): rows that links connect have one root."""
+def grouped(rows: DataFrame, k: int = K, similarity: float = SIMILARITY, most: int = COMMON, fingerprints: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """(doc, row, root) of (doc, row, text): rows that links connect have one root.
+
+    fingerprints: ``simhash.fingerprints``, to start from what they link; the groups are the same.
+    """
     spark = rows.sparkSession
     base = scratch(spark, "shingles")
     docs = checkpointed(written(rows, base, k))
     # equal sets are one node, named after the least place of one
     nodes = checkpointed(docs.groupBy("fp", "fp2", "n").agg(F.min("loc").alias("node")))
-    roots = components(links(nodes, base, similarity, most))
+    known = None if fingerprints is None else fingerprinted(docs, fingerprints(rows, "row", "text").toDF("row", "mark"), base, similarity)
+    start = F.lit(-1).cast("long") if known is None else F.coalesce("start", F.lit(-1))
+    at = nodes if known is None else checkpointed(nodes.join(checkpointed(components(known)).withColumnRenamed("root", "start"), "node", "left"))
+    found = links(at.withColumn("start", start), base, similarity, most)
+    roots = components(found if known is None else found.unionByName(known))
     named = checkpointed(nodes.join(roots, "node", "left").select(F.col("fp").alias("f"), F.col("fp2").alias("f2"), F.col("n").alias("m"), F.coalesce("root", "node").alias("root")))
     out = checkpointed(docs.join(named, (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")) & (F.col("n") == F.col("m"))).select("doc", "row", "root"))
     path = spark._jvm.org.apache.hadoop.fs.Path(base)

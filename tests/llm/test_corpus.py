@@ -647,6 +647,24 @@ def test_main_text(spark):
     assert {(r.page_id, r.text) for r in html_text.extracted(df).collect()} == {(1, ""), (2, "x")}
 
 
+def test_pipeline_starts_from_fingerprints(spark, monkeypatch):
+    """Links of fingerprints come first and are verified: texts of one fingerprint with unlike sets stay, near copies go."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"u{rng.randint(0, 10**6)}" for _ in range(400)]
+    often = " ".join(["a b c"] * 400)  # three shingles outweigh all others in the fingerprint, but not in the set
+    last = [*words[:-1], "other"]
+    rows = [(1, f"{often} {' '.join(words[:8])}"), (2, f"{often} {' '.join(words[8:16])}"), (3, " ".join(words)), (4, " ".join(last)), (5, "nothing like these at all in here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(df).collect()}
+    assert fps[1] == fps[2] and (fps[3] ^ fps[4]).bit_count() <= 3
+    found, of = [], jaccard.fingerprinted
+    monkeypatch.setattr(jaccard, "fingerprinted", lambda *a: (found.append(of(*a)), found[-1])[1])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 2, 3, 5]
+    assert len(found) == 1 and found[0].count() == 1
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
