@@ -17,12 +17,13 @@ ROWS = 100_000
 def write(df: DataFrame, path: str, order: list[Column], key: Column, rows: int = ROWS) -> None:
     """The view and its directory below ``path``. key: the leading value of the order, for searches."""
     spark = df.sparkSession
-    n = max(1, -(-df.count() // rows))
-    df.withColumn("_key", key).repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(f"{path}/rows")
-    files = spark.read.parquet(f"{path}/rows").groupBy(F.col("_metadata.file_name").alias("file"), F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("part")).agg(
+    # a task writes many small files: with one for each, tasks and the sample of the order would grow with the files, and all of it goes to the driver
+    n = max(1, -(-df.count() // max(rows, ROWS)))
+    df.withColumn("_key", key).repartitionByRange(n, *order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows).parquet(f"{path}/rows")
+    files = spark.read.parquet(f"{path}/rows").groupBy(F.col("_metadata.file_name").alias("file"), *(F.regexp_extract("_metadata.file_name", p, 1).cast("int").alias(n) for n, p in (("part", r"^part-(\d+)"), ("piece", r"-c(\d+)\.")))).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("_key", "_metadata.row_index").alias("first"), F.max_by("_key", "_metadata.row_index").alias("last")
     )
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
     files.withColumn("before", before).coalesce(1).sortWithinPartitions("before").write.parquet(f"{path}/directory")
 
 

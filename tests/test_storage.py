@@ -174,6 +174,19 @@ def test_a_page_opens_one_file(spark, tmp_path):
     assert sorted(r.v for r in paging.between(spark, at, 250, 260).collect()) == list(range(250, 261))
 
 
+def test_page_tasks_are_fewer_than_files(spark, tmp_path, monkeypatch):
+    """Small files don't make small tasks: the directory keeps the order of a task's files, and pages over their ends are whole."""
+    monkeypatch.setattr(paging, "ROWS", 1000)
+    at = str(tmp_path / "view")
+    paging.write(spark.range(5000).select(F.xxhash64("id").alias("v"), "id"), at, [F.col("v"), F.col("id")], F.col("v"), rows=60)
+    files = paging.directory(spark, at).orderBy("before").collect()
+    assert len({f.part for f in files}) <= 5 and len(files) >= 5000 // 60 and all(a.last <= b.first for a, b in zip(files, files[1:], strict=False))
+    want = [r.v for r in spark.range(5000).select(F.xxhash64("id").alias("v")).orderBy("v").collect()]
+    for number in (0, 7, 24):
+        assert [r.v for r in paging.page(spark, at, number, 200).orderBy("place").collect()] == want[200 * number : 200 * number + 200]
+
+
+
 def test_medians(spark):
     rng = random.Random(4)
     rows = [("a", rng.gauss(0, 1)) for _ in range(501)] + [("b", float(i % 7)) for i in range(400)] + [("c", 3.5)] + [("d", None), ("d", float("nan"))] + [(None, x) for x in (1e300, -1e300, 1.0, 2.0)] + [("e", 10.0 ** (i - 150)) for i in range(301)]
