@@ -52,7 +52,7 @@ def memo(raw: Column, present: Column | None = None) -> Column:
 
 
 def normalised(df: DataFrame, date_order: str = "DMY", unicode: bool = True) -> DataFrame:
-    """df with payee_raw, figures_raw, words_raw, date_raw, signed and memo_raw replaced by the six fields.
+    """df with payee_raw, figures_raw, words_raw, date_raw, signed and memo_raw replaced by the six fields; without payee_raw, by the other five.
 
     The figures come first: their cents stand in for an unread printed suffix of the words. If df has them, ``confidence`` (a struct by field
     name), ``memo_present`` and ``signature_reason`` (why the verdict on the signature can't be told) are used and dropped too.
@@ -71,5 +71,5 @@ def normalised(df: DataFrame, date_order: str = "DMY", unicode: bool = True) ->
         "signature": lambda: field(signature(F.lit(None).cast("string"), F.col("signed"), column("signature_reason")), conf("signature")),
         "memo": lambda: field(memo(F.col("memo_raw"), column("memo_present")), conf("memo")),
     }
-    df = df.withColumns({name: built(name, make) for name, make in others.items()})
+    df = df.withColumns({name: built(name, make) for name, make in others.items() if name != "payee" or "payee_raw" in df.columns})
     return df.drop(*names, "_cents", *optional)

@@ -28,12 +28,12 @@ def _words(dollars: Column) -> Column:
     return F.array_join(F.array_compact(parts), " ")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document for each order; ``k`` alone decides which class each field is of."""
+def documents(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
+    """One document for each order; ``k`` alone decides which class each field is of. Without ``named`` no customer is joined, and c_name and payee_raw are left out."""
     orders, customers = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("k")
     cents = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint") % 1_000_000
-    df = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("k", F.col("o_orderkey")).withColumn("cents", cents)
+    df = (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left") if named else orders).withColumn("k", F.col("o_orderkey")).withColumn("cents", cents)
     df = df.withColumn("dollars", ((F.col("cents") - F.col("cents") % 100) / 100).cast("bigint")).withColumn("cc", F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
     div = lambda n: ((k - k % n) / n).cast("bigint")
     names = ("The Town of Whitby", "TOWN OF WHITBY.", "Town of Whitty", "Whitby Taxes", None, "City of Oshawa", None, "Town of Witby")
@@ -68,4 +68,4 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     signed = F.when(F.col("o_orderstatus") == "O", True).when(F.col("o_orderstatus") == "P", False)
     memo = F.when(k % 11 != 0, F.col("o_orderpriority"))
-    return df.select("k", "dollars", "cents", "c_name", payee.alias("payee_raw"), figures.alias("figures_raw"), words.alias("words_raw"), date.alias("date_raw"), signed.alias("signed"), memo.alias("memo_raw"), F.col("o_orderpriority").alias("template"), day.alias("day"))
+    return df.select("k", "dollars", "cents", *(("c_name", payee.alias("payee_raw")) if named else ()), figures.alias("figures_raw"), words.alias("words_raw"), date.alias("date_raw"), signed.alias("signed"), memo.alias("memo_raw"), F.col("o_orderpriority").alias("template"), day.alias("day"))

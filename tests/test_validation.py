@@ -139,6 +139,18 @@ def test_cents_alone_are_not_matched_by_zero(spark):
     assert [got[i] for i in range(len(cases))] == [s for *_, s in cases]
 
 
+@pytest.mark.parametrize("name", ["memo_rule", "override_integrity"])
+def test_one_rule_needs_no_other(spark, name):
+    """A query of one rule evaluates neither the other rules nor the customers."""
+    from draftlens.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "c_name" not in plan
+    df = spark.createDataFrame([tuple(document(memo_raw=m).values()) for m in ("x", None)], "payee_raw string, figures_raw string, words_raw string, date_raw string, signed boolean, memo_raw string")
+    both = lambda d: sorted(r.s for r in d.select(F.col("rules")["memo"]["status"].alias("s")).collect())
+    assert both(rules.judged(normalised(df.drop("payee_raw")), F.lit(TODAY), only=("memo",))) == both(rules.validated(normalised(df), F.lit(TODAY))) == ["PASS", "UNABLE"]
+
+
 def test_reconciliation(spark):
     runs = [("a", 1, "$5.00", "five dollars only"), ("a", 2, "$5.00", "frotz"), ("b", 1, "$5.00", "five only"), ("b", 2, "$6.00", "six only"), ("c", 1, None, "x"), ("c", 2, None, "y")]
     df = spark.createDataFrame(runs, "source_id string, run int, figures_raw string, words_raw string")
