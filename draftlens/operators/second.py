@@ -28,6 +28,8 @@ from .images import luma, otsu
 
 # fixed values: what a crop may be turned into before it is read, its least width for its height, and the contrast factor
 VARIANTS, LEAST_ASPECT, CONTRAST = ("rgb_normalized", "grayscale", "contrast_enhanced", "adaptive_binarized"), 3.0, 1.6
+#: States of a crop that is read.
+READ = ("accepted", "adjusted")
 _READING = T.StructType().add("run", "string").add("raw", "string").add("score", "double").add("error", "string").add("milliseconds", "double")
 
 
@@ -136,35 +138,41 @@ def read(df: DataFrame, make: Callable[[], Recogniser], name: str, fields: tuple
     kept = [c for c in df.columns if c != "pixels"]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("_readings", T.StructType([T.StructField(f, _READING) for f in fields]))])
 
-    def one(recogniser: Recogniser, row: dict, f: str) -> dict:
-        state = row["_crops"][f]
-        if state["status"] not in ("accepted", "adjusted"):
-            return {"run": "skipped" if state["skipped"] else "not_run"}
+    def one(recogniser: Recogniser, image: Callable[[], np.ndarray], box: list[int], turn: str | None, f: str) -> tuple:
+        """(run, raw, score, error, milliseconds)."""
         start = time.perf_counter()
         try:
-            x0, y0, x1, y1 = state["bbox"]
-            image = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 3)[y0:y1, x0:x1]
-            turn = row["_turn"]["direction"]
-            image = np.rot90(image, 1 if turn == "CCW" else -1) if turn else image
-            text, score = recogniser.generate(widened(variant(image, name)), f)
+            x0, y0, x1, y1 = box
+            part = image()[y0:y1, x0:x1]
+            part = np.rot90(part, 1 if turn == "CCW" else -1) if turn else part
+            text, score = recogniser.generate(widened(variant(part, name)), f)
         except Exception as e:  # whatever a model raises; messages may hold the document's text
-            return {"run": "failed", "error": type(e).__name__, "milliseconds": 1000 * (time.perf_counter() - start)}
-        run = "completed" if text and text.strip() else "undetermined"
-        return {"run": run, "raw": text, "score": score, "milliseconds": 1000 * (time.perf_counter() - start)}
-
-    needed = ["pixels", "width", "height", "_turn", "_crops"]
-    arrow = pa.struct([(f, pa.struct([("run", pa.string()), ("raw", pa.string()), ("score", pa.float64()), ("error", pa.string()), ("milliseconds", pa.float64())])) for f in fields])
+            return "failed", None, None, type(e).__name__, 1000 * (time.perf_counter() - start)
+        return "completed" if text and text.strip() else "undetermined", text, score, None, 1000 * (time.perf_counter() - start)
+
+    types = {"run": pa.string(), "raw": pa.string(), "score": pa.float64(), "error": pa.string(), "milliseconds": pa.float64()}
+
+    def read_one(recogniser: Recogniser, pixels: pa.Array, sizes: tuple[list, list], turns: list, crops: pa.Array, f: str) -> pa.Array:
+        """The readings of one field of a batch; values of rows that are not read stay in Arrow."""
+        boxes, skipped = crops.field("bbox"), crops.field("skipped").to_pylist()
+        states, rows = crops.field("status").to_pylist(), []
+        for i, state in enumerate(states):  # an image at a time
+            if state not in READ:
+                rows.append(("skipped" if skipped[i] else "not_run", None, None, None, None))
+                continue
+            image = lambda i=i: np.frombuffer(pixels[i].as_buffer(), np.uint8).reshape(sizes[1][i], sizes[0][i], 3)
+            rows.append(one(recogniser, image, boxes[i].as_py(), turns[i], f))
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types.values(), strict=True)], names=list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recogniser = None
         for batch in batches:
-            columns, got = [batch.column(n) for n in needed], []
-            for i in range(batch.num_rows):  # an image at a time
-                row = dict(zip(needed, (c[i].as_py() for c in columns), strict=True))
-                if recogniser is None and any(c["status"] in ("accepted", "adjusted") for c in row["_crops"].values()):
-                    recogniser = make()
-                got.append({f: one(recogniser, row, f) for f in fields})
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, arrow)], names=[*kept, "_readings"])
+            crops = batch.column("_crops")
+            if recogniser is None and any(s in READ for f in fields for s in crops.field(f).field("status").to_pylist()):
+                recogniser = make()
+            sizes, turns = (batch.column("width").to_pylist(), batch.column("height").to_pylist()), batch.column("_turn").field("direction").to_pylist()
+            got = [read_one(recogniser, batch.column("pixels"), sizes, turns, crops.field(f), f) for f in fields]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.StructArray.from_arrays(got, names=list(fields))], names=[*kept, "_readings"])
 
     return df.mapInArrow(run, schema)
 
