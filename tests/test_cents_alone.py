@@ -10,6 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 #: Each query judges amounts by rules.amount_rule.
 JUDGING = (
     "override_evidence",
+    "override_overlay",
 )
 
 
