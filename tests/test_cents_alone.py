@@ -11,6 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 JUDGING = (
     "override_evidence",
     "override_overlay",
+    "record_projection",
 )
 
 
