@@ -12,6 +12,7 @@ JUDGING = (
     "override_evidence",
     "override_overlay",
     "record_projection",
+    "revalidate",
 )
 
 
