@@ -13,6 +13,7 @@ JUDGING = (
     "override_overlay",
     "record_projection",
     "revalidate",
+    "revalidate_merged",
 )
 
 
