@@ -14,6 +14,7 @@ JUDGING = (
     "record_projection",
     "revalidate",
     "revalidate_merged",
+    "rule_matrix",
 )
 
 
