@@ -15,6 +15,7 @@ JUDGING = (
     "revalidate",
     "revalidate_merged",
     "rule_matrix",
+    "rule_status_counts",
 )
 
 
