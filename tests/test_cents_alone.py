@@ -16,6 +16,7 @@ JUDGING = (
     "revalidate_merged",
     "rule_matrix",
     "rule_status_counts",
+    "store_counters",
 )
 
 
