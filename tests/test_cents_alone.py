@@ -17,6 +17,7 @@ JUDGING = (
     "rule_matrix",
     "rule_status_counts",
     "store_counters",
+    "template_refusals",
 )
 
 
