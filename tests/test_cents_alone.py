@@ -18,6 +18,7 @@ JUDGING = (
     "rule_status_counts",
     "store_counters",
     "template_refusals",
+    "verdict_counts",
 )
 
 
