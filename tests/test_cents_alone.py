@@ -19,6 +19,7 @@ JUDGING = (
     "store_counters",
     "template_refusals",
     "verdict_counts",
+    "verdict_transitions",
 )
 
 
