@@ -75,7 +75,7 @@ def amount_rule(num: Column, words: Column, cfg: Config) -> Column:
     A figure of cents alone has no number word that could be looked for ("zero" says no more than that there are no dollars), so nothing is matched for it.
     """
     figure = F.concat(F.lit("figures $"), num["value"].cast("string"))
-    match = verify_by_tokens(words["raw_text"], num["value"].cast("long"), cents_of(num["value"]))
+    match = verify_by_tokens(words["raw_text"], num["value"].cast("long"), cents_of(num["value"]), cfg.evidence)
     close = F.abs(num["value"] - words["value"]) <= F.lit(cfg.amount_tolerance)
     cents_alone = (num["value"] > 0) & (num["value"] < 1)
 

@@ -226,3 +226,17 @@ def test_confidence_and_presence_reach_the_record(spark):
     got = again.first()
     assert got.rules["memo"].status == "PASS" and got.overlaid and got.old_ruleset == "1.0" and got.payee_normalized == r.payee_normalized
     assert records.pending(again, "2.0").count() == 0 and records.revalidation_events(again, F.current_timestamp()).first().event == "ruleset_revalidation"
+
+
+def test_token_match_without_evidence(spark):
+    """Texts in the figure's order are not searched, nor are those that lack a word of each form without evidence; outcomes stay, and what was found and missing is given with evidence."""
+    more = [(733, 0, "seven hundered thirty three dollars", "matched"), (40, 0, "forty thousand dollars", "contradiction"), (1200, 0, "twelve hundred dollars", "matched"), (2_000_000, 5, "two million and 05/100", "matched"), (2_000_000, 5, "two million and 06", "tokens_missing"), (0, 0, "zero dollars", "matched")]
+    rows = [(t, d, c) for d, c, t, _ in [*MATCHES, *more]]
+    schema = "a string, b long, c int"
+    fast = column(spark, rows, verify_by_tokens(F.col("a"), F.col("b"), F.col("c"), False), schema)
+    full = column(spark, rows, verify_by_tokens(F.col("a"), F.col("b"), F.col("c")), schema)
+    assert [r.outcome for r in fast] == [r.outcome for r in full] == [o for *_, o in [*MATCHES, *more]]
+    assert [r.claims for r in fast] == [r.claims for r in full]
+    got = full[len(MATCHES)]
+    assert [(x.expected, x.matched, x.distance) for x in got.found] == [("seven", "seven", 0), ("hundred", "hundered", 0), ("thirty", "thirty", 0), ("three", "three", 0)] and got.missing == []
+    assert all(r.found is None for r in fast) and full[3].missing and all(r.found is not None for r in full[:3])
