@@ -28,10 +28,9 @@ def to_pixels(regions: Column, width: Column, height: Column, pages: Column, pag
         most, least = F.array_max(polygon), F.array_min(polygon)  # NaN is the largest of all
         odd = (F.size(polygon) < 6) | (F.size(polygon) % 2 == 1) | (F.size(F.array_compact(polygon)) < F.size(polygon)) | F.isnan(most) | (most == float("inf")) | (least == float("-inf"))
         # scaling keeps the order, so only the extremes are scaled
-        xs, ys = F.filter(polygon, lambda v, i: i % 2 == 0), F.filter(polygon, lambda v, i: i % 2 == 1)
-        across = [_at(f(xs), width / info["width"], width) for f in (F.array_min, F.array_max)]
-        down = [_at(f(ys), height / info["height"], height) for f in (F.array_min, F.array_max)]
-        box = F.array(across[0], down[0], across[1], down[1])
+        halves = F.struct(F.filter(polygon, lambda v, i: i % 2 == 0).alias("x"), F.filter(polygon, lambda v, i: i % 2 == 1).alias("y"))
+        ends = lambda h, n, of: [_at(f(h[n]), of / info[{"x": "width", "y": "height"}[n]], of) for f in (F.array_min, F.array_max)]
+        box = let(halves, lambda h: F.array(*[c for two in zip(ends(h, "x", width), ends(h, "y", height), strict=True) for c in two]))
         no_info = info.isNull() | info["width"].isNull() | info["height"].isNull() | ~(info["width"] > 0) | ~(info["height"] > 0)
         early = (
             F.when(~F.coalesce(sized, F.lit(False)), CONVERSIONS[0]).when(x["n"] == 0, CONVERSIONS[1]).when(x["region"].isNull(), CONVERSIONS[2]).when(no_info, CONVERSIONS[3]).when(~F.coalesce(info["unit"].isin(*UNITS), F.lit(False)), CONVERSIONS[4]).when(odd, CONVERSIONS[5])
@@ -50,7 +49,7 @@ _REGIONS = "array<struct<page:int,polygon:array<double>>>"
 
 
 def _at(v: Column, scale: Column, limit: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.bround(v * scale).cast("int"), (limit - 1).cast("int")))
+    return F.greatest(F.lit(0), F.least(F.rint(v * scale).cast("int"), (limit - 1).cast("int")))
 
 
 def _conversion(status: Column, box: Column) -> Column:
@@ -89,12 +88,13 @@ def crop(conversion: Column, width: Column, height: Column, cfg: CropConfig, tur
     reasons = [F.when(area < cfg.least_area, "area too small"), F.when(area / (width * height) > cfg.most_share, "area too large"), F.when(~aspect.between(cfg.least_aspect, cfg.most_aspect), "aspect out of range")]
     if cfg.roi is not None:
         reasons.append(F.when(overlap(box, cfg.roi, width, height) < cfg.least_overlap, "outside the region of interest"))
-    dx, dy = F.bround(w * cfg.padding).cast("int"), F.bround(h * cfg.padding).cast("int")
-    padded = F.array(F.greatest(F.lit(0), g(0) - dx), F.greatest(F.lit(0), g(1) - dy), F.least(width.cast("int"), g(2) + dx), F.least(height.cast("int"), g(3) + dy))
+    dx, dy = F.rint(w * cfg.padding).cast("int"), F.rint(h * cfg.padding).cast("int")
+    room = F.struct(dx.alias("dx"), dy.alias("dy"))
+    padded = let(room, lambda d: F.array(F.greatest(F.lit(0), g(0) - d["dx"]), F.greatest(F.lit(0), g(1) - d["dy"]), F.least(width.cast("int"), g(2) + d["dx"]), F.least(height.cast("int"), g(3) + d["dy"])))
     none = F.array().cast("array<string>")
 
-    def result(why: Column) -> Column:
-        status = F.when((conversion["status"] != "OK") | ~F.coalesce((width > 0) & (height > 0), F.lit(False)), "not_run").when(F.size(why) > 0, "rejected").when(padded == box, "accepted").otherwise("adjusted")
-        return F.struct(status.alias("status"), F.when(status.isin("accepted", "adjusted"), padded).alias("bbox"), F.when(status == "rejected", why).otherwise(none).alias("reasons"))
+    def result(x: Column) -> Column:
+        status = F.when((conversion["status"] != "OK") | ~F.coalesce((width > 0) & (height > 0), F.lit(False)), "not_run").when(F.size(x["why"]) > 0, "rejected").when(x["padded"] == box, "accepted").otherwise("adjusted")
+        return let(status, lambda s: F.struct(s.alias("status"), F.when(s.isin("accepted", "adjusted"), x["padded"]).alias("bbox"), F.when(s == "rejected", x["why"]).otherwise(none).alias("reasons")))
 
-    return let(F.array_compact(F.array(*reasons)), result)
+    return let(F.struct(F.array_compact(F.array(*reasons)).alias("why"), padded.alias("padded")), result)

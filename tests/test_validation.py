@@ -239,4 +239,12 @@ def test_token_match_without_evidence(spark):
     assert [r.claims for r in fast] == [r.claims for r in full]
     got = full[len(MATCHES)]
     assert [(x.expected, x.matched, x.distance) for x in got.found] == [("seven", "seven", 0), ("hundred", "hundered", 0), ("thirty", "thirty", 0), ("three", "three", 0)] and got.missing == []
-    assert all(r.found is None for r in fast) and full[3].missing and all(r.found is not None for r in full[:3])
+    assert fast[3].found is None and fast[3].missing is None and full[3].missing and full[3].found == []
+
+
+def test_boxes_round_half_to_even(spark):
+    """Scaled corners and paddings that end in a half go to the even neighbour."""
+    df = spark.range(1).select(F.expr("array(named_struct('page', 1, 'polygon', array(0.5D, 1.5D, 10.5D, 1.5D, 10.5D, 12.5D, 0.5D, 12.5D)))").alias("regions"), F.expr("array(named_struct('page', 1, 'width', 100.0D, 'height', 100.0D, 'unit', 'pixel'))").alias("pages"))
+    c = geometry.to_pixels(F.col("regions"), F.lit(100), F.lit(100), F.col("pages"), F.lit(1))
+    got = df.select(c.alias("c"), geometry.crop(c, F.lit(100), F.lit(100), geometry.CropConfig(least_area=1, padding=0.25)).alias("crop")).head()
+    assert (got.c.status, got.c.bbox) == ("OK", [0, 2, 10, 12]) and (got.crop.status, got.crop.bbox, got.crop.reasons) == ("adjusted", [0, 0, 12, 14], [])
