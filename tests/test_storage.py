@@ -255,6 +255,17 @@ def test_search_by_grams(spark, tmp_path):
     assert search.candidates(spark, at, "zebra").count() == 0 and search.candidates(spark, at, "") is None
 
 
+def test_search_has_postings_by_block(spark, tmp_path):
+    """Records that share their texts add no postings of their own; one record is found among them, and records of a block that lack the query are not."""
+    df = spark.range(0, 1000, 1, 2).select(F.format_string("R%04d", "id").alias("record_id"), F.when(F.col("id") == 777, "Zébra").otherwise("Town of Whitby").alias("payee"), F.lit("a.png").alias("source_file"), F.lit(None).cast("string").alias("payee_normalized"))
+    at = str(tmp_path / "index")
+    search.build(df, at)
+    for q in ("zéb", "é", "r0777", "r077", "whitby a", "town zébra"):
+        want = sorted(r.record_id for r in report.filtered(df, query=q).collect())
+        assert sorted(r.key for r in search.found(spark, at, q).collect()) == want, q
+    assert spark.read.parquet(f"{at}/postings").count() < 4 * 2500
+
+
 def test_counters_by_differences(spark, tmp_path):
     outcome = "struct<status:string>"
     schema = f"record_id string, verdict string, cheque_date date, rules map<string,{outcome}>"
