@@ -36,7 +36,8 @@ def to_normalized_multi(responses: DataFrame, source: str = "source_file", run:
 def analyzed(files: DataFrame, make: Callable[[], Callable[[str, bytes], dict]], runs: int = 1, date_order: str = "DMY", unicode: bool = True) -> tuple[DataFrame, DataFrame]:
     """(fields of each file that was read, captured responses) of files (path, content, source_hash)."""
     captured = stored(extracted(files, make, runs), "captured")
-    fields = to_normalized_multi(parsed(captured), "source_file", "run", date_order, unicode)
+    # a file's responses meet before they are parsed: what goes over the network is their text, and few written files are no few tasks
+    fields = to_normalized_multi(parsed(captured.repartition("source_file")), "source_file", "run", date_order, unicode)
     hashes = files.select(F.col("path").alias("_path"), "source_hash")
     return stored(fields.join(hashes, F.col("source_file") == F.col("_path")).drop("_path"), "fields"), captured
 
@@ -48,12 +49,14 @@ def recorded(at: Store, fields: DataFrame, today: Column, day: str, ruleset: str
     are to have one writer.
     """
     known = at.read()
-    fresh = new_only(first_by_hash(fields, ["source_file"]), known)
-    numbered = stored(with_ids(fresh.withColumn("on_day", F.lit(day)), known, "on_day", ["source_file"]).drop("on_day"), "numbered")
-    judged = validated(numbered.withColumn("processed_time", time), today, cfg)
+    # what is new and its number are found on three columns; the fields are moved once, to be judged
+    rows = stored(fields.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    fresh = stored(new_only(first_by_hash(rows.select("source_file", "source_hash", "_row"), ["source_file", "_row"]), known), "fresh")
+    numbered = stored(with_ids(fresh.withColumn("on_day", F.lit(day)), known, "on_day", ["source_file", "_row"]).select("_row", "record_id", "source_file"), "numbered")
+    judged = validated(rows.join(numbered.drop("source_file"), "_row").drop("_row").withColumn("processed_time", time), today, cfg)
     records = stored(projected(judged, ruleset, model), "records")
     files = numbered.select("record_id", F.col("source_file").alias("_path"))
-    events = ingested(fields.select("source_file", "source_hash"), known, records.join(files, "record_id").drop("source_file").withColumnRenamed("_path", "source_file"), time)
+    events = ingested(rows.select("source_file", "source_hash"), known, records.join(files, "record_id").drop("source_file").withColumnRenamed("_path", "source_file"), time)
     events = stored(events, "events")
     at.append(records, "ingest")
     return records, events

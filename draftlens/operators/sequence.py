@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-#: Rows in a range, about.
+#: Rows in a range, at most, about.
 RANGE = 500_000
+#: Rows that are worth a range of their own as long as there are fewer ranges than cores.
+LEAST = 10_000
 
 
 def _in_ranges(df: DataFrame, group: list[str], order: list[Column], rows_in_range: int) -> DataFrame:
     """df written in ranges of (group, order), with ``_g0``.. for the group, ``_o0``.. for the order and the range ``_part``."""
     keyed = df.select("*", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
-    n = max(1, -(-df.count() // rows_in_range))
+    rows = df.count()
+    n = max(1, -(-rows // rows_in_range), min(rows // LEAST, df.sparkSession.sparkContext.defaultParallelism))
     ends = [*(F.col(f"_g{i}").asc_nulls_first() for i in range(len(group))), *order]
     return stored(keyed.repartitionByRange(n, *ends).withColumn("_part", F.spark_partition_id()), "ranges")
 

@@ -188,7 +188,9 @@ def _reader():
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of two batches of files: a third of the customers, then all of them; two neighbours are copies of one file."""
     k = F.col("c_custkey")
-    files = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/in/"), k.cast("string")).alias("path"), F.encode("c_name", "utf-8").alias("content"), F.sha2((k - k % 2).cast("string"), 256).alias("source_hash"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    cores = spark.sparkContext.defaultParallelism  # a table of one row group is one task otherwise, however large it is
+    files = customers.repartition(max(cores, customers._jdf.queryExecution().toRdd().getNumPartitions()), "c_custkey").select("c_custkey", F.concat(F.lit("/in/"), k.cast("string")).alias("path"), F.encode("c_name", "utf-8").alias("content"), F.sha2((k - k % 2).cast("string"), 256).alias("source_hash"))
     out, at, time = [], None, F.lit("1998-12-31 10:00:00").cast("timestamp")
     for batch in (files.filter(k % 3 == 0), files):
         fields, _ = analyze.analyzed(batch.drop("c_custkey"), _reader, 2, unicode=False)
