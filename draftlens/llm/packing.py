@@ -34,12 +34,15 @@ from .common import in_order, numbered, running, small, stored
 
 ROOM = 2048
 SEPARATOR = 0
-#: Parts that a worker remembers.
-MEMO = 300_000
+#: Parts, and words of parts, that a worker remembers in each of two generations, and their longest.
+MEMO, LONGEST = 400_000, 64
 
 
 class _Parts(dict):
-    """Bytes of the little-endian 32-bit ids of white-space-separated parts of texts."""
+    """Bytes of the little-endian 32-bit ids of white-space-separated parts of texts.
+
+    A full generation becomes the old one, from which what is asked for again moves on, so frequent parts are not computed anew.
+    """
 
     #: Parts of printable ASCII and Latin letters need no normalisation but lower case.
     plain = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
@@ -50,7 +53,10 @@ class _Parts(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         # the printable stand-ins that byte-level vocabularies use
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
@@ -58,20 +64,27 @@ class _Parts(dict):
 
     def piece(self, word: str) -> bytes:
         if (got := self.words.get(word)) is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            text = word if word.isascii() else "".join(self.shown[b] for b in word.encode())
-            got = self.words[word] = np.array([t.id for t in self.whole.model.tokenize(text)], "<u4").tobytes()
+            if (got := self.old_words.get(word)) is None:
+                text = word if word.isascii() else "".join(self.shown[b] for b in word.encode())
+                got = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            if len(word) <= LONGEST:
+                if len(self.words) >= MEMO:
+                    self.old_words, self.words = self.words, {}
+                self.words[word] = got
         return got
 
     def __missing__(self, part: str) -> bytes:
-        if self.plain(part) and "<|" not in part:
+        if (got := self.old.get(part)) is not None:
+            pass
+        elif self.plain(part) and "<|" not in part:
             got = b"".join(map(self.piece, self.pieces(part.lower())))
         else:
             got = np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[part] = got
+        if len(part) <= LONGEST:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[part] = got
         return got
 
 
