@@ -49,19 +49,22 @@ CHI = 30.0
 NEAREST = 15
 BLOCK = 32
 MARGIN = 0.05
-#: Words that a worker remembers.
+#: Pieces that a worker remembers.
 MEMO = 200_000
 _RUNS = re.compile(r"[^\W_]+").findall
+#: Bytes, with a space for each ASCII character that is no letter or digit.
+_BREAKS = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 #: Thai and Lao, Burmese, Khmer, Japanese and Chinese: words without spaces between them.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+)")
 
 
-def terms_of(word: str) -> list[str]:
-    """The terms of a string without white space."""
+def _terms(piece: str) -> list[str]:
+    """The terms of a piece of ``pieces_of``."""
+    if piece.isascii():  # one run
+        return [piece, piece[:STEM]] if len(piece) > STEM else [piece]
     out = []
-    for run in _RUNS(word.lower()):
-        parts = [run] if run.isascii() else _UNSPACED.split(run)  # every second part is without spaces
-        for i, part in enumerate(parts):
+    for run in _RUNS(piece):
+        for i, part in enumerate(_UNSPACED.split(run)):  # every second part is without spaces
             if i % 2:
                 out += [part[j : j + 2] for j in range(max(1, len(part) - 1))]
             elif part:
@@ -71,16 +74,25 @@ def terms_of(word: str) -> list[str]:
     return out
 
 
+def pieces_of(text: str) -> list[str]:
+    """A text in lower case, cut at white space and at each ASCII character that is no letter or digit."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_BREAKS).decode("utf-8", "surrogatepass").split()
+
+
+def terms_of(text: str) -> list[str]:
+    return list(chain.from_iterable(map(_terms, pieces_of(text))))
+
+
 class _Memo(dict):
-    """Numbers of the known terms in a word."""
+    """Numbers of the known terms in a piece."""
 
     def __init__(self, terms: dict[str, int]) -> None:
         self.terms = terms
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= MEMO:
             self.clear()
-        got = self[word] = [self.terms[g] for g in terms_of(word) if g in self.terms]
+        got = self[piece] = tuple([self.terms[g] for g in _terms(piece) if g in self.terms])
         return got
 
 
@@ -158,7 +170,7 @@ class Nearest:
         self.block = (self.docs[first] // BLOCK).astype(np.int32)
         most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
         self.most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
-        self.dense = None
+        self.dense = self.places = None
         self.cells = np.searchsorted(t[first], np.arange(width + 1)).astype(np.int32)
         self.a, self.b = 1.0, 0.0
         if n >= 20:
@@ -170,7 +182,7 @@ class Nearest:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The text's known terms and their TF-IDF weights, of length 1."""
-        numbers = list(chain.from_iterable(map(self.memo.__getitem__, text.split())))
+        numbers = list(chain.from_iterable(map(self.memo.__getitem__, pieces_of(text))))
         terms, times = np.unique(np.array(numbers, np.int64), return_counts=True)
         return terms, self._weights(terms, times)
 
@@ -181,32 +193,33 @@ class Nearest:
         at += np.repeat(start - (ends - n), n)
         return self.docs[at], np.repeat(q, n) * self.weights[at]
 
-    def _cells(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cells of terms, and how many each has."""
-        start = self.cells[terms].astype(np.int64)
-        n = self.cells[terms + 1] - start
-        ends = np.cumsum(n)
-        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n), n
-
     def cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """The exact cosines of the examples of some blocks, in their order; of the others zero."""
-        if 4 * len(blocks) > self.blocks:  # the postings of whole terms
+        if 2 * len(blocks) > self.blocks:  # the postings of whole terms
             start, end = self.starts[self.cells[terms]], self.starts[self.cells[terms + 1]]
         else:
-            at, n = self._cells(terms)
-            wanted = np.zeros(self.blocks, bool)
-            wanted[blocks] = True
-            some = wanted[self.block[at]]
-            at, q = at[some], np.repeat(q, n)[some]
-            start, end = self.starts[at], self.starts[at + 1]
+            self._tables()
+            rows, blocks = self.places[terms], np.sort(blocks)
+            start, end = rows[:, blocks].ravel(), rows[:, blocks + 1].ravel()
+            some = np.flatnonzero(end > start)
+            start, end, q = start[some], end[some], q[some // max(1, len(blocks))]
         start = start.astype(np.int64)
         return np.bincount(*self._products(start, end - start, q), self.blocks * BLOCK)
 
+    def _tables(self) -> None:
+        """For each term and block the largest weight and where its postings start; made where they are used, as they are larger than all else."""
+        if self.dense is None:
+            n = np.diff(self.cells)
+            self.dense = np.zeros((len(n), self.blocks), np.float32)
+            self.dense[np.repeat(np.arange(len(n)), n), self.block] = self.most
+            many = np.zeros((len(n), self.blocks + 1), np.int32)
+            many[np.repeat(np.arange(len(n)), n), self.block + 1] = np.diff(self.starts)
+            many[:, 0] = self.starts[self.cells[:-1]]
+            self.places = np.cumsum(many, axis=1, dtype=np.int32, out=many)
+
     def bounds(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
         """What no cosine of a block's examples exceeds."""
-        if self.dense is None:  # made where it is used, as it is larger than all else
-            self.dense = np.zeros((len(self.cells) - 1, self.blocks), np.float32)
-            self.dense[np.repeat(np.arange(len(self.cells) - 1), np.diff(self.cells)), self.block] = self.most
+        self._tables()
         return q @ self.dense[terms]
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +278,7 @@ class Nearest:
         return float(s), [self.ids[j] for j in i[:5].tolist()], [self.names[t].strip() for t in terms[top].tolist()]
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": None, "dense": None}
+        return self.__dict__ | {"memo": None, "dense": None, "places": None}
 
     def __setstate__(self, state):
         self.__dict__ |= state | {"memo": _Memo(state["terms"])}
